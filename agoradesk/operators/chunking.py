@@ -8,7 +8,7 @@ no source, tenant or group of copies can become a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import let
@@ -338,6 +338,16 @@ def chunk_status(docs: DataFrame, keys: list[str], title: str = "title", text: s
     return built.select(*keys, "character_count", F.size("passages").alias("passage_count"), "chunk_status")
 
 
+def embedding_backlog(passages: DataFrame, tenant: str, doc: str, batch: int = 16) -> DataFrame:
+    """Passages without a vector, in batches of 16 per document, in storage order.
+
+    Numbering restarts with each document, whose passages are bounded.
+    """
+    w = Window.partitionBy(tenant, doc).orderBy("chunk_index")
+    waiting = passages.where("embedding is null")
+    return waiting.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch))
+
+
 def passage_rows(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Passages as stored: with their content hash, counted once per document by ``chunk_index``."""
     return chunks.select(*keys, "chunk_index", "content", F.sha2("content", 256).alias("content_sha256"),
@@ -356,5 +366,5 @@ def duplicate_content(df: DataFrame, tenant: str, sha: str, key: str) -> DataFra
 __all__ = [
     "TARGET", "OVERLAP", "MAX_PAGES", "MAX_CHARACTERS", "MAX_PASSAGES", "detect_heading", "is_list_item", "blocks",
     "list_fragments", "reorder_sections", "segments", "document_passages", "chunk_documents", "chunk_status",
-    "passage_rows", "duplicate_content",
+    "passage_rows", "embedding_backlog", "duplicate_content",
 ]
