@@ -43,7 +43,7 @@ def _best_in_cell(k: int, per_document: int, minimum: float):
             ids, docs = passages["passage_id"].to_numpy(), passages["document_id"].to_numpy()
             matrix = np.stack(passages["embedding"].to_numpy()).astype(np.float64)
             matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            asked = np.stack(questions["embedding"].to_numpy()).astype(np.float64)
+            asked = np.stack(questions["_vector"].to_numpy()).astype(np.float64)
             asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
             for at in range(0, len(asked), 64):
                 scores = asked[at : at + 64] @ matrix.T
@@ -99,8 +99,9 @@ def search(
     )
     types = {f.name: f.dataType.simpleString() for f in [*questions.schema.fields, *passages.schema.fields]}
     schema = ", ".join(f"{c} {types[c]}" for c in ("question_id", "passage_id", "document_id")) + ", similarity double"
-    cell = [tenant, "_p", "_q"]
-    near = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(_best_in_cell(k, per_document, minimum), schema)
+    # Fresh names on one side, because both sides may come from one table.
+    asked = asked.select("question_id", F.col(tenant).alias("_qt"), F.col("embedding").alias("_vector"), F.col("_q").alias("_qq"), F.col("_p").alias("_qp"))
+    near = asked.groupBy("_qt", "_qp", "_qq").cogroup(held.groupBy(tenant, "_p", "_q")).applyInPandas(_best_in_cell(k, per_document, minimum), schema)
     order = [F.desc("similarity"), F.asc("passage_id")]
     capped = top_per_key(near, ["question_id", "document_id"], order, per_document)
     return top_per_key(capped, ["question_id"], order, k, "rank")
