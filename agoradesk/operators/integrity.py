@@ -46,12 +46,11 @@ def matches_signature(content: Column, required: Column, forbidden: Column) -> C
     return has(required) & ~has(forbidden)
 
 
-def match_signatures(passages: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(passage, signature) rows that match; signatures are a short list kept with each passage row."""
-    listed = signatures.agg(F.collect_list(F.struct("signature_key", "required", "forbidden")).alias("_s")).withColumn("_k", F.lit(0))
-    rows = passages.withColumn("_k", F.lit(0)).join(listed, "_k")
-    hit = F.filter("_s", lambda s: matches_signature(F.col("content"), s["required"], s["forbidden"]))
-    return rows.withColumn("signature_key", F.explode(F.transform(hit, lambda s: s["signature_key"]))).drop("_s", "_k")
+def match_signatures(passages: DataFrame, signatures: dict = SIGNATURES) -> DataFrame:
+    """(passage, signature) rows that match. The signatures are a fixed short list, held in the expression."""
+    words = lambda terms: F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    hits = [F.when(matches_signature(F.col("content"), words(r), words(f)), F.lit(key)) for key, (r, f) in signatures.items()]
+    return passages.withColumn("signature_key", F.explode(F.array_compact(F.array(*hits))))
 
 
 def outcome_text(value: Column) -> Column:

@@ -144,7 +144,7 @@ def integrity_summary(spark, sf):
 
 @register("signature_matches", "with " + TREE_SQL + SIG_SQL + """ select passage_id, k signature_key from pass join sig on len(list_filter(req, lambda t: contains(lower(content), t))) > 0 and len(list_filter(forb, lambda t: contains(lower(content), t))) = 0""")
 def signature_matches(spark, sf):
-    return ig.match_signatures(tree(spark, sf)[4], ig.signature_table(spark, "tv1")).select("passage_id", "signature_key")
+    return ig.match_signatures(tree(spark, sf)[4]).select("passage_id", "signature_key")
 
 
 @register("rule_contexts", "with " + TREE_SQL + """, req as (select event_id request_id, event_id % 10 institution_id, case when event_id % 3 = 0 then 'annual_leave_days' end template_key, [event_id % 200, event_id % 10 + 10 * (user_id % 20)] ids from events),
@@ -372,8 +372,8 @@ def upserted_passages(spark, sf):
 
 @register("new_memberships", """select distinct o_custkey user_id, l_suppkey channel from lineitem join orders on o_orderkey = l_orderkey where (o_custkey, l_suppkey) not in (select c_custkey, c_custkey % (select count(*) from supplier) from customer)""")
 def new_memberships(spark, sf):
-    n = read_table(spark, sf, "supplier").agg(F.count("*").alias("n"), F.lit(0).alias("_k"))
-    stored = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(0).alias("_k")).join(n, "_k").select("user_id", (F.col("user_id") % F.col("n")).alias("channel"))
+    n = read_table(spark, sf, "supplier").agg(F.count("*")).scalar()
+    stored = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % n).alias("channel"))
     line = read_table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("channel"))
     o = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     return rw.insert_new(stored, line.join(o, line.l_orderkey == o.o_orderkey).select("user_id", "channel"), ["user_id", "channel"])

@@ -365,9 +365,9 @@ def duplicate_report(spark, sf):
  (select 1 from part p join supplier s on s.s_suppkey = p.p_partkey % (select count(*) from supplier) where p.p_partkey = l.l_partkey and s.s_suppkey = l.l_suppkey)""")
 def orphan_report(spark, sf):
     supplier = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
-    total = supplier.agg(F.count("*").alias("n"), F.lit(0).alias("_k"))
-    part = read_table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.lit(0).alias("_k"))
-    parent = part.join(total, "_k").select("l_partkey", (F.col("l_partkey") % F.col("n")).alias("l_suppkey")).join(supplier, "l_suppkey", "left_semi")
+    n = supplier.agg(F.count("*")).scalar()
+    part = read_table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % n).alias("l_suppkey"))
+    parent = part.join(supplier, "l_suppkey", "left_semi")
     child = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return quality.orphan_report(child, parent, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
