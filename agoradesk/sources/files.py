@@ -30,17 +30,18 @@ def file_inventory(spark: SparkSession, path: str, declared: DataFrame | None =
     """One row per file below ``path``: size, SHA-256, kind and admission status.
 
     ``declared`` may give (path, mime_type). Files over the limit are refused by
-    their size from the listing; their bytes take no part in the checks.
+    their size from the listing; their bytes take no part in the checks. A scan
+    leaves out files without bytes, so these are found by being declared.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.join(declared, "path", "left") if declared is not None else files.withColumn("mime_type", F.lit(None).cast("string"))
+    files = files.join(declared, "path", "full_outer") if declared is not None else files.withColumn("mime_type", F.lit(None).cast("string"))
     extension = F.lower(F.regexp_extract("path", "\\.[^./]+$", 0))
     kind = F.when(extension == ".pdf", PDF).when(extension == ".docx", DOCX)
     head = F.hex(F.substring("content", 1, 5))
     status = first_match(
         (kind.isNull(), "invalid_file_type"),
         (F.col("mime_type").isNotNull() & (F.col("mime_type") != "") & (F.col("mime_type") != kind), "invalid_file_type"),
-        (F.col("length") < 1, "empty_file"),
+        (F.coalesce("length", F.lit(0)) < 1, "empty_file"),
         (F.col("length") > MAX_BYTES, "file_too_large"),
         ((extension == ".pdf") & (head != PDF_MAGIC), "invalid_pdf"),
         ((extension == ".docx") & ~F.left(head, F.lit(8)).isin(*ZIP_MAGIC), "invalid_docx"),
