@@ -24,6 +24,7 @@ SIGNATURES = {
     ),
     "moving_default": (("déménagement", "demenagement"), ()),
 }
+PASSAGE = ["passage_id", "document_id", "institution_id"]
 DAYS_WORD = "(\\A|[^\\p{L}])jours?([^\\p{L}]|\\z)"
 
 
@@ -58,14 +59,13 @@ def outcome_text(value: Column) -> Column:
     return F.regexp_replace(value.cast("decimal(18,6)").cast("string"), "\\.?0+$", "")
 
 
-def states_value(content: Column, value: Column, unit: Column) -> Column:
-    """The passage prints the value between non-digits and, for days, the word itself."""
-    text = outcome_text(value)
-    number = F.when(text == "", F.lit("0")).otherwise(text)
-    whole = F.array_contains(F.regexp_extract_all(content, F.lit("[0-9]+"), F.lit(0)), number)
-    shape = F.concat(F.lit("(\\A|[^0-9])"), number, F.lit("([^0-9]|\\z)"))
-    printed = F.when(number.rlike("^[0-9]+$"), whole).otherwise(F.regexp_like(content, shape))
-    return printed & ((unit != "days") | F.lower(content).rlike(DAYS_WORD))
+def passage_features(passages: DataFrame) -> DataFrame:
+    """What rules ask of a passage, read off its text once: numbers printed, and the word for days."""
+    return passages.select(
+        *PASSAGE, F.col("content_sha256").alias("_now"),
+        F.array_distinct(F.regexp_extract_all("content", F.lit("[0-9]+"), F.lit(0))).alias("_numbers"),
+        F.lower("content").rlike(DAYS_WORD).alias("_days"),
+    )
 
 
 def inspect_integrity(
@@ -104,20 +104,38 @@ def inspect_integrity(
     out.append(issue(rules.join(sourced, ["rule_id", "rule_set_id"], "left_anti"), F.lit("missing_rule_sources"), "rule_id"))
     checked = rules.join(sourced, ["rule_id", "rule_set_id"], "left_semi").join(base.select("rule_set_id", "template_version_id", "result_unit"), "rule_set_id")
 
-    held = sources.join(passages.select("passage_id", "document_id", "institution_id", "content", F.col("content_sha256").alias("_now")), ["passage_id", "document_id", "institution_id"])
-    changed = held.where(F.col("content_sha256") != F.col("_now")).select("rule_id", "rule_set_id").distinct()
-    out.append(issue(checked.join(changed, ["rule_id", "rule_set_id"], "left_semi"), F.lit("source_changed"), "rule_id"))
+    # Texts are read once per passage; only what was found in them is joined to the rules.
+    rule = ["rule_id", "rule_set_id"]
+    held = sources.join(passage_features(passages), PASSAGE)
+    changed = held.where(F.col("content_sha256") != F.col("_now")).select(*rule).distinct()
+    out.append(issue(checked.join(changed, rule, "left_semi"), F.lit("source_changed"), "rule_id"))
 
     by_default = checked.where("is_default").join(signatures.where("match_kind = 'default_rule'").drop("fact_key", "category_value"), "template_version_id")
     by_category = checked.join(conditions.select("rule_id", "fact_key", "category_value").distinct(), "rule_id").join(
         signatures.where("match_kind = 'category_value'"), ["template_version_id", "fact_key", "category_value"])
-    sig = [c.select("rule_id", "rule_set_id", F.struct("required", "forbidden").alias("s")) for c in (by_default, by_category)]
-    expected = sig[0].unionByName(sig[1]).groupBy("rule_id", "rule_set_id").agg(F.collect_set("s").alias("_sigs"))
-    tested = checked.join(expected, ["rule_id", "rule_set_id"], "left").join(held.select("rule_id", "rule_set_id", "content"), ["rule_id", "rule_set_id"], "left")
-    fits = F.col("_sigs").isNull() | F.exists("_sigs", lambda s: matches_signature(F.col("content"), s["required"], s["forbidden"]))
-    good = F.coalesce(states_value(F.col("content"), F.col("outcome_value"), F.col("result_unit")) & fits, F.lit(False))
-    grounded = tested.groupBy("rule_id", "rule_set_id").agg(F.bool_or(good).alias("_ok"), F.bool_or(F.col("_sigs").isNotNull()).alias("_signed"))
-    out.append(issue(grounded.where(~F.col("_ok")), F.when(F.col("_signed"), "categorical_source_mismatch").otherwise("value_or_unit_not_in_source"), "rule_id"))
+    signature = ["template_version_id", "signature_key"]
+    expected = by_default.select(*rule, *signature).unionByName(by_category.select(*rule, *signature)).distinct()
+    asked = held.select(*rule, *PASSAGE).join(expected, rule)
+    texts = asked.select(*PASSAGE, *signature).distinct().join(passages.select(*PASSAGE, "content"), PASSAGE)
+    terms = texts.join(signatures.select(*signature, "required", "forbidden"), signature)
+    matched = terms.where(matches_signature(F.col("content"), F.col("required"), F.col("forbidden"))).select(*PASSAGE, *signature)
+    fits = asked.join(matched, [*PASSAGE, *signature], "left_semi").select(*rule, *PASSAGE).distinct().withColumn("_fits", F.lit(True))
+
+    printed = held.select(*rule, *PASSAGE, "_numbers", "_days").join(checked.select(*rule, "outcome_value", "result_unit"), rule)
+    shown = outcome_text(F.col("outcome_value"))
+    printed = printed.withColumn("_value", F.when(shown == "", F.lit("0")).otherwise(shown))
+    # A value with decimals is looked for in the text itself, once per passage and value.
+    decimals = printed.where(~F.col("_value").rlike("^[0-9]+$")).select(*PASSAGE, "_value").distinct().join(passages.select(*PASSAGE, "content"), PASSAGE)
+    shape = F.concat(F.lit("(\\A|[^0-9])"), F.col("_value"), F.lit("([^0-9]|\\z)"))
+    decimals = decimals.where(F.regexp_like("content", shape)).select(*PASSAGE, "_value", F.lit(True).alias("_decimal"))
+    signed = expected.select(*rule).distinct().withColumn("_signed", F.lit(True))
+    tested = printed.join(decimals, [*PASSAGE, "_value"], "left").join(fits, [*rule, *PASSAGE], "left")
+    stated = (F.array_contains("_numbers", F.col("_value")) | F.coalesce("_decimal", F.lit(False))) & ((F.col("result_unit") != "days") | F.col("_days"))
+    per_rule = tested.groupBy(*rule).agg(F.bool_or(stated).alias("_stated"), F.bool_or(stated & F.coalesce("_fits", F.lit(False))).alias("_stated_fit"))
+    grounded = checked.join(per_rule, rule, "left").join(signed, rule, "left")
+    good = F.when(F.col("_signed"), F.col("_stated_fit")).otherwise(F.col("_stated"))
+    code = F.when(F.col("_signed"), "categorical_source_mismatch").otherwise("value_or_unit_not_in_source")
+    out.append(issue(grounded.where(~F.coalesce(good, F.lit(False))), code, "rule_id"))
 
     left = conditions.select("group_id", "rule_set_id", "template_version_id", F.col("fact_key").alias("left_fact_key"), F.col("number_value").alias("_l"))
     right = conditions.select("group_id", F.col("fact_key").alias("right_fact_key"), F.col("number_value").alias("_r"))

@@ -116,9 +116,24 @@ def pattern(text: str) -> str:
     return out
 
 
+# A literal each pattern cannot match without, looked for first because that is far cheaper.
+NEEDS = {
+    ANNUAL[0]: ("vacance",), ANNUAL[1]: ("conge",), ANNUAL[2]: ("droit",), EXCEPTIONAL: ("conge",), MARRIAGE: ("mari", "partenariat"),
+    OWN_MARRIAGE: ("mari", "partenariat"), DEATH: ("dece", "mort"), MOVING: ("demenag",), OWN_MOVING: ("demenag",), LEAVE_FOR: ("conge",),
+    AGE_PATTERNS[0]: ("ai",), AGE_PATTERNS[2]: ("age",), AGE_PATTERNS[3]: ("age",), AGE_PATTERNS[4]: ("employ",), AGE_PATTERNS[5]: ("age",),
+    SERVICE_PATTERNS[0]: ("service", "anciennete"), SERVICE_PATTERNS[1]: ("service", "anciennete"), SERVICE_PATTERNS[2]: ("service", "anciennete"),
+    SERVICE_PATTERNS[3]: ("fait",), SERVICE_PATTERNS[4]: ("depuis",), SERVICE_PATTERNS[5]: ("depuis",), SERVICE_PATTERNS[6]: ("depuis",),
+}
+
+
+def _may_say(text: Column, fixed: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in NEEDS.get(fixed, ("",))])
+
+
 def says(text: Column, *patterns: str) -> Column:
     """True when any of the patterns occurs in folded text."""
-    return reduce(lambda a, b: a | b, [text.rlike(pattern(p)) for p in patterns])
+    tests = [_may_say(text, p) & text.rlike(pattern(p)) if p in NEEDS else text.rlike(pattern(p)) for p in patterns]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def normalize_question(col: Column, longest: int = MAX_QUESTION) -> Column:
@@ -224,8 +239,10 @@ FACT = "struct<status:string,number_value:double,category_value:string,errors:ar
 
 def number_fact(text: Column, key: str, patterns: tuple[str, ...], minimum: float, maximum: float, whole: bool = True) -> Column:
     """A numeric fact from every mention in folded text: value, ok / invalid / conflicting, errors."""
-    raw = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(pattern(p)), F.lit(1)) for p in patterns]))
-    numbers = F.transform(F.when(text.rlike("[0-9]"), raw).otherwise(F.array().cast("array<string>")), parse_decimal_comma)
+    none = F.array().cast("array<string>")
+    found = [F.when(_may_say(text, p), F.regexp_extract_all(text, F.lit(pattern(p)), F.lit(1))).otherwise(none) for p in patterns]
+    raw = F.flatten(F.array(*found))
+    numbers = F.transform(F.when(text.rlike("[0-9]"), raw).otherwise(none), parse_decimal_comma)
 
     def judge(found: Column) -> Column:
         fine = lambda n: n.between(minimum, maximum) & (F.lit(not whole) | (n == F.floor(n)))

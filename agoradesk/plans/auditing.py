@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import uuid_from
 from agoradesk.operators import answers as an
+from agoradesk.session import spread
 from agoradesk.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -136,7 +137,7 @@ def audit_tables(spark, sf):
     a = answers(spark, sf).where("result <> 'other'").select(
         F.col("k").alias("answer_id"), "result", an.sanitize_answer(F.col("said")).alias("answer"), F.col("ids").alias("used_passage_ids"),
         (F.col("k") % 2 == 0).alias("needs_human_review"))
-    d = read_table(spark, sf, "documents")
+    d = spread(read_table(spark, sf, "documents"))
     n = F.col("doc_id")
     content = F.concat(F.col("text"), F.lit(" "), (n % 5).cast("string"), F.lit(" jours, "), (n % 3).cast("string"), F.lit(" heures."))
     passages = an.evidence_tokens(d.select(pid(n).alias("passage_id"), n.alias("doc_id"), content.alias("content")))

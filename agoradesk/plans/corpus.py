@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from agoradesk.functions import text as tx
 from agoradesk.functions.regexes import LINE_SPACE, SPACE
 from agoradesk.operators import chunking, reporting
+from agoradesk.session import spread
 from agoradesk.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -70,7 +71,7 @@ DOCS_SQL = """docs as (select doc_id, 'Règlement ' || doc_id title, doc_id % 2
 
 def structured(spark, sf):
     """Documents with the headings, lettered items and page breaks of a regulation."""
-    d = read_table(spark, sf, "documents").select("doc_id", F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n").alias("ls"))
+    d = spread(read_table(spark, sf, "documents")).select("doc_id", F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n").alias("ls"))
     paged = F.col("doc_id") % 2 == 0
 
     def line(v, i):

@@ -11,6 +11,7 @@ from agoradesk.operators import quality, reporting
 from agoradesk.operators import rules as rl
 from agoradesk.plans.entitlements import one_template
 from agoradesk.sources import rows as rw
+from agoradesk.session import spread
 from agoradesk.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -82,7 +83,7 @@ def tree(spark, sf):
         F.when(odd, cell("leave_reason", none, reason)), F.when(~odd, cell("age_years", F.col("q"), word)),
         F.when((F.col("rule_set_id") % 20 == 4) & (F.col("ln") == 2), cell("service_years", F.lit(25.5), word))))
     conditions = filled.select("group_id", "rule_id", "rule_set_id", "template_version_id", F.inline(cells))
-    d = read_table(spark, sf, "documents")
+    d = spread(read_table(spark, sf, "documents"))
     said = pick(F.floor(F.col("doc_id") / 10) % 4, " Mariage : 3 jours.", " Déménagement : 1 jour.", " Décès du père : 5 jours.", " Frère : 2 jours.")
     passages = d.select(F.col("doc_id").alias("passage_id"), (F.col("doc_id") % 10).alias("document_id"), (F.col("doc_id") % 10).alias("institution_id"), F.concat("text", said).alias("content"))
     passages = passages.withColumn("content_sha256", F.sha2("content", 256))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agoradesk.functions.text import fold
 from agoradesk.operators import questions as qs
+from agoradesk.session import spread
 from agoradesk.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -44,7 +45,7 @@ facts as (select *, case when v in (0, 1, 2, 4, 6) then 'annual_leave_days' when
 
 
 def asked(spark, sf):
-    line = read_table(spark, sf, "lineitem")
+    line = spread(read_table(spark, sf, "lineitem"))
     rows = line.select(
         "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("institution_id"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 9).alias("v"),
         (F.col("l_partkey") % 4).alias("p"), (10 + F.col("l_quantity").cast("long")).cast("string").alias("age"),

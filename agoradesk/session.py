@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "agoradesk", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,3 +30,12 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if not base:
         raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach")
     return os.path.join(base, *parts)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on a scan with fewer splits than cores (a small file before heavy text work).
+
+    A large table has more splits than the cluster has cores and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
