@@ -312,7 +312,7 @@ def registry_mismatch(template: Column) -> Column:
 
 
 def _answered(joined: DataFrame) -> DataFrame:
-    out = render(resolve(extract_facts(joined)))
+    out = render(resolve(joined))
     missing = registry_mismatch(F.col("template")).isNotNull() | F.col("result").isNull()
     code = (
         F.when(missing, "rag_runtime_registry_mismatch")
@@ -336,6 +336,8 @@ def answer_by_rules(questions: DataFrame, sets: DataFrame, tenant: str = "instit
     Exactly one set must match; several are ambiguous and block the answer.
     """
     asked = questions.withColumn("template_key", detect_intent(fold(F.col("question")))).where("template_key is not null")
+    # Facts depend on the question alone, so they are read before any join.
+    asked = extract_facts(asked)
     usable = validate_rule_sets(sets).withColumnRenamed("rule_key", "template_key")
     matching = usable.groupBy(tenant, "template_key").agg(F.count("*").alias("matching_sets"))
     single = usable.join(matching.where("matching_sets = 1"), [tenant, "template_key"])
