@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agoradesk.llm.shared import write_stage
+from agoradesk.llm.shared import boxed, join_by_document, write_stage
 
 # Kinds in their order, and the patterns of the seeds.
 KINDS = ("email", "ip", "card", "phone")
@@ -185,8 +185,8 @@ def identifier_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     added = discover(base, rounds).groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("start", order.alias("rank"), F.concat_ws(":", "kind", "start", "end").alias("span")))).alias("added")
     )
-    added = added.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    joined = base.join(added, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    added = added.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+    joined = base.join(added, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left")
     parts = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(
         F.split(s, ":")[1].cast("int").alias("start"), F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.split(s, ":")[0]).alias("rank"), s.alias("span"),
     ))
@@ -204,18 +204,16 @@ def identifier_report(docs: DataFrame) -> DataFrame:
 
 def mask_identifiers(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span in ``text`` replaced by its kind in brackets; spans that overlap become one, named by the first."""
-    found = identifier_spans(docs).where("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    found = found.dropDuplicates(["__id", "__hash"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
+    found = identifier_spans(docs).where("spans <> ''").select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [mask(t, s) if s else t for t, s in zip(batch["text"].to_pylist(), batch["__spans"].to_pylist(), strict=True)]
-            yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else batch[n] for n in names], names=names)
+            old = batch["row"].field("text").to_pylist()
+            texts = pa.array([mask(t, s) if s else t for t, s in zip(old, batch["spans"].to_pylist(), strict=True)], pa.string())
+            yield pa.record_batch([texts if n == "text" else batch["row"].field(n) for n in names], names=names)
 
-    return joined.drop("__key", "__id", "__hash").mapInArrow(run, docs.schema)
+    return join_by_document(boxed(docs), found).mapInArrow(run, docs.schema)
 
 
 def mask(text: str, spans: str) -> str:

@@ -151,8 +151,8 @@ class LanguageModel:
 
     def label(self, texts: pa.Array, penalty: float = SWITCH_PENALTY) -> tuple[LetterWords, np.ndarray]:
         words = letter_words(texts)
-        if not len(words.start):
-            return words, np.zeros(0, np.int64)
+        if not len(words.start) or not self.names:
+            return words, np.zeros(len(words.start), np.int64)
         return words, viterbi(self.word_scores(words), words.first, penalty)
 
 
@@ -270,6 +270,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = SW
                 best = held.argmax(axis=1) if model.names else np.zeros(z - a, dtype=np.int64)
                 some = total > 0
                 score = np.where(some, held[np.arange(z - a), best] / np.maximum(total, 1), 0.0) if model.names else np.zeros(z - a)
+                some &= bool(model.names)
                 out = [*(part[n] for n in names), pa.array([model.names[k] if s else "und" for k, s in zip(best, some, strict=True)]), pa.array(score)]
                 if spans:
                     out.append(_spans(words, labels, doc, z - a, model.names))

@@ -49,6 +49,21 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(row, id, text_hash): the documents as one struct column, so that no added column meets one of theirs."""
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
+
+
+def join_by_document(box: DataFrame, found: DataFrame) -> DataFrame:
+    """Boxed documents with the columns of ``found`` (doc_id, text_hash and others), null where it has no row; equal rows all match."""
+    found = found.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))
+    return box.join(found, same, "left").drop("id", "text_hash", "found_id", "found_hash")
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{sf_dir}/documents.parquet")
 

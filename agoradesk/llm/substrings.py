@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoradesk.llm.packing_bytes import pack, unpack
-from agoradesk.llm.shared import bucket_count, id_and_text, write_stage
+from agoradesk.llm.shared import boxed, bucket_count, id_and_text, join_by_document, write_stage
 from agoradesk.llm.words import OTHER_BASE, slices, split_words, window_hashes
 
 #: Windows gathered in a task before they are sent: about 24 bytes of memory each.
@@ -165,19 +165,18 @@ def _merger(width: int):
 
 
 def with_intervals(docs: DataFrame, width: int = 35) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text and others) with ``__starts`` and ``__ends``: null where nothing repeats."""
+    """Every row of ``docs`` as the struct ``row``, with ``starts`` and ``ends``: null where nothing repeats."""
     found = write_stage(repeated_intervals(docs, width), "repeats")
-    found = found.groupBy("doc_id", "text_hash").agg(F.first("starts").alias("__starts"), F.first("ends").alias("__ends"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__starts", "__ends")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left").drop("__key", "__id", "__hash")
+    found = found.groupBy("doc_id", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
+    return join_by_document(boxed(docs), found)
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
     """(row, words, removed words, kept words joined by one blank) of each document."""
-    starts, ends = batch["__starts"].to_pylist(), batch["__ends"].to_pylist()
-    for a, z in slices(batch["text"]):
-        words = split_words(batch["text"].slice(a, z - a))
+    starts, ends = batch["starts"].to_pylist(), batch["ends"].to_pylist()
+    texts = batch["row"].field("text")
+    for a, z in slices(texts):
+        words = split_words(texts.slice(a, z - a))
         data = words.data.tobytes()
         for i in range(z - a):
             lo, hi = int(words.first[i]), int(words.first[i + 1])
@@ -193,7 +192,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(n, removed, hashlib.sha256(kept).hexdigest()) for _, n, removed, kept in _cut(batch)]
         yield pa.record_batch({
-            "doc_id": batch["doc_id"].cast(pa.int64()), "n_words": pa.array([r[0] for r in rows], pa.int64()),
+            "doc_id": batch["row"].field("doc_id"), "n_words": pa.array([r[0] for r in rows], pa.int64()),
             "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept_sha256": pa.array([r[2] for r in rows], pa.string()),
         })
 
@@ -215,12 +214,9 @@ def dedup_texts(docs: DataFrame, width: int = 35) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            had = batch["__starts"].is_valid().to_pylist()
-            old = batch["text"].to_pylist()
-            new = [kept.decode() if had[i] else old[i] for i, _, _, kept in _cut(batch)]
-            columns = {n: batch[n] for n in names}
-            columns["text"] = pa.array(new, pa.string())
-            yield pa.record_batch([columns[n] for n in names], names=names)
-
-    out = docs.schema
-    return held.mapInArrow(cut, out)
+            had = batch["starts"].is_valid().to_pylist()
+            old = batch["row"].field("text").to_pylist()
+            new = pa.array([kept.decode() if had[i] else old[i] for i, _, _, kept in _cut(batch)], pa.string())
+            yield pa.record_batch([new if n == "text" else batch["row"].field(n) for n in names], names=names)
+
+    return held.mapInArrow(cut, docs.schema)
