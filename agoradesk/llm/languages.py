@@ -259,7 +259,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = SW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in slices(batch["text"], 6_000_000):
+            for a, z in slices(batch["text"], 2_000_000):
                 part = batch.slice(a, z - a)
                 words, labels = model.label(part["text"], penalty)
                 doc = np.repeat(np.arange(z - a), np.diff(words.first))

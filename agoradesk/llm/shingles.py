@@ -25,7 +25,7 @@ from agoradesk.llm.shared import bucket_count, id_and_text, write_stage
 from agoradesk.llm.words import Words, mix, ramps, slices, split_words, window_hashes
 
 #: Shingles gathered in a task before they are sent.
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 #: Sets in a block of a family; a task holds two blocks.
 BLOCK_SETS = 64
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, least int, shingles array<long>"

@@ -21,8 +21,8 @@ from agoradesk.llm.packing_bytes import pack, unpack
 from agoradesk.llm.shared import boxed, bucket_count, id_and_text, join_by_document, write_stage
 from agoradesk.llm.words import OTHER_BASE, slices, split_words, window_hashes
 
-#: Windows gathered in a task before they are sent: about 24 bytes of memory each.
-CHUNK_WINDOWS = 2_000_000
+#: Windows gathered in a task before they are sent: about 100 bytes of memory each while they are sorted.
+CHUNK_WINDOWS = 1_000_000
 INTERVALS = "doc_id long, text_hash long, starts array<int>, ends array<int>"
 
 

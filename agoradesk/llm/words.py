@@ -19,7 +19,7 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 #: Bytes of text handled at once; a longer text is one slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
