@@ -194,14 +194,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> LanguageModel:
     """A model of the languages in ``labelled`` (doc_id, text, lang), fitted on about ``sample`` whole documents of each."""
     rows = labelled.where("lang is not null and text is not null")
-    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
-    chance = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) * F.col("held") < F.lit(1_000_000 * sample)
-    taken = rows.select("doc_id", "text", "lang").join(size, "lang").where(chance)
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("held")).limit(MOST_LANGUAGES + 1).collect()
+    if len(held) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
+    if not held:
+        return LanguageModel([], np.zeros((SPACE_OF_MODEL, 0), np.float32), np.zeros((SCRIPT_BUCKETS, 0), bool))
+    share = F.create_map(*(F.lit(x) for row in held for x in (row["lang"], min(1.0, sample / row["held"]))))
+    taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")])
     parts = taken.select("lang", "text").mapInArrow(_gather, "lang string, part int, counts binary")
     summed = parts.groupBy("lang", "part").applyInArrow(_add, "lang string, part int, counts binary").collect()
     names = sorted({row["lang"] for row in summed})
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} values of lang; at most {MOST_LANGUAGES}")
     counts = np.zeros((SPACE_OF_MODEL, len(names)), dtype=np.float64)
     for row in summed:
         at, number = unpack(bytes(row["counts"]))
