@@ -87,9 +87,10 @@ def plural(count: Column, word: str) -> Column:
 
 
 def number_text(col: Column) -> Column:
-    """A number as people write it: no trailing zero decimals."""
+    """A number as people write it: plain decimals, no exponent and no trailing zeros."""
     value = col.cast("double")
-    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+    plain = F.regexp_replace(value.cast("decimal(38,15)").cast("string"), "0+$", "")
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(plain)
 
 
 def compare(left: Column, comparator: Column, right: Column) -> Column:

@@ -28,11 +28,14 @@ NUMBER_WORDS = (
     rf"\b{NUMBER_WORD}(?:{SEPARATOR}(?:et{SEPARATOR})?{NUMBER_WORD})*\s+(?:jours?|ans?|semaines?|mois|heures?|pour\s*cent|francs?)\b"
 )
 GENERIC_WORDS = (
-    "a agit approfondir approfondis as au aux avec besoin caracteristique categorie cas ce cela cette clarifie clarifier concerne concernee "
-    "concernees concernes confirme confirmer d dans davantage de demande des detail detaille detailler details dire dois document documents "
-    "donner donnee donnees du element elements en est et explique expliquer information informations il indiquer l la le les m ma manque "
-    "manquante manquantes me merci mentionne mentionnee mentionnees mentionnes mon peux plait plus pouvez pourrais pourriez precision "
-    "precisions preciser qu quelle quelles quel quels question quoi reponse reponses s si situation svp ta te ton tu type un une veux vous"
+    "a", "agit", "approfondir", "approfondis", "as", "au", "aux", "avec", "besoin", "caracteristique", "categorie", "cas", "ce", "cela",
+    "cette", "clarifie", "clarifier", "concerne", "concernee", "concernees", "concernes", "confirme", "confirmer", "d", "dans",
+    "davantage", "de", "demande", "des", "detail", "detaille", "detailler", "details", "dire", "dois", "document", "documents", "donner",
+    "donnee", "donnees", "du", "element", "elements", "en", "est", "et", "explique", "expliquer", "information", "informations", "il",
+    "indiquer", "l", "la", "le", "les", "m", "ma", "manque", "manquante", "manquantes", "me", "merci", "mentionne", "mentionnee",
+    "mentionnees", "mentionnes", "mon", "peux", "plait", "plus", "pouvez", "pourrais", "pourriez", "precision", "precisions", "preciser",
+    "qu", "quelle", "quelles", "quel", "quels", "question", "quoi", "reponse", "reponses", "s", "si", "situation", "svp", "ta", "te",
+    "ton", "tu", "type", "un", "une", "veux", "vous",
 )
 PASSED_ERRORS = (
     "unauthorized", "device_not_activated", "duplicate_request", "rate_limited", "invalid_request", "request_too_large", "forbidden_origin",
@@ -180,7 +183,7 @@ def has_unit_number(tokens: Column, unit: Column) -> Column:
 
 def clarification_issue(col: Column) -> Column:
     """numeric when a clarification states a number, vague when it only uses generic words, else null."""
-    generic = F.array(*[F.lit(w) for w in GENERIC_WORDS.split()])
+    generic = F.array(*[F.lit(w) for w in GENERIC_WORDS])
     return F.when(F.size(numeric_tokens(col)) > 0, "numeric").when(F.size(F.array_except(words(col), generic)) == 0, "vague")
 
 

@@ -217,7 +217,7 @@ def document_passages(docs: DataFrame, title: str = "title", unpaged: Column | N
     if unpaged is not None:
         natural = F.transform(natural, lambda b: F.when(unpaged, reorder_sections(b)).otherwise(b))
     in_blocks = docs.withColumn(
-        "_blocks", F.when(F.col("extraction_status") == "ok", natural).otherwise(F.array().cast(f"array<array<{_BLOCK}>>"))
+        "_blocks", F.when(F.col("extraction_status") != "no_usable_text", natural).otherwise(F.array().cast(f"array<array<{_BLOCK}>>"))
     )
     last_heading = F.transform(
         "_blocks",
@@ -309,12 +309,12 @@ def chunk_documents(
     text: str = "text",
     paged: Column | None = None,
 ) -> DataFrame:
-    """One row per passage of every document whose text could be cut."""
+    """One row per passage of every document, whatever its length; ``chunk_status`` reports the long ones beside it."""
     unpaged = F.lit(True) if paged is None else ~paged
     built = document_passages(segments(docs, text, paged), title, unpaged)
     # An outer explode, because a filter on the passages would be pushed below the
     # projection that builds them and build them a second time.
-    kept = F.when(F.col("chunk_status") == "ok", F.col("passages"))
+    kept = F.when(F.size("passages") > 0, F.col("passages"))
     rows = built.select(*keys, title, F.posexplode_outer(kept).alias("chunk_index", "p")).where("chunk_index is not null")
     page = F.col("p")
     return rows.select(

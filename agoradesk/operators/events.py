@@ -186,13 +186,13 @@ def apply_editorial(df: DataFrame, old_status: str, now: Column, status: str = "
 
 
 def dedupe_operations(ops: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
-    """Replays of an operation id: first, replayed (same payload) or idempotency_conflict."""
+    """Replays of an operation id: first, replayed (same payload) or idempotency_conflict; without an id each operation is a first one."""
     firsts = ops.groupBy(*keys).agg(
         F.min_by(F.struct(*payload), F.struct(*order)).alias("_first"), F.min(F.struct(*order)).alias("_at")
     )
-    joined = ops.join(firsts, keys)
+    joined = ops.join(firsts, keys, "left")
     outcome = (
-        F.when(F.struct(*order) == F.col("_at"), "first")
+        F.when(F.col("_at").isNull() | (F.struct(*order) == F.col("_at")), "first")
         .when(F.struct(*payload).eqNullSafe(F.col("_first")), "replayed")
         .otherwise("idempotency_conflict")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from agoradesk.functions.columns import micros
-from agoradesk.operators.ordered import replay, with_last, with_neighbours
+from agoradesk.operators.ordered import place_key, replay, with_last, with_neighbours
 
 # Limits per scope, in the order they are tested.
 REQUEST_SCOPES = (("device", 3), ("ip", 30), ("institution", 300))
@@ -93,11 +93,11 @@ def sliding_limit(
     slots = per_slot.withColumn("_busy", F.col("_n") + F.when(adjacent, F.lag("_n").over(by_key)).otherwise(0) > smallest)
     follows = F.lead("_slot").over(by_key) == F.col("_slot") + 1
     context = ~F.col("_busy") & follows & F.coalesce(F.lead("_busy").over(by_key), F.lit(False))
-    slots = slots.withColumn("_walk", F.col("_busy") | context)
+    slots = slots.withColumn("_walk", F.col("_slot").isNotNull() & (F.col("_busy") | context))
     # A new run begins at a context slot, after a gap, or after a slot nobody walks.
     begins = ~F.col("_busy") | ~F.coalesce(adjacent, F.lit(False)) | ~F.coalesce(F.lag("_walk").over(by_key), F.lit(False))
-    slots = slots.withColumn("_run", F.max(F.when(begins, F.col("_slot"))).over(by_key)).select(*keys, "_slot", "_walk", "_run")
-    placed = rows.join(slots, [*keys, "_slot"])
+    slots = slots.withColumn("_run", F.max(F.when(begins, F.col("_slot"))).over(by_key)).select(place_key(keys, F.col("_slot")).alias("_place"), "_walk", "_run")
+    placed = rows.withColumn("_place", place_key(keys, F.col("_slot"))).join(slots, "_place").drop("_place")
     calm = placed.where(~F.col("_walk")).withColumn("accepted", F.lit(True))
     walked = replay(
         placed.where("_walk"), [*keys, "_run"], ["_at", event_id], _sliding_walker(limits), ["_at"], "accepted", BooleanType()
@@ -136,18 +136,21 @@ def suppress_duplicates(
 
     Equal events closer than the gap form a burst. A burst no longer than the
     gap collapses to its first event; only longer ones are walked in order.
+    Null keys are equal; an event without a time is its own.
     """
     gap = seconds * 1_000_000
     rows = events.withColumn("_at", micros(F.col(ts)))
     minute = F.floor(F.col("_at") / 60_000_000)
     near = with_neighbours(rows, keys, ["_at", event_id], minute, lag={"_before_at": F.col("_at")})
     opens = F.col("_before_at").isNull() | (F.col("_before_at") < F.col("_at") - gap)
-    first = F.when(opens, F.struct(F.col("_at").alias("at"), F.col(event_id).cast("string").alias("id")))
+    first = F.when(opens & F.col("_at").isNotNull(), F.struct(F.col("_at").alias("at"), F.col(event_id).cast("string").alias("id")))
     burst = with_last(near, keys, ["_at", event_id], minute, {"_burst": first})
-    burst = burst.withColumns({"_from": F.col("_burst")["at"], "_first": F.col("_burst")["id"]}).drop("_burst", "_before_at")
+    timed = F.when(F.col("_at").isNotNull(), F.col("_burst"))
+    burst = burst.withColumns({"_from": timed["at"], "_first": timed["id"]}).drop("_burst", "_before_at")
     spans = burst.groupBy(*keys, "_from").agg((F.max("_at") - F.col("_from") > gap).alias("_long"))
-    placed = burst.join(spans, [*keys, "_from"])
-    short = placed.where(~F.col("_long")).withColumn("kept_id", F.col("_first"))
+    spans = spans.select(place_key(keys, F.col("_from")).alias("_place"), F.coalesce("_long", F.lit(False)).alias("_long"))
+    placed = burst.withColumn("_place", place_key(keys, F.col("_from"))).join(spans, "_place").drop("_place")
+    short = placed.where(~F.col("_long")).withColumn("kept_id", F.coalesce("_first", F.col(event_id).cast("string")))
     walked = replay(
         placed.where("_long"), [*keys, "_from"], ["_at", event_id], _duplicate_walker(gap), ["_at", event_id], "kept_id", StringType()
     )

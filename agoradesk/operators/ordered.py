@@ -25,6 +25,17 @@ def _spread(df: DataFrame, packed: Mapping[str, Mapping[str, Column]]) -> DataFr
     return df.withColumns(cols)
 
 
+def place_key(keys: list[str], *more: Column) -> Column:
+    """Keys as one struct: joined or grouped by it, rows whose keys are null meet like any others."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *more)
+
+
+def _across(keys: list[str]):
+    """A window over the buckets of each group."""
+    held = F.col("_place")
+    return Window.partitionBy(*[held[f"k{i}"] for i in range(len(keys))]).orderBy(held["bucket"])
+
+
 def with_neighbours(
     df: DataFrame,
     keys: list[str],
@@ -35,9 +46,9 @@ def with_neighbours(
 ) -> DataFrame:
     """Values of the previous (``lag``) and next (``lead``) row of each group."""
     lag, lead = lag or {}, lead or {}
-    base = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_bucket")
+    base = df.withColumn("_place", place_key(keys, bucket.alias("bucket")))
+    inside = Window.partitionBy("_place").orderBy(*order)
+    across = _across(keys)
     place = F.struct(*order)
     rows, aggs, shift = base, [], {}
     if lag:
@@ -48,51 +59,51 @@ def with_neighbours(
         rows = rows.withColumn("_lead", F.lead(_packed(lead)).over(inside))
         aggs.append(F.min_by(_packed(lead), place).alias("_first"))
         shift["_after"] = F.lead("_first").over(across)
-    edges = base.groupBy(*keys, "_bucket").agg(*aggs).withColumns(shift).drop("_last", "_first")
-    out = rows.join(edges, [*keys, "_bucket"])
+    edges = base.groupBy("_place").agg(*aggs).withColumns(shift).drop("_last", "_first")
+    out = rows.join(edges, "_place")
     if lag:
         out = out.withColumn("_lag", F.coalesce("_lag", "_before"))
     if lead:
         out = out.withColumn("_lead", F.coalesce("_lead", "_after"))
     out = _spread(out, {k: v for k, v in (("_lag", lag), ("_lead", lead)) if v})
-    return out.drop("_bucket", "_lag", "_lead", "_before", "_after")
+    return out.drop("_place", "_lag", "_lead", "_before", "_after")
 
 
 def with_running(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, sums: Mapping[str, Column]
 ) -> DataFrame:
     """Running totals up to and including each row of its group."""
-    base = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = base.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_total_{a}") for a, c in sums.items()])
+    base = df.withColumn("_place", place_key(keys, bucket.alias("bucket")))
+    inside = Window.partitionBy("_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    edges = base.groupBy("_place").agg(*[F.sum(c).alias(f"_total_{a}") for a, c in sums.items()])
     edges = edges.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(f"_total_{a}").over(before), F.lit(0)).alias(f"_off_{a}") for a in sums]
+        "_place", *[F.coalesce(F.sum(f"_total_{a}").over(before), F.lit(0)).alias(f"_off_{a}") for a in sums]
     )
     rows = base.withColumns({a: F.sum(c).over(inside) for a, c in sums.items()})
-    out = rows.join(edges, [*keys, "_bucket"])
+    out = rows.join(edges, "_place")
     out = out.withColumns({a: F.coalesce(F.col(a), F.lit(0)) + F.col(f"_off_{a}") for a in sums})
-    return out.drop("_bucket", *[f"_off_{a}" for a in sums])
+    return out.drop("_place", *[f"_off_{a}" for a in sums])
 
 
 def with_last(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: Mapping[str, Column]
 ) -> DataFrame:
     """Last non-null value seen up to and including each row of its group."""
-    base = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.withColumn("_place", place_key(keys, bucket.alias("bucket")))
+    inside = Window.partitionBy("_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*order)
-    edges = base.groupBy(*keys, "_bucket").agg(
+    edges = base.groupBy("_place").agg(
         *[F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_end_{a}") for a, c in values.items()]
     )
     edges = edges.select(
-        *keys, "_bucket", *[F.last(f"_end_{a}", ignorenulls=True).over(before).alias(f"_in_{a}") for a in values]
+        "_place", *[F.last(f"_end_{a}", ignorenulls=True).over(before).alias(f"_in_{a}") for a in values]
     )
     rows = base.withColumns({a: F.last(c, ignorenulls=True).over(inside) for a, c in values.items()})
-    out = rows.join(edges, [*keys, "_bucket"])
+    out = rows.join(edges, "_place")
     out = out.withColumns({a: F.coalesce(F.col(a), F.col(f"_in_{a}")) for a in values})
-    return out.drop("_bucket", *[f"_in_{a}" for a in values])
+    return out.drop("_place", *[f"_in_{a}" for a in values])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -121,7 +132,7 @@ def replay(
 
     Rows stream through in Arrow batches and only the state of the current
     group is held, so memory does not grow with the group. ``start`` returns a
-    step function for a new group; it is called once per row with ``inputs``.
+    step function for a new group; it is called once per row with ``inputs``. Null keys are equal.
     """
     schema = StructType(df.schema.fields).add(output, output_type)
 
@@ -129,7 +140,7 @@ def replay(
         current, step = None, None
         for batch in batches:
             results = []
-            group_keys = list(zip(*[batch[k] for k in keys]))
+            group_keys = list(zip(*[batch[k].astype(object).where(batch[k].notna(), None) for k in keys]))
             for key, *args in zip(group_keys, *[batch[c] for c in inputs]):
                 if step is None or key != current:
                     current, step = key, start()

@@ -100,7 +100,7 @@ pages as (select doc_id, title, paged, case when paged then i end page, i - 1 ra
    unnest(case when paged then string_split(body, chr(12)) else [body] end) p, unnest(range(1, len(case when paged then string_split(body, chr(12)) else [body] end) + 1)) i from docs)),
 segs as (select *, row_number() over (partition by doc_id order by raw_seg) - 1 seg from pages where st <> ''),
 fits as (select doc_id from pages group by 1 having (not bool_or(paged) or count(*) <= 250) and sum(length(st)) <= 1500000),
-lines as (select *, {sql_collapse('line')} c from (select doc_id, seg, unnest(string_split(st, chr(10))) line, unnest(range(1, len(string_split(st, chr(10))) + 1)) ln from segs semi join fits using (doc_id))),
+lines as (select *, {sql_collapse('line')} c from (select doc_id, seg, unnest(string_split(st, chr(10))) line, unnest(range(1, len(string_split(st, chr(10))) + 1)) ln from segs)),
 kinds as (select *, {KIND_SQL} k from lines),
 nblocks as (select *, sum(case when k is not null then 1 else 0 end) over (partition by doc_id, seg order by ln) b from kinds),
 blocks0 as (select doc_id, seg, b, {sql_trim("string_agg(case when k is not null then " + sql_trim('line') + " else line end, chr(10) order by ln)")} txt,
@@ -142,7 +142,7 @@ passages as (select m.doc_id, chunk_index, content, cast(greatest(1, ceil(strlen
    m.seg extraction_segment_index, src extraction_structural_block_index, n normalized_structural_block_index, bw extraction_block_chunk_index,
    case when bw > 0 then 500 else 0 end overlap_characters, src <> n structural_order_normalized, frag list_fragment_index,
    case when head is not null then 'detected' when chead is not null then 'carried' else 'none' end section_heading_source, ckind section_heading_kind, cconf section_heading_confidence
-   from numbered m join segs p on p.doc_id = m.doc_id and p.seg = m.seg where total <= 800)"""
+   from numbered m join segs p on p.doc_id = m.doc_id and p.seg = m.seg)"""
 
 META = ("extraction_segment_index", "extraction_structural_block_index", "normalized_structural_block_index", "extraction_block_chunk_index",
         "overlap_characters", "structural_order_normalized", "list_fragment_index", "section_heading_source", "section_heading_kind", "section_heading_confidence")
@@ -162,7 +162,7 @@ def chunk_pipeline_stats(spark, sf):
     return reporting.corpus_stats(chunks(spark, sf), "doc_id")
 
 
-@register("chunk_status", CHUNK_SQL.replace("where total <= 800)", ")") + """, c as (select doc_id, count(*) n from passages group by 1)
+@register("chunk_status", CHUNK_SQL + """, c as (select doc_id, count(*) n from passages group by 1)
  select d.doc_id, coalesce(n, 0) passage_count, case when p.t is null then 'no_usable_text' when f.doc_id is null then 'document_too_large' when coalesce(n, 0) = 0 then 'no_passages'
    when n > 800 then 'too_many_passages' else 'ok' end chunk_status
  from docs d left join c using (doc_id) left join fits f using (doc_id) left join (select doc_id, sum(length(st)) t from pages where st <> '' group by 1) p using (doc_id)""")

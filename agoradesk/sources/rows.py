@@ -11,24 +11,24 @@ from agoradesk.functions.columns import first_match
 MIN_BATCH, MAX_BATCH = 1, 32
 
 
-def batch_status(payload: Column, schema: str, total: Column | None = None, index: str = "chunk_index") -> Column:
-    """Status of a JSON array payload: type, size 1-32, and element indexes below ``total``."""
+def batch_status(payload: Column, schema: str, total: Column | None = None, index: str = "chunk_index", sized: bool = True) -> Column:
+    """Status of a JSON array payload: type, size 1-32 (if ``sized``), and element indexes below ``total``."""
     size = F.json_array_length(payload)
     items = F.from_json(payload, f"array<{schema}>")
     low = lambda r: r[index].isNull() | (r[index] < 0)
     off = F.exists(items, low if total is None else lambda r: low(r) | (r[index] >= total))
     return first_match(
         (size.isNull(), "invalid_passage_batch"),
-        (~size.between(MIN_BATCH, MAX_BATCH), "invalid_passage_batch_size"),
+        (F.lit(sized) & ~size.between(MIN_BATCH, MAX_BATCH), "invalid_passage_batch_size"),
         (F.coalesce(off, F.lit(True)), "invalid_passage_index"),
         default="ok",
     )
 
 
 def rows_from_json(df: DataFrame, column: str, schema: str, keep: list[str], total: Column | None = None) -> DataFrame:
-    """Typed rows of the payloads that pass ``batch_status``; a batch has at most 32."""
-    good = F.when(batch_status(F.col(column), schema, total) == "ok", F.from_json(column, f"array<{schema}>"))
-    return df.select(*keep, F.inline(good))
+    """Typed rows of the payloads whose elements are valid, whatever their number; ``batch_status`` reports the size beside it."""
+    status = batch_status(F.col(column), schema, total, sized=False)
+    return df.select(*keep, F.inline(F.when(status == "ok", F.from_json(column, f"array<{schema}>"))))
 
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -74,6 +74,19 @@ def test_statuses(spark):
     assert got == {1: "no_usable_text", 2: "no_passages", 3: "document_too_large", 4: "too_many_passages"}
 
 
+def test_long_documents_keep_all_passages(spark):
+    words = [f"mot{i}" for i in range(190_000)]
+    docs = spark.createDataFrame(
+        [(1, "t", "\n".join(" ".join(words[a : a + 10]) for a in range(0, len(words), 10))), (2, "t", "\n".join(f"Titre {i}\ncorps {i}" for i in range(1000)))],
+        "id int, title string, text string")
+    parts = {}
+    for r in ch.chunk_documents(docs, ["id"]).collect():
+        parts.setdefault(r.id, []).append(r.content)
+    assert len(parts[2]) == 1000
+    held = set(" ".join(parts[1]).split())
+    assert len(docs.first().text) > ch.MAX_CHARACTERS and held >= set(words)
+
+
 def test_passages_cover_the_text(spark):
     text = "\n".join(f"Section {i}\n" + " ".join(f"mot{i}x{j}" for j in range(700)) for i in range(3))
     joined = " ".join(r.content for r in cut(spark, text))

@@ -2,8 +2,9 @@ import datetime as dt
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from agoradesk.operators import limits
+from agoradesk.operators import events, limits, ordered
 from agoradesk.operators.chat import admit_messages
 
 T0 = dt.datetime(2024, 1, 1)
@@ -64,3 +65,37 @@ def test_message_admission_mixes_limits_and_duplicates(spark):
     got = {r.message_id: r.status_code for r in admit_messages(df, "ts").collect()}
     assert [got[i] for i in range(16)] == ["success"] * 15 + ["rate_limited"]
     assert [got[i] for i in (20, 21, 22, 23)] == ["success", "duplicate_suppressed", "duplicate_suppressed", "success"]
+
+
+def test_null_keys_and_times_keep_their_rows(spark):
+    rows = [(None, i, T0 + dt.timedelta(seconds=i)) for i in range(20)] + [("a", 20, None), ("a", 21, T0), (None, 22, None)]
+    got = {r.id: r.accepted for r in limits.sliding_limit(table(spark, rows), ["k"], "ts", "id", ((60, 5), (3600, 12))).collect()}
+    assert len(got) == 23 and [got[i] for i in range(20)] == [i < 5 for i in range(20)] and got[20] and got[21] and got[22]
+    kept = {r.id: r.kept_id for r in limits.suppress_duplicates(table(spark, rows), ["k"], "ts", "id", 30).collect()}
+    assert len(kept) == 23 and all(kept[i] == "0" for i in range(20)) and (kept[20], kept[21], kept[22]) == ("20", "21", "22")
+
+
+def test_null_keys_in_ordered_columns(spark):
+    rows = [(k, i, T0 + dt.timedelta(hours=i)) for i, k in enumerate([None, "a", None, "a", None])]
+    df = table(spark, rows)
+    hour = F.date_trunc("hour", "ts")
+    near = {r.id: (r.before, r.after) for r in ordered.with_neighbours(df, ["k"], ["ts", "id"], hour, {"before": F.col("id")}, {"after": F.col("id")}).collect()}
+    assert near == {0: (None, 2), 1: (None, 3), 2: (0, 4), 3: (1, None), 4: (2, None)}
+    total = {r.id: r.n for r in ordered.with_running(df, ["k"], ["ts", "id"], hour, {"n": F.lit(1)}).collect()}
+    assert total == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}
+    last = {r.id: r.v for r in ordered.with_last(df, ["k"], ["ts", "id"], hour, {"v": F.when(F.col("id") < 2, F.col("id"))}).collect()}
+    assert last == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
+    ops = spark.createDataFrame([(None, 1, "x"), (None, 2, "x"), ("o", 3, "x"), ("o", 4, "y")], "op string, at int, body string")
+    got = {r.at: r.outcome for r in events.dedupe_operations(ops, ["op"], ["at"], ["body"]).collect()}
+    assert got == {1: "first", 2: "first", 3: "first", 4: "idempotency_conflict"}
+
+
+def test_replay_of_null_long_keys(spark):
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [(7, i) for i in range(3)], "k long, i int")
+
+    def start():
+        seen = []
+        return lambda i: seen.append(i) or len(seen)
+
+    got = sorted(((r.k, r.i, r.n) for r in ordered.replay(df, ["k"], ["i"], start, ["i"], "n", IntegerType()).collect()), key=str)
+    assert got == sorted([(None, i, i + 1) for i in range(5)] + [(7, i, i + 1) for i in range(3)], key=str)

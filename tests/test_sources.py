@@ -43,6 +43,8 @@ def test_json_batches(spark):
     df = spark.createDataFrame([(c,) for c in cases], "p string")
     got = {r.p: r.s for r in df.select("p", rows.batch_status(F.col("p"), "struct<chunk_index:int>", F.lit(5)).alias("s")).collect()}
     assert got == cases
+    kept = rows.rows_from_json(df, "p", "struct<chunk_index:int>", [], F.lit(5))
+    assert kept.count() == 34  # the large batch gives its rows, its status is reported beside them
 
 
 def test_sinks(spark, tmp_path):

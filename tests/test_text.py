@@ -83,3 +83,11 @@ def test_split_windows_against_brute_force(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", tx.split_windows(F.col("t")).alias("w")).collect()
     for r in rows:
         assert r.w == brute_windows(r.t), r.i
+
+
+def test_numbers_are_printed_plainly(spark):
+    from agoradesk.functions.columns import number_text
+
+    values = {12345678.5: "12345678.5", 0.00001: "0.00001", 3.0: "3", 1.25: "1.25"}
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", number_text(F.col("v")).alias("s")).collect()
+    assert {r.v: r.s for r in rows} == values
