@@ -237,30 +237,15 @@ def _route(text: Column) -> Column:
 FACT = "struct<status:string,number_value:double,category_value:string,errors:array<string>>"
 
 
-def number_fact(text: Column, key: str, patterns: tuple[str, ...], minimum: float, maximum: float, whole: bool = True) -> Column:
-    """A numeric fact from every mention in folded text: value, ok / invalid / conflicting, errors."""
+def number_mentions(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Every number the patterns find in folded text, in their order."""
     none = F.array().cast("array<string>")
     found = [F.when(_may_say(text, p), F.regexp_extract_all(text, F.lit(pattern(p)), F.lit(1))).otherwise(none) for p in patterns]
-    raw = F.flatten(F.array(*found))
-    numbers = F.transform(F.when(text.rlike("[0-9]"), raw).otherwise(none), parse_decimal_comma)
-
-    def judge(found: Column) -> Column:
-        fine = lambda n: n.between(minimum, maximum) & (F.lit(not whole) | (n == F.floor(n)))
-        good = F.array_distinct(F.filter(found, fine))
-        bad = F.transform(F.filter(found, lambda n: ~fine(n)), lambda _: F.lit(f"{key}_out_of_range"))
-        many = F.size(good) > 1
-        return F.struct(
-            F.when(F.size(bad) > 0, "invalid").when(many, "conflicting").otherwise("ok").alias("status"),
-            F.when(F.size(good) == 1, F.get(good, F.lit(0))).alias("number_value"),
-            F.lit(None).cast("string").alias("category_value"),
-            F.concat(bad, F.when(many, F.array(F.lit(f"conflicting_{key}"))).otherwise(F.array().cast("array<string>"))).alias("errors"),
-        )
+    return F.transform(F.when(text.rlike("[0-9]"), F.flatten(F.array(*found))).otherwise(none), parse_decimal_comma)
 
-    return let(numbers, judge).cast(FACT)
 
-
-def reason_fact(text: Column, key: str = "leave_reason", known: tuple[str, ...] = ("marriage", "death_first_degree", "death_second_degree", "moving")) -> Column:
-    """The reason of an exceptional leave; only the person's own marriage or move counts."""
+def reason_mentions(text: Column) -> Column:
+    """The reasons of an exceptional leave; only the person's own marriage or move counts."""
     death = says(text, DEATH)
     signals = {
         "marriage": says(text, OWN_MARRIAGE),
@@ -268,54 +253,91 @@ def reason_fact(text: Column, key: str = "leave_reason", known: tuple[str, ...]
         "death_second_degree": death & says(text, SECOND_DEGREE),
         "moving": says(text, OWN_MOVING),
     }
-    found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in signals.items() if name in known]))
-    return let(
-        found,
-        lambda f: F.struct(
-            F.when(F.size(f) > 1, "conflicting").otherwise("ok").alias("status"),
-            F.lit(None).cast("double").alias("number_value"),
-            F.when(F.size(f) == 1, F.get(f, F.lit(0))).alias("category_value"),
-            F.when(F.size(f) > 1, F.array(F.lit(f"conflicting_{key}"))).otherwise(F.array().cast("array<string>")).alias("errors"),
-        ),
-    ).cast(FACT)
-
-
-# The closed registry: what a template may name, and the column each name builds.
-EXTRACTORS = {
-    "age_years_fr_v1": lambda text: number_fact(text, "age_years", AGE_PATTERNS, 14, 100),
-    "service_years_fr_v1": lambda text: number_fact(text, "service_years", SERVICE_PATTERNS, 0, 80),
-    "leave_reason_fr_v1": lambda text: reason_fact(text),
-}
-TEMPLATE_FACTS = {
-    ANNUAL_LEAVE: (("age_years", "age_years_fr_v1"), ("service_years", "service_years_fr_v1")),
-    EXCEPTIONAL_LEAVE: (("leave_reason", "leave_reason_fr_v1"),),
-}
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in signals.items()]))
 
 
-def extract_facts(questions: DataFrame, text: str = "question", template: str = "template_key") -> DataFrame:
-    """Add ``facts`` (fact key → values), ``facts_status`` and ``facts_errors`` for each question's template."""
+# The closed registry: what a template may name, and what each name reads from a folded question.
+NUMBER_EXTRACTORS = {"age_years_fr_v1": AGE_PATTERNS, "service_years_fr_v1": SERVICE_PATTERNS}
+CATEGORY_EXTRACTORS = {"leave_reason_fr_v1": reason_mentions}
+EXTRACTORS = (*NUMBER_EXTRACTORS, *CATEGORY_EXTRACTORS)
+
+
+def read_questions(questions: DataFrame, text: str = "question", intent: str = "template_key", every: bool = False) -> DataFrame:
+    """Add the template a question is about (``intent``) and ``mentions``: what each extractor finds in it.
+
+    A question is folded and searched once, before any join; which of the mentions count is for the template to say
+    (:func:`extract_facts`). Mentions of a question about no template are read only if ``every`` is set. The columns come out of a
+    generator, so that no filter on them is pushed below it and runs the patterns a second time.
+    """
+
+    def read(t: Column) -> Column:
+        said = F.struct(
+            *[number_mentions(t, p).alias(name) for name, p in NUMBER_EXTRACTORS.items()], *[f(t).alias(name) for name, f in CATEGORY_EXTRACTORS.items()]
+        )
+        pair = lambda key: F.struct(key.alias(intent), (said if every else F.when(key.isNotNull(), said)).alias("mentions"))
+        return let(detect_intent(t), pair)
+
+    return questions.select("*", F.inline(F.array(let(fold(F.col(text)), read))))
 
 
-    def values(folded: Column) -> Column:
-        out = None
-        for key, wanted in TEMPLATE_FACTS.items():
-            found = F.array(*[F.struct(F.lit(name).alias("key"), EXTRACTORS[x](folded).alias("value")) for name, x in wanted])
-            out = F.when(F.col(template) == key, found) if out is None else out.when(F.col(template) == key, found)
-        return out
+def _chosen(extractor: Column, readings: dict[str, Column], none: Column) -> Column:
+    out = none
+    for name, reading in readings.items():
+        out = F.when(extractor == name, reading).otherwise(out)
+    return F.coalesce(out, none)
 
-    rows = questions.withColumn("_facts", let(fold(F.col(text)), values))
+
+def _judge_fact(spec: Column, said: Column) -> Column:
+    """One fact of a template from the mentions of a question: value, ok / invalid / conflicting, errors."""
+    key = spec["fact_key"]
+    numbers = _chosen(spec["extractor_key"], {n: said[n] for n in NUMBER_EXTRACTORS}, F.array().cast("array<double>"))
+    named = _chosen(spec["extractor_key"], {n: F.array_intersect(said[n], spec["categories"]) for n in CATEGORY_EXTRACTORS}, F.array().cast("array<string>"))
+
+    def fine(n: Column) -> Column:
+        whole = ~F.coalesce(spec["integer_only"], F.lit(False)) | (n == F.floor(n))
+        low = spec["minimum_number"].isNull() | (n >= spec["minimum_number"])
+        high = spec["maximum_number"].isNull() | (n <= spec["maximum_number"])
+        return F.coalesce(whole & low & high, F.lit(False))
+
+    def conclude(x: Column) -> Column:
+        good, bad = x["good"], x["bad"]
+        many = F.size(good) + F.size(x["named"]) > 1
+        clash = F.when(many, F.array(F.concat(F.lit("conflicting_"), key))).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            F.when(F.size(bad) > 0, "invalid").when(many, "conflicting").otherwise("ok").alias("status"),
+            F.when(F.size(good) == 1, F.get(good, F.lit(0))).alias("number_value"),
+            F.when(F.size(x["named"]) == 1, F.get(x["named"], F.lit(0))).alias("category_value"), F.concat(bad, clash).alias("errors"),
+        )
+
+    def split(found: Column) -> Column:
+        bad = F.transform(F.filter(found, lambda n: ~fine(n)), lambda _: F.concat(key, F.lit("_out_of_range")))
+        return let(F.struct(F.array_distinct(F.filter(found, fine)).alias("good"), bad.alias("bad"), named.alias("named")), conclude)
+
+    return let(numbers, split).cast(FACT)
+
+
+def extract_facts(questions: DataFrame, template: str = "template", mentions: str = "mentions") -> DataFrame:
+    """Add ``facts`` (fact key → values), ``facts_status`` and ``facts_errors``: the facts the template lists, within its bounds.
+
+    ``template`` holds the nested template of each row, ``mentions`` what :func:`read_questions` found. An extractor outside the
+    registry, or no template, makes the extraction invalid. Of facts listed twice under one key the last counts.
+    """
+    t, said = F.col(template), F.col(mentions)
+    stray = F.get(F.filter(t["facts"], lambda f: ~F.coalesce(f["extractor_key"].isin(*EXTRACTORS), F.lit(False))), F.lit(0))["extractor_key"]
+    unknown = F.when(t["facts"].isNull() | F.exists(t["facts"], lambda f: ~F.coalesce(f["extractor_key"].isin(*EXTRACTORS), F.lit(False))),
+                     F.concat(F.lit("unknown_extractor_"), F.coalesce(stray, F.lit(""))))
+    judged = F.transform(t["facts"], lambda f: F.struct(f["fact_key"].alias("key"), _judge_fact(f, said).alias("value")))
+    rows = questions.withColumns({"_facts": F.when(unknown.isNull(), judged), "_unknown": unknown})
     statuses = F.transform("_facts", lambda f: f["value"]["status"])
     status = (
-        F.when(F.col("_facts").isNull(), "invalid")
-        .when(F.array_contains(statuses, "invalid"), "invalid")
+        F.when(F.col("_unknown").isNotNull() | F.array_contains(statuses, "invalid"), "invalid")
         .when(F.array_contains(statuses, "conflicting"), "conflicting")
         .otherwise("ok")
     )
-    errors = F.flatten(F.transform("_facts", lambda f: f["value"]["errors"]))
-    unknown = F.array(F.concat(F.lit("unknown_extractor_"), F.coalesce(F.col(template), F.lit(""))))
-    return rows.withColumns(
-        {"facts": F.map_from_entries("_facts"), "facts_status": status, "facts_errors": F.coalesce(errors, unknown)}
-    ).drop("_facts")
+    again = lambda f, i: F.exists(F.slice("_facts", i + 2, F.size("_facts")), lambda g: g["key"] == f["key"])
+    last = F.filter("_facts", lambda f, i: ~again(f, i))
+    errors = F.when(F.col("_unknown").isNotNull(), F.array("_unknown")).otherwise(F.flatten(F.transform("_facts", lambda f: f["value"]["errors"])))
+    return rows.withColumns({"facts": F.map_from_entries(last), "facts_status": status, "facts_errors": errors}).drop("_facts", "_unknown")
 
 
 def needs_rules(question: Column, answer: Column) -> Column:

@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import compare, first_match, let, number_text
-from agoradesk.operators.questions import ANNUAL_LEAVE, EXCEPTIONAL_LEAVE, detect_intent, extract_facts
-from agoradesk.functions.text import fold
+from agoradesk.operators.questions import ANNUAL_LEAVE, EXCEPTIONAL_LEAVE, EXTRACTORS, extract_facts, read_questions
 
 # Statuses, strategies, wording.
 STRATEGY = "maximum_applicable_entitlement"
 REGISTRY = {
     "aggregation_strategy": ("maximum_applicable_entitlement",),
-    "fact_extractor": ("age_years_fr_v1", "leave_reason_fr_v1", "service_years_fr_v1"),
+    "fact_extractor": tuple(sorted(EXTRACTORS)),
     "intent_detector": ("annual_leave_intent_v1", "exceptional_leave_intent_v1"),
     "renderer": ("annual_leave_answer_fr_v1", "exceptional_leave_answer_fr_v1"),
 }
@@ -271,10 +270,8 @@ def render(df: DataFrame) -> DataFrame:
     outcome, facts, t = F.col("outcome_value"), F.col("facts"), F.col("template")
     said = number_text(outcome)
     age = facts["age_years"]["number_value"]
-    days = F.concat(F.lit("tu as droit à "), said, F.lit(" jours de vacances."))
-    opening = F.when(age.isNull(), F.concat(F.lit("T"), F.substring(days, 2, 10_000))).otherwise(
-        F.concat(F.lit("À "), number_text(age), F.lit(" ans, "), days)
-    )
+    days = F.concat(F.lit("u as droit à "), said, F.lit(" jours de vacances."))
+    opening = F.concat(F.when(age.isNull(), "T").otherwise(F.concat(F.lit("À "), number_text(age), F.lit(" ans, t"))), days)
     sentence = F.transform(
         "conditional_outcomes",
         lambda o: F.concat(
@@ -316,7 +313,7 @@ def _answered(joined: DataFrame) -> DataFrame:
     missing = registry_mismatch(F.col("template")).isNotNull() | F.col("result").isNull()
     code = (
         F.when(missing, "rag_runtime_registry_mismatch")
-        .when(F.col("reason").isNotNull(), F.left(F.concat(F.lit("deterministic_"), "reason"), F.lit(100)))
+        .when(F.col("reason").isNotNull(), F.concat(F.lit("deterministic_"), "reason"))
         .when(F.col("resolution_status") == "needs_clarification", "deterministic_needs_clarification")
     )
     return out.withColumn("_missing", missing).withColumns(
@@ -333,44 +330,40 @@ def _answered(joined: DataFrame) -> DataFrame:
 def answer_by_rules(questions: DataFrame, sets: DataFrame, tenant: str = "institution_id") -> DataFrame:
     """Answer every question that is about a template its tenant has rules for.
 
-    Exactly one set must match; several are ambiguous and block the answer.
+    Exactly one set must match; several are ambiguous and block the answer. Questions are read once, then joined once to one row per
+    tenant and template that holds the number of sets and one of them.
     """
-    asked = questions.withColumn("template_key", detect_intent(fold(F.col("question")))).where("template_key is not null")
-    # Facts depend on the question alone, so they are read before any join.
-    asked = extract_facts(asked)
+    asked = read_questions(questions)
     usable = validate_rule_sets(sets).withColumnRenamed("rule_key", "template_key")
-    matching = usable.groupBy(tenant, "template_key").agg(F.count("*").alias("matching_sets"))
-    single = usable.join(matching.where("matching_sets = 1"), [tenant, "template_key"])
-    several = matching.where("matching_sets > 1").select(tenant, "template_key")
+    fields = [c for c in usable.columns if c not in (tenant, "template_key")]
+    matching = usable.groupBy(tenant, "template_key").agg(F.count(F.lit(1)).alias("matching_sets"), F.first(F.struct(*fields)).alias("_set"))
+    joined = asked.join(matching, [tenant, "template_key"]).select("*", "_set.*").drop("_set")
     keep = [*questions.columns, "template_key", "result", "answer", "needs_human_review", "error_code", "source_passage_ids",
             "resolution_status", "outcome_value"]
-    one = _answered(asked.join(single, [tenant, "template_key"])).select(*keep)
-    ambiguous = asked.join(several, [tenant, "template_key"]).withColumns(
-        {
-            "result": F.lit("insufficient_sources"), "answer": F.lit(BLOCKED), "needs_human_review": F.lit(True),
-            "error_code": F.lit("deterministic_rule_ambiguous"), "source_passage_ids": F.array().cast("array<string>"),
-            "resolution_status": F.lit("blocked"), "outcome_value": F.lit(None).cast("double"),
-        }
-    ).select(*keep)
-    return one.unionByName(ambiguous)
+    ambiguous = {
+        "result": F.lit("insufficient_sources"), "answer": F.lit(BLOCKED), "needs_human_review": F.lit(True),
+        "error_code": F.lit("deterministic_rule_ambiguous"), "source_passage_ids": F.array().cast("array<string>"),
+        "resolution_status": F.lit("blocked"), "outcome_value": F.lit(None).cast("double"),
+    }
+    out = _answered(extract_facts(joined))
+    return out.withColumns({name: F.when(F.col("matching_sets") > 1, value).otherwise(F.col(name)) for name, value in ambiguous.items()}).select(*keep)
 
 
 def what_if(simulations: DataFrame, sets: DataFrame) -> DataFrame:
     """Outcome of each (rule_set_id, question) row as if the set were in force; nothing is changed."""
     in_force = sets.withColumns({"persisted_status": F.col("status"), "status": F.lit("validated"), "document_status": F.lit("active")})
-    joined = simulations.join(in_force, "rule_set_id").withColumn("template_key", F.col("rule_key"))
+    joined = read_questions(simulations, intent="_intent", every=True).join(in_force, "rule_set_id").withColumn("template_key", F.col("rule_key"))
     out = render(resolve(extract_facts(joined)))
-    intent = detect_intent(fold(F.col("question")))
     owned = F.flatten(F.transform("rules", lambda r: r["sources"]))
     code = first_match(
         (F.col("reason").isin("invalid_template_binding", "invalid_rule", "duplicate_template_fact", "invalid_fact_constraint"), "invalid_rule_contract"),
         (registry_mismatch(F.col("template")).isNotNull(), "runtime_registry_mismatch"),
-        (~intent.eqNullSafe(F.col("rule_key")), "question_outside_template"),
+        (~F.col("_intent").eqNullSafe(F.col("rule_key")), "question_outside_template"),
         (F.col("result").isNull(), "renderer_unavailable"),
         (F.size(F.array_except("source_passage_ids", owned)) > 0, "simulation_source_mismatch"),
     )
     recognised = F.size(F.filter(F.map_values("facts"), _known))
-    return out.withColumns({"code": F.coalesce(code, F.col("resolution_status")), "recognized_fact_count": recognised})
+    return out.withColumns({"code": F.coalesce(code, F.col("resolution_status")), "recognized_fact_count": recognised}).drop("_intent", "mentions")
 
 
 # The two published templates.

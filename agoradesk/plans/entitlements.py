@@ -20,6 +20,30 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def own_template(template: dict):
+    """The published template with an institution's own bounds and reasons."""
+    k = F.col("institution_id")
+
+    def own(f):
+        key = f["fact_key"]
+        named = F.when(k % 4 == 1, F.array_remove(f["categories"], "moving")).otherwise(f["categories"])
+        values = {
+            "minimum_number": F.when((key == "age_years") & (k % 2 == 1), F.lit(18.0)).otherwise(f["minimum_number"]),
+            "maximum_number": F.when((key == "service_years") & (k % 5 == 4), F.lit(30.0)).otherwise(f["maximum_number"]), "categories": named,
+        }
+        return F.struct(*[values.get(n, f[n]).alias(n) for n in ("fact_key", "value_type", "extractor_key", "minimum_number", "maximum_number",
+                                                                 "integer_only", "operators", "categories")])
+
+    shared = rl.template_column(template)
+    return shared.withField("facts", F.transform(shared["facts"], own))
+
+
+def templates(spark, sf):
+    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("institution_id"))
+    both = [s.select("institution_id", F.lit(t["template_key"]).alias("template_key"), own_template(t).alias("template")) for t in (rl.ANNUAL_TEMPLATE, rl.EXCEPTIONAL_TEMPLATE)]
+    return both[0].unionByName(both[1])
+
+
 def one_template(spark, sf, template: dict, base_rules, suffix: str):
     s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("institution_id"))
     k = F.col("institution_id")
@@ -32,7 +56,7 @@ def one_template(spark, sf, template: dict, base_rules, suffix: str):
         set_id.alias("rule_set_id"), "institution_id", F.lit(template["template_key"]).alias("rule_key"),
         F.lit(template["template_version_id"]).alias("template_version_id"), F.lit(rl.STRATEGY).alias("aggregation_strategy"),
         F.lit("days").alias("result_unit"), F.when((k % 10 == 8) & F.lit(suffix == "annual"), "approved").otherwise("validated").alias("status"),
-        F.lit("active").alias("document_status"), rules.alias("rules"), rl.template_column(template).alias("template"))
+        F.lit("active").alias("document_status"), rules.alias("rules"), own_template(template).alias("template"))
 
 
 def rule_sets(spark, sf):
@@ -81,9 +105,7 @@ def rule_answers(spark, sf):
   case when facts_status <> 'ok' or f_service > f_age or (f_age is null and f_service is null) then 'needs_clarification' when len(w) > 0 then 'conditional' else 'resolved' end end code,
  cast(case when template_key = 'annual_leave_days' then (f_age is not null)::int + (f_service is not null)::int else 0 end as bigint) recognized_fact_count from texts""")
 def rule_what_if(spark, sf):
-    from agoradesk.functions.text import fold
-
-    rows = asked(spark, sf).withColumn("_t", qs.detect_intent(fold(F.col("question")))).where("_t is not null")
+    rows = qs.read_questions(asked(spark, sf)).where("template_key is not null")
     sims = rows.select("l_orderkey", "l_linenumber", "question", F.concat_ws("-", F.lit("annual"), F.col("institution_id").cast("string")).alias("rule_set_id"))
     return rl.what_if(sims, rule_sets(spark, sf)).select("l_orderkey", "l_linenumber", "code", F.col("recognized_fact_count").cast("long").alias("recognized_fact_count"))
 

@@ -35,13 +35,17 @@ ASKED_SQL = """asked as (select *, case v when 0 then 'J’ai ' || age || ' ans,
  from (select l_orderkey, l_linenumber, l_partkey, l_suppkey institution_id, (l_orderkey + l_linenumber) % 9 v, 10 + cast(l_quantity as bigint) age,
    cast(round(l_discount * 100) as bigint) * 4 s from lineitem))"""
 
+# Every institution has its own templates: another least age, most years of service, and list of reasons. "avec n ans de service" (v = 1) is
+# found by two patterns, and each mention out of range is an error of its own.
 FACTS_SQL = ASKED_SQL + """,
+bounds as (select *, 14 + 4 * (institution_id % 2) least_age, case when institution_id % 5 = 4 then 30 else 80 end most_service, institution_id % 4 <> 1 may_move from asked),
 facts as (select *, case when v in (0, 1, 2, 4, 6) then 'annual_leave_days' when v in (3, 5, 8) then 'fixed_duration_exceptional_leave_by_event' end template_key,
- case when v in (0, 2) and age >= 14 then age when v = 6 and (age = 30 or age < 14) then 30 end f_age,
- case when v in (1, 2) then s end f_service,
- case when v = 5 then 'moving' when v = 3 and l_partkey % 4 = 0 then 'marriage' when v = 3 and l_partkey % 4 = 1 then 'death_first_degree' when v = 3 and l_partkey % 4 = 2 then 'death_second_degree' end f_reason,
- case when (v in (0, 2, 6) and age < 14) or v = 4 then 'invalid' when v = 8 or (v = 6 and age <> 30) then 'conflicting' else 'ok' end facts_status,
- case when (v in (0, 2, 6) and age < 14) or v = 4 then 'age_years_out_of_range' when v = 8 then 'conflicting_leave_reason' when v = 6 and age <> 30 then 'conflicting_age_years' else '' end facts_errors from asked)"""
+ case when v in (0, 2) and age >= least_age then age when v = 6 and (age = 30 or age < least_age) then 30 end f_age,
+ case when v in (1, 2) and s <= most_service then s end f_service,
+ case when v = 5 and may_move then 'moving' when v = 3 and l_partkey % 4 = 0 then 'marriage' when v = 3 and l_partkey % 4 = 1 then 'death_first_degree' when v = 3 and l_partkey % 4 = 2 then 'death_second_degree' end f_reason,
+ case when (v in (0, 2, 6) and age < least_age) or v = 4 or (v in (1, 2) and s > most_service) then 'invalid' when v = 8 or (v = 6 and age <> 30) then 'conflicting' else 'ok' end facts_status,
+ concat_ws(',', case when (v in (0, 2, 6) and age < least_age) or v = 4 then 'age_years_out_of_range' when v = 8 then 'conflicting_leave_reason' when v = 6 and age <> 30 then 'conflicting_age_years' end,
+  case when v = 1 and s > most_service then 'service_years_out_of_range,service_years_out_of_range' when v = 2 and s > most_service then 'service_years_out_of_range' end) facts_errors from bounds)"""
 
 
 def asked(spark, sf):
@@ -106,8 +110,10 @@ def question_routes(spark, sf):
 @register("question_facts", "with " + FACTS_SQL + """ select l_orderkey, l_linenumber, cast(f_age as double) age_years, cast(f_service as double) service_years, f_reason leave_reason, facts_status, facts_errors
  from facts where template_key is not null""")
 def question_facts(spark, sf):
-    rows = asked(spark, sf).withColumn("template_key", qs.detect_intent(fold(F.col("question")))).where("template_key is not null")
-    out = qs.extract_facts(rows)
+    from agoradesk.plans.entitlements import templates
+
+    rows = qs.read_questions(asked(spark, sf))
+    out = qs.extract_facts(rows.join(templates(spark, sf), ["institution_id", "template_key"]))
     f = F.col("facts")
     return out.select("l_orderkey", "l_linenumber", f["age_years"]["number_value"].alias("age_years"), f["service_years"]["number_value"].alias("service_years"),
                       f["leave_reason"]["category_value"].alias("leave_reason"), "facts_status", F.array_join("facts_errors", ",").alias("facts_errors"))

@@ -84,13 +84,51 @@ def test_routing(spark):
     assert {r.q: r.r for r in rows} == want
 
 
+def own(spec, **changes):
+    return {**spec, "facts": [{**f, **changes.get(f["fact_key"], {})} for f in spec["facts"]]}
+
+
+def facts_of(spark, spec, questions):
+    rows = spark.createDataFrame([(q,) for q in questions], "question string")
+    out = qs.extract_facts(qs.read_questions(rows, every=True).withColumn("template", rl.template_column(spec)))
+    return {r.question: r for r in out.collect()}
+
+
 def test_fact_extraction(spark):
     want = {
         "j'ai 30 ans": (30.0, "ok"), "a 30 ans de service": (None, "ok"), "age : 30 ans et agé de 31 ans": (None, "conflicting"), "j'ai 130 ans": (None, "invalid"),
         "un employé de 45 ans": (45.0, "ok"), "45 ans d'age": (45.0, "ok"), "xa 30 ans": (None, "ok"),
     }
-    rows = spark.createDataFrame([(q,) for q in want], "q string").select("q", qs.number_fact(fold(F.col("q")), "age_years", qs.AGE_PATTERNS, 14, 100).alias("f")).collect()
-    assert {r.q: (r.f.number_value, r.f.status) for r in rows} == want
+    got = facts_of(spark, own(rl.ANNUAL_TEMPLATE), want)
+    assert {q: (r.facts["age_years"].number_value, r.facts["age_years"].status) for q, r in got.items()} == {q: v for q, v in want.items()}
+
+
+def test_facts_follow_the_template(spark):
+    adult = own(rl.ANNUAL_TEMPLATE, age_years={"minimum_number": 18.0})
+    got = facts_of(spark, adult, ["J'ai 16 ans, vacances ?", "J'ai 18 ans, vacances ?", "vacances", None])
+    assert (got["J'ai 16 ans, vacances ?"].facts_status, got["J'ai 16 ans, vacances ?"].facts_errors) == ("invalid", ["age_years_out_of_range"])
+    assert got["J'ai 18 ans, vacances ?"].facts["age_years"].number_value == 18.0
+    assert got["vacances"].facts_status == "ok" and got[None].facts_status == "ok"
+    half = facts_of(spark, own(rl.ANNUAL_TEMPLATE, age_years={"integer_only": False, "maximum_number": None}), ["J'ai 58,5 ans", "J'ai 130 ans"])
+    assert half["J'ai 58,5 ans"].facts["age_years"].number_value == 58.5 and half["J'ai 130 ans"].facts_status == "ok"
+    few = facts_of(spark, own(rl.EXCEPTIONAL_TEMPLATE, leave_reason={"categories": ["marriage"]}), ["Je déménage", "Mon mariage et le décès de mon père"])
+    assert few["Je déménage"].facts["leave_reason"].category_value is None
+    assert few["Mon mariage et le décès de mon père"].facts["leave_reason"].category_value == "marriage"
+    one = {**rl.ANNUAL_TEMPLATE, "facts": rl.ANNUAL_TEMPLATE["facts"][1:]}
+    assert list(facts_of(spark, one, ["J'ai 30 ans"])["J'ai 30 ans"].facts) == ["service_years"]
+    odd = facts_of(spark, own(rl.ANNUAL_TEMPLATE, age_years={"extractor_key": "size_v1"}), ["J'ai 30 ans"])["J'ai 30 ans"]
+    assert (odd.facts, odd.facts_status, odd.facts_errors) == (None, "invalid", ["unknown_extractor_size_v1"])
+
+
+def test_answers_and_plan_follow_the_template(spark):
+    adult = own(rl.ANNUAL_TEMPLATE, age_years={"minimum_number": 18.0})
+    sets = spark.range(1).select(*rule_set(adult, rl.ANNUAL_RULES))
+    asked = spark.createDataFrame([("h1", "J'ai 16 ans, combien de vacances ?")], "institution_id string, question string")
+    out = rl.answer_by_rules(asked, sets)
+    row = out.first()
+    assert (row.resolution_status, row.error_code) == ("needs_clarification", "deterministic_invalid_question_facts")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("employe?") == 1
 
 
 def test_consolidated_turns(spark):
