@@ -99,10 +99,21 @@ def content_section(block_type: Column) -> Column:
 
 
 def faq_search(faq: DataFrame, queries: DataFrame | str) -> DataFrame:
-    """FAQ rows whose question, answer or category contains the query, ignoring case."""
+    """FAQ rows whose question, answer or category contains the query, ignoring case.
+
+    A text is one query for every tenant. A table (institution_id, query_id, query) is searched within each tenant's own rows; the
+    result has one row per hit with its query_id. A blank or null query finds every row of the tenant.
+    """
     haystack = F.lower(F.concat_ws(" ", "question", "answer", F.coalesce("category", F.lit(""))))
-    needle = F.lower(F.trim(F.lit(queries)))
-    return faq.where((needle == "") | F.contains(haystack, needle))
+    if isinstance(queries, str):
+        needle = F.lower(F.trim(F.lit(queries)))
+        return faq.where((needle == "") | F.contains(haystack, needle))
+    asked = queries.select(
+        F.col("institution_id").alias("_tenant"), "query_id", F.lower(F.trim(F.coalesce("query", F.lit("")))).alias("_needle")
+    )
+    held = faq.withColumn("_text", haystack)
+    hit = (F.col("institution_id") == F.col("_tenant")) & ((F.col("_needle") == "") | F.contains("_text", "_needle"))
+    return held.join(asked, hit).drop("_tenant", "_needle", "_text")
 
 
 def bundle_rows(sections: dict[str, DataFrame], keys: list[str]) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import clamp, safe_token
-from agoradesk.operators.ordered import latest_per_key, top_per_key
+from agoradesk.operators.ordered import latest_per_key, with_running
 
-# Page sizes, log bounds.
-DOCUMENT_LIST = 500
+# Log bounds, batch size.
 MAX_DURATION_MS = 300_000
 BATCH_SIZE = 16
 
@@ -45,35 +44,35 @@ def collect_sorted(df: DataFrame, keys: list[str], order: list[str], values: lis
     )
 
 
-def list_documents(docs: DataFrame, jobs: DataFrame, tenant: str = "institution_id", limit: int = DOCUMENT_LIST) -> DataFrame:
-    """Newest documents per tenant with their latest job."""
-    newest = top_per_key(docs, [tenant], [F.desc("created_at"), F.desc("document_id")], limit, "position")
+def list_documents(docs: DataFrame, jobs: DataFrame, tenant: str = "institution_id", limit: int | None = None) -> DataFrame:
+    """Documents per tenant with their place in the list, newest first, and their latest job; all of them unless ``limit`` is set.
+
+    Places are counted within days and the days of a tenant are added up, so a tenant of very many documents is many tasks.
+    A document without a time comes last.
+    """
+    day = F.coalesce(-F.unix_date(F.col("created_at").cast("date")), F.lit(2**31 - 1))
+    placed = with_running(docs, [tenant], [F.desc("created_at"), F.desc("document_id")], day, {"position": F.lit(1)})
+    listed = placed if limit is None else placed.where(F.col("position") <= limit)
     job = latest_per_key(jobs, ["document_id"], ["job_created_at", "job_id"])
-    return newest.join(job.drop(tenant), "document_id", "left")
+    return listed.join(job.drop(tenant), "document_id", "left")
 
 
 def keyset_page(df: DataFrame, order: list[str], n: int, cursor: tuple | None = None) -> DataFrame:
     """One page in descending ``order``, with ``has_more`` and the encoded ``next_cursor``.
 
-    One row more than the page is fetched, which tells whether another follows.
+    One row more than the page is fetched, which tells whether another follows. Only these n + 1 rows reach the windows.
     """
     rows = df
     if cursor is not None:
         at = F.struct(*[F.lit(v).cast(dict(df.dtypes)[c]).alias(c) for c, v in zip(order, cursor)])
         rows = df.where(F.struct(*order) < at)
-    fetched = rows.orderBy(*[F.desc(c) for c in order]).limit(n + 1)
-    last_key = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
-    ends = fetched.agg(
-        (F.count("*") > n).alias("has_more"),
-        F.array_sort(F.collect_list(F.struct(*order, last_key.alias("_key")))).alias("_all"),
-    )
-    # At most n + 1 rows exist here, so the array and the one-row join are bounded.
-    ends = ends.select(
-        "has_more", F.when(F.col("has_more"), F.base64(F.col("_all")[1]["_key"].cast("binary"))).alias("next_cursor"),
-        F.when(F.col("has_more"), F.col("_all")[0]["_key"]).alias("_extra"), F.lit(0).alias("_k"),
-    )
-    page = fetched.withColumn("_k", F.lit(0)).join(ends, "_k")
-    return page.where(F.col("_extra").isNull() | (last_key != F.col("_extra"))).drop("_k", "_extra")
+    down = [F.desc(c) for c in order]
+    fetched = rows.orderBy(*down).limit(n + 1)
+    whole = Window.orderBy(*down).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
+    counted = fetched.withColumns({"_at": F.row_number().over(Window.orderBy(*down)), "has_more": F.count(F.lit(1)).over(whole) > n})
+    last = F.max(F.when(F.col("_at") == n, key)).over(whole)
+    return counted.withColumn("next_cursor", F.when(F.col("has_more"), F.base64(last.cast("binary")))).where(F.col("_at") <= n).drop("_at")
 
 
 def decode_cursor(col: Column) -> Column:

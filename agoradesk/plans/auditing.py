@@ -31,7 +31,8 @@ def pid(col):
 
 # Answers: k = conv_id * 100 + turn picks the shape, the claim and the cited documents.
 ANSWERS_SQL = """ans as (select conv_id * 100 + turn k, text, ['supported', 'supported', 'needs_clarification', 'conflicting_sources', 'insufficient_sources', 'other'][1 + (conv_id + turn) % 6] as result,
-  (conv_id * 7) % 200 d1, (conv_id * 7 + 1 + turn % 2 * 5000) % 7000 d2 from conversations where role <> 'system')"""
+  (conv_id * 7) % n d1, (conv_id * 7 + 1 + turn % 2 * 5 * n) % (7 * n) d2
+  from conversations, (select max(doc_id) + 1 n from documents) where role <> 'system')"""
 TEXT_SQL = """case when result = 'needs_clarification' then case k % 3 when 0 then 'Peux-tu préciser ta situation ?' when 1 then 'As-tu plus de 20 ans ?' else 'Quel est ton métier ?' end
    when k % 5 = 0 then 'Réponse sans nombre.' when k % 5 = 1 then 'Tu as droit à ' || (d1 % 5) || ' jours.' when k % 5 = 2 then 'Cela dure trois semaines.' when k % 5 = 3 then 'Il faut ' || (d1 % 4) || ',0 heures (passage_id: '
     || {u} || ') .' else 'De 10-20 % selon le cas' end"""
@@ -45,10 +46,11 @@ def cited(result, d1, d2):
 def answers(spark, sf):
     c = read_table(spark, sf, "conversations").where("role <> 'system'")
     k = F.col("conv_id") * 100 + F.col("turn")
+    n = read_table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
     shapes = F.array(*[F.lit(x) for x in ("supported", "supported", "needs_clarification", "conflicting_sources", "insufficient_sources", "other")])
     rows = c.select(
         k.alias("k"), F.element_at(shapes, (1 + (F.col("conv_id") + F.col("turn")) % 6).cast("int")).alias("result"),
-        (F.col("conv_id") * 7 % 200).alias("d1"), ((F.col("conv_id") * 7 + 1 + F.col("turn") % 2 * 5000) % 7000).alias("d2"), "text")
+        (F.col("conv_id") * 7 % n).alias("d1"), ((F.col("conv_id") * 7 + 1 + F.col("turn") % 2 * 5 * n) % (7 * n)).alias("d2"), "text")
     k, r, d1 = F.col("k"), F.col("result"), F.col("d1")
     said = (
         F.when(r == "needs_clarification", F.when(k % 3 == 0, "Peux-tu préciser ta situation ?").when(k % 3 == 1, "As-tu plus de 20 ans ?").otherwise("Quel est ton métier ?"))

@@ -210,10 +210,10 @@ def duplicate_documents(spark, sf):
 
 
 @register("file_names", r"""select doc_id, case when s = '' then 'document' else s end || case when doc_id % 2 = 0 then '.pdf' else '.docx' end slug from (select doc_id,
- left(regexp_replace(regexp_replace(lower(strip_accents(left(text, 60))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 100) s from documents)""")
+ left(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 100) s from documents)""")
 def file_names(spark, sf):
     d = read_table(spark, sf, "documents")
-    name = F.concat(F.lit("dossier/"), F.translate(F.left("text", F.lit(60)), "/\\", "--"), F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".docx"))
+    name = F.concat(F.lit("dossier/"), F.translate("text", "/\\", "--"), F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".docx"))
     return d.select("doc_id", tx.slug(name).alias("slug"))
 
 

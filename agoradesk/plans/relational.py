@@ -247,8 +247,7 @@ def doc_roles(spark, sf):
 
 @register("document_list", "with " + DOCS_SQL + """, ranked as (select *, row_number() over (partition by institution_id order by created_at desc,
  document_id desc) position from docs), last as (select *, row_number() over (partition by document_id order by job_created_at desc, job_id desc) rn from jobs)
-select r.institution_id, r.document_id, r.position, l.job_id, l.status from ranked r left join last l on l.document_id = r.document_id and l.rn = 1
-where r.position <= 500""")
+select r.institution_id, r.document_id, r.position, l.job_id, l.status from ranked r left join last l on l.document_id = r.document_id and l.rn = 1""")
 def document_list(spark, sf):
     docs, jobs = doc_roles(spark, sf)
     return reporting.list_documents(docs, jobs).select("institution_id", "document_id", "position", "job_id", "status")

@@ -138,7 +138,8 @@ def rule_citations(spark, sf):
     return rt.citation_passages(p, docs, src, full, p.select("passage_id")).select("passage_id", "document_id", "similarity")
 
 
-CITED_SQL = """ans as (select conv_id, turn, [conv_id * 7 % 1000, turn * 13 % 1000, conv_id * 7 % 1000, 5000] ids from conversations where role = 'assistant')"""
+CITED_SQL = """ans as (select conv_id, turn, [conv_id * 7 % n, (conv_id + turn * 13) % n, conv_id * 7 % n, n] ids
+ from conversations, (select max(doc_id) + 1 n from documents) where role = 'assistant')"""
 
 
 @register("answer_citations", "with " + CITED_SQL + """, u as (select conv_id, turn, unnest(list_distinct(ids)) id from ans)
@@ -146,7 +147,8 @@ CITED_SQL = """ans as (select conv_id, turn, [conv_id * 7 % 1000, turn * 13 % 10
 def answer_citations(spark, sf):
     c = read_table(spark, sf, "conversations").where("role = 'assistant'")
     key = F.concat_ws("-", "conv_id", "turn").alias("answer_id")
-    ids = F.array(F.col("conv_id") * 7 % 1000, F.col("turn") * 13 % 1000, F.col("conv_id") * 7 % 1000, F.lit(5000).cast("long"))
+    n = read_table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
+    ids = F.array(F.col("conv_id") * 7 % n, (F.col("conv_id") + F.col("turn") * 13) % n, F.col("conv_id") * 7 % n, n)
     answers = c.select(key, "conv_id", "turn", F.col("text").alias("answer"), ids.alias("used_passage_ids"))
     asked = answers.select("answer_id", F.explode(F.array_distinct("used_passage_ids")).alias("passage_id"))
     docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("content"))

@@ -14,16 +14,21 @@ from agoradesk.sources.sinks import replace_partition
 BUCKETS = 256
 
 
-def start_ingest(stream: DataFrame, path: str, name: str = "ingest", key: str = "doc_id", buckets: int = BUCKETS) -> StreamingQuery:
+def start_ingest(
+    stream: DataFrame, path: str, name: str = "ingest", key: str = "doc_id", buckets: int = BUCKETS, version: str | None = None
+) -> StreamingQuery:
     """Cut each micro-batch of (doc_id, title, text) and write it under its batch id.
 
     A batch that is retried replaces its own partition, so nothing is written
-    twice; ``current_passages`` keeps the last batch of each document.
+    twice; ``current_passages`` keeps the last batch of each document. Of several
+    texts of a document in one batch the one of the highest ``version`` (a time or
+    a number column) is kept. Without such a column their order is not known: the
+    batch then keeps the greatest text, the same on every retry.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_key(batch.withColumn("_h", F.xxhash64("text")), [key], ["_h"]).drop("_h")
-        rows = passage_rows(chunk_documents(newest, [key]), [key])
+        newest = latest_per_key(batch, [key], [version, "text"] if version else ["text"])
+        rows = passage_rows(chunk_documents(newest.select(key, "title", "text"), [key]), [key])
         rows = rows.withColumns({"batch": F.lit(batch_id), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets))})
         replace_partition(rows, path, ["batch", "bucket"])
 

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from agoradesk.operators import onboarding, reporting
 from agoradesk.operators import retrieval as rt
 
 
@@ -43,3 +44,29 @@ def test_packing_stops_at_the_first_overflow(spark):
 def test_source_tags_are_neutralised(spark):
     got = spark.createDataFrame([("x < / SOURCE y=1> <sources> </source>",)], "t string").select(rt.neutralize(F.col("t")).alias("v")).first().v
     assert got == f"x {rt.NEUTRALISED} <sources> {rt.NEUTRALISED}"
+
+
+def test_pages_and_whole_document_lists(spark):
+    rows = spark.createDataFrame([(i // 2, i) for i in range(7)], "a int, b int")
+    page = reporting.keyset_page(rows, ["a", "b"], 3)
+    got = page.collect()
+    assert [(r.b, r.has_more) for r in got] == [(6, True), (5, True), (4, True)]
+    at = page.select(reporting.decode_cursor(F.col("next_cursor")).alias("c")).first().c
+    assert (at["at"], at["id"]) == ("2", "4")
+    last = reporting.keyset_page(rows, ["a", "b"], 3, (0, 2)).collect()
+    assert [(r.b, r.has_more, r.next_cursor) for r in last] == [(1, False, None), (0, False, None)]
+    assert reporting.keyset_page(rows.where("b < 0"), ["a", "b"], 3).count() == 0
+    docs = spark.range(1200).select(F.lit("t").alias("institution_id"), F.col("id").alias("document_id"),
+                                    F.expr("if(id = 7, null, timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id as int)))").alias("created_at"))
+    jobs = spark.createDataFrame([(1, 5, 2), (2, 5, 3)], "job_id long, document_id long, job_created_at long")
+    placed = {r.document_id: (r.position, r.job_id) for r in reporting.list_documents(docs, jobs).collect()}
+    assert len(placed) == 1200 and placed[1199] == (1, None) and placed[7] == (1200, None) and placed[5] == (1194, 2)
+
+
+def test_faq_search_of_a_table_of_queries(spark):
+    faq = spark.createDataFrame([("h", 1, "Parking ?", "Oui", None), ("h", 2, "Repas", "Non", "Vie"), ("g", 3, "Parking", "Non", None)],
+                                "institution_id string, item_id long, question string, answer string, category string")
+    asked = spark.createDataFrame([("h", 10, " PARK "), ("h", 11, None), ("g", 12, "vie")], "institution_id string, query_id long, query string")
+    hits = {(r.query_id, r.item_id) for r in onboarding.faq_search(faq, asked).collect()}
+    assert hits == {(10, 1), (11, 1), (11, 2)}
+    assert [r.item_id for r in onboarding.faq_search(faq, "vie").collect()] == [2]
