@@ -21,11 +21,12 @@ from agoradesk.llm.shared import boxed, join_by_document, write_stage
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a run of digits is tried once, from its first digit
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)*")
+#: Words with a digit or an at sign; tried from the first sign of a word only, so that a text without blanks takes linear time.
+CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)*")
 SIGN = re.compile("[0-9@]")
 EDGE = "\"'`.,;:!?()[]{}<>|*#&$%="
 #: A candidate has at least so many letters and digits.
@@ -52,6 +53,12 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def is_part(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    significant = digits.lstrip("0")
+    return len(significant) < 4 and int(significant or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) for d in digits[-1::-2]) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return total % 10 == 0
@@ -67,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if "@" in text:
         out += [("email", a, z) for a, z in emails(text)]
     if "." in text:
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(is_part(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = digits_of(m[0]) if m.end() - m.start() >= 12 else ""
         if 12 <= len(digits) <= 19 and luhn(digits):

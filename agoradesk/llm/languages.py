@@ -127,27 +127,26 @@ class LanguageModel:
         """words x languages; equal words are scored once."""
         value = spans_hash(words.code, words.start, words.end)
         distinct, sample, back = np.unique(value, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), dtype=bool)
+        scores = self._distinct_scores(words, distinct, sample)[back]
+        uses = self.uses[words.script()]
+        return np.where(uses | ~uses.any(axis=1, keepdims=True), scores, NEITHER * (words.end - words.start)[:, None])
+
+    def _distinct_scores(self, words: LetterWords, distinct: np.ndarray, sample: np.ndarray) -> np.ndarray:
+        """Scores of distinct words; those of earlier slices are remembered until there are too many."""
+        known = np.zeros(len(distinct), dtype=bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] == distinct
+        if len(self.hashes) + int((~known).sum()) > REMEMBERED:
+            self.hashes, self.scores = np.zeros(0, np.uint64), np.zeros((0, len(self.names)), np.float32)
+            known[:] = False
         new = np.flatnonzero(~known)
         if len(new):
             bucket, count = word_grams(words.code, words.start[sample[new]], words.end[sample[new]])
             score = np.add.reduceat(self.weights[bucket], np.cumsum(count) - count, axis=0) / 3
-            if len(self.hashes) + len(new) > REMEMBERED:
-                self.hashes, self.scores = np.zeros(0, np.uint64), np.zeros((0, len(self.names)), np.float32)
-                return self.word_scores(words) if known.any() else self._keep(distinct, score)[back]
             both = np.concatenate([self.hashes, distinct[new]])
             order = np.argsort(both, kind="stable")
             self.hashes, self.scores = both[order], np.concatenate([self.scores, score])[order]
-            at = np.searchsorted(self.hashes, distinct)
-        scores = self.scores[at][back]
-        uses = self.uses[words.script()]
-        return np.where(uses | ~uses.any(axis=1, keepdims=True), scores, NEITHER * (words.end - words.start)[:, None])
-
-    def _keep(self, distinct: np.ndarray, score: np.ndarray) -> np.ndarray:
-        if len(distinct) <= REMEMBERED:
-            self.hashes, self.scores = distinct, score
-        return score
+        return self.scores[np.searchsorted(self.hashes, distinct)]
 
     def label(self, texts: pa.Array, penalty: float = SWITCH_PENALTY) -> tuple[LetterWords, np.ndarray]:
         words = letter_words(texts)

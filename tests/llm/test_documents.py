@@ -275,6 +275,20 @@ def test_languages(spark, empty):
     assert nothing["lang_pred"] == "und"
 
 
+def test_word_scores_do_not_depend_on_what_is_remembered(monkeypatch):
+    draw = np.random.default_rng(3)
+    uses = np.zeros((languages.SCRIPT_BUCKETS, 2), dtype=bool)
+    uses[languages.SCRIPT_NAMES.index("Latin"), 0] = uses[languages.SCRIPT_NAMES.index("Cyrillic"), 1] = True
+    weights = draw.normal(size=(languages.SPACE_OF_MODEL, 2)).astype(np.float32)
+    model = languages.LanguageModel(["a", "b"], weights, uses)
+    slices = [languages.letter_words(pa.array([" ".join(prose(k, 60)), "много слов", None])) for k in range(4)]
+    want = [languages.LanguageModel(["a", "b"], weights, uses).word_scores(s) for s in slices]
+    for most in (5, 80, 1000):
+        monkeypatch.setattr(languages, "REMEMBERED", most)
+        for words, scores in zip(slices, want, strict=True):
+            assert np.array_equal(model.word_scores(words), scores)
+
+
 def test_viterbi_is_the_best_path():
     draw = np.random.default_rng(2)
     scores = draw.normal(0, 3, (40, 3))
@@ -340,6 +354,23 @@ def test_base_identifiers_equal_the_patterns():
     assert [s[0] for s in identifiers.base_spans(known)] == ["email", "ip", "card", "phone"]
 
 
+def test_identifiers_in_words_without_end():
+    zeros = "0" * 6000
+    assert identifiers.base_spans(f"{zeros}1.2.3.4") == [("ip", 0, 6007)]
+    assert identifiers.base_spans(f"{zeros}256.2.3.4") == []
+    long = "q" * 2_000_000 + " id 1234567 " + "7" * 400_000 + " a.b"
+    spans, found = identifiers.mentions(long)
+    assert spans == [] and [m["start"] for m in found] == [2_000_004]
+
+
+def test_candidates_begin_at_words():
+    plain = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)*")
+    draw = np.random.default_rng(9)
+    for _ in range(2000):
+        text = "".join(draw.choice(["a", "1", "@", " ", "\n", "é", "bc"], draw.integers(0, 30)))
+        assert [m.span() for m in identifiers.CANDIDATE.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
 def test_patterns_discover_identifiers(spark):
     rows = [(k, f"word{chr(97 + k % 26)} account holder +1 (5{k:02d}) 555-01{k:02d} confirmed today") for k in range(40)]
     rows += [(50, "account holder +1 (777) 555-010 confirmed")]  # a base phone as well
