@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,7 +73,7 @@ def is_remainder(column: str, divisor: int, remainder: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor == remainder, F.lit(False))
 
 
-def deal_blocks(rows: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
+def deal_blocks(rows: DataFrame, keys: list[str], by: str, size: int | Column) -> DataFrame:
     """Rows of each group dealt in blocks of about ``size``, and repeated so that every two blocks meet under (keys, low, high).
 
     Adds block, low and high. Groups of one row are left out: they have nobody to meet.

@@ -19,8 +19,8 @@ from agoradesk.llm.shared import deal_blocks, write_stage
 
 #: Pivots per label, about. Labels with less than one in MOST_LABELS of all vectors are one cell, so pivots are bounded in number.
 PIVOTS, MOST_LABELS = 12, 256
-#: Vectors of a block; a task joins two blocks.
-BLOCK_VECTORS = 1024
+#: Bytes of vectors in a block, about; a task joins two blocks and holds so many cosines at once.
+BLOCK_BYTES, COSINES = 8_000_000, 2_000_000
 SLACK = 1e-9
 CELLS = "label int, dims int, cell int, core boolean, lead long, copies long, embedding array<double>"
 FOUND = "lead long, root long, links long"
@@ -92,6 +92,19 @@ def to_cells(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
     return distinct.mapInArrow(run, CELLS)
 
 
+def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's group, after a[k] and b[k] were joined for every k; ``root`` has those from before."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _joiner(cosine: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         same = key[3].as_py() == key[4].as_py()
@@ -101,20 +114,17 @@ def _joiner(cosine: float):
         x = np.concatenate([c.flatten().to_numpy() for c in table["embedding"].chunks]).reshape(len(lead), -1)
         root = np.arange(len(lead))
         links = np.zeros(len(lead), dtype=np.int64)
-        for a in range(0, len(lead), 512):
-            near = x[a : a + 512] @ x.T >= cosine
-            near &= core[a : a + 512, None] | core[None, :]
+        step = max(1, COSINES // len(lead))
+        for a in range(0, len(lead), step):
+            near = x[a : a + step] @ x.T >= cosine
+            near &= core[a : a + step, None] | core[None, :]
             if not same:
-                near &= block[a : a + 512, None] != block[None, :]
+                near &= block[a : a + step, None] != block[None, :]
             at, to = np.nonzero(near)
             other = at + a != to
             at, to = at[other] + a, to[other]
             links += np.bincount(at, weights=copies[to], minlength=len(lead)).astype(np.int64)
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
-            for s, e in zip(first, np.append(first[1:], len(at))[: len(first)], strict=True):
-                group = np.unique(root[np.append(to[s:e], at[s])])
-                if len(group) > 1:
-                    root[np.isin(root, group)] = group[0]
+            root = join_roots(root, at, to)
         show = core & ((links > 0) | (lead[root] != lead)) | (lead[root] != lead)
         return pa.table({
             "lead": pa.array(lead[show]), "root": pa.array(lead[root][show]), "links": pa.array(np.where(core, links, 0)[show]),
@@ -136,7 +146,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     good = rows.where(usable())
     distinct = write_stage(distinct_vectors(good), "vectors")
     cells = to_cells(distinct, choose_pivots(distinct), float(np.sqrt(2 - 2 * cosine)))
-    dealt = deal_blocks(cells, ["label", "dims", "cell"], "lead", BLOCK_VECTORS)
+    dealt = deal_blocks(cells, ["label", "dims", "cell"], "lead", F.ceil(F.lit(BLOCK_BYTES) / (8 * F.col("dims"))))
     found = write_stage(dealt.groupBy("label", "dims", "cell", "low", "high").applyInArrow(_joiner(cosine), FOUND), "vector_links")
     reached = components(found.select(F.col("lead").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "lead")
     links = found.groupBy("lead").agg(F.sum("links").alias("links"))

@@ -44,7 +44,8 @@ def brute(rows, cosine=0.98):
 
 
 def test_near_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 50)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 50 * 16 * 8)
+    monkeypatch.setattr(vectors, "COSINES", 1_000)
     draw = np.random.default_rng(1)
     rows, n = [], 0
     for label in (0, 1):
@@ -63,6 +64,22 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_join_roots_names_groups_by_their_smallest():
+    draw = np.random.default_rng(8)
+    for n, m in ((1, 0), (50, 30), (200, 400), (300, 150)):
+        a, b = draw.integers(0, n, m), draw.integers(0, n, m)
+        root = np.arange(n)
+        for part in np.array_split(np.arange(m), 3):
+            root = vectors.join_roots(root, a[part], b[part])
+        want, moved = np.arange(n), True
+        while moved:
+            before = want.copy()
+            for x, y in zip(a, b, strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+            moved = bool((want != before).any())
+        assert np.array_equal(root, want)
+
+
 def test_cells_hold_every_partner():
     draw = np.random.default_rng(2)
     x = vectors.unit(draw.normal(size=(400, 8)))
