@@ -1,9 +1,12 @@
 """PII: bootstrapped contextual extraction.
 
 1. Seeds: addresses, numbers and phones found by fixed patterns. Other strings with a digit or an at sign are candidates.
-2. Every mention has lexical patterns: the word before it, the word after it, and its shape.
-3. Pattern and instance scores are computed in turn over the corpus: a pattern is as good as its instances, an instance as its patterns.
-4. A candidate with a confident context and a confident shape of one kind is an identifier that the seeds' patterns discovered.
+2. Every mention has lexical patterns: the word before it, the word after it, its shape, and its form (the shape with the lengths of
+   its runs of digits).
+3. Patterns and instances are judged in turn over the corpus: a pattern by the seeds and accepted instances it holds against the
+   strings that speak against it, an instance by its patterns.
+4. A candidate with a confident context and a confident shape or form of one kind, or between two confident contexts of one kind, is
+   accepted. Accepted instances count like seeds in the next round, so that their forms and contexts become patterns themselves.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ SIGN = re.compile("[0-9@]")
 EDGE = "\"'`.,;:!?()[]{}<>|*#&$%="
 #: A candidate has at least so many letters and digits.
 LEAST_SIGNS = 7
-#: Rounds of scoring; seeds a pattern needs; score from which a pattern, and a discovered instance, is confident.
+#: Rounds of scoring after that of the seeds; seeds and accepted instances a pattern needs; score from which a pattern, and a discovered instance, is confident.
 ROUNDS, SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 5, 0.8, 0.9
 
 MENTION = "struct<kind:string,start:int,end:int,instance:string,patterns:array<string>>"
@@ -89,9 +92,14 @@ def shape(text: str) -> str:
     return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", text)))
 
 
+def form(text: str) -> str:
+    """Letters as a, digits as 9 and the length of their run, runs of letters as one; other signs stay."""
+    return re.sub(r"[^\W\d_]+|[0-9]+", lambda m: f"9{len(m[0])}" if "0" <= m[0][0] <= "9" else "a", text)
+
+
 def mention(text: str, kind: str | None, start: int, end: int) -> dict:
     before, after = text[max(0, start - 80) : start].split(), text[end : end + 80].split(None, 1)
-    patterns = ["shape:" + shape(text[start:end])]
+    patterns = ["shape:" + shape(text[start:end]), "form:" + form(text[start:end])]
     if before and (left := before[-1].lower().strip(EDGE)):
         patterns.append("before:" + left)
     if after and (right := after[0].lower().strip(EDGE)):
@@ -144,41 +152,78 @@ def find_mentions(docs: DataFrame) -> DataFrame:
 def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_hash, kind, start, end) of the candidates that confident patterns find.
 
-    A pattern's score for a kind is the mean score of its distinct instances, damped by one; an instance's score is that of its patterns
-    combined as independent evidence. Seeds keep 1 for their kind. Only patterns with ``SUPPORT`` seeds and a score of
-    ``PATTERN_SCORE`` speak; a candidate is taken if its shape and a context speak for one kind and together reach ``INSTANCE_SCORE``.
+    Only patterns that hold ``SUPPORT`` seeds and accepted instances of a kind and have a score of ``PATTERN_SCORE`` speak. A candidate's
+    evidence is the scores of its speaking patterns combined as independent; it is accepted from ``INSTANCE_SCORE`` on if a context speaks
+    and its shape or form does too, or if the contexts on both sides speak and its form is native to the kind (see :func:`_score`).
     """
     each = base.select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.*")
-    edges = each.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("seed"))
-    edges = write_stage(edges, "pattern_edges")
-    pairs = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count(F.lit(1)).alias("seeds"))
-    pairs = pairs.where(F.col("seeds") >= SUPPORT).withColumnRenamed("seed", "kind")
-    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("held"))
-    known = write_stage(pairs.join(size, "pattern"), "pattern_sizes")
-    open_edges = edges.where("seed is null").select("pattern", "instance")
-    scored = known.withColumn("score", F.col("seeds") / (F.col("held") + 1))
-    for _ in range(rounds):
-        speaking = scored.where(F.col("score") >= PATTERN_SCORE).select("pattern", "kind", "score")
-        found = _evidence(open_edges.join(speaking, "pattern"), "instance", "kind")
-        gained = open_edges.join(found, "instance").groupBy("pattern", "kind").agg(F.sum("evidence").alias("gained"))
-        scored = known.join(gained, ["pattern", "kind"], "left").withColumn(
-            "score", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("held") + 1))
-        )
-        scored = write_stage(scored.select("pattern", "kind", "score"), "pattern_scores")
-    speaking = scored.where(F.col("score") >= PATTERN_SCORE)
-    candidates = each.where("kind is null").select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern"))
-    judged = _evidence(candidates.join(speaking, "pattern"), "doc_id", "text_hash", "start", "end", "kind")
-    taken = judged.where((F.col("evidence") >= INSTANCE_SCORE) & (F.col("shapes") > 0) & (F.col("contexts") > 0))
-    best = taken.groupBy("doc_id", "text_hash", "start", "end").agg(F.max_by("kind", F.struct("evidence", "kind")).alias("kind"))
-    return best.select("doc_id", "text_hash", "kind", "start", "end")
-
-
-def _evidence(rows: DataFrame, *keys: str) -> DataFrame:
-    shaped: Column = F.col("pattern").startswith("shape:")
-    return rows.groupBy(*keys).agg(
+    edges = each.select("instance", "kind", F.col("patterns")[1].alias("form"), F.explode("patterns").alias("pattern"))
+    edges = write_stage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.min("form").alias("form")), "pattern_edges")
+    held = write_stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("held")), "pattern_sizes")
+    spots = write_stage(each.where("kind is null").select("instance", "patterns").distinct(), "spots")
+    accepted = base.sparkSession.createDataFrame([], "instance string, kind string")
+    for _ in range(rounds + 1):
+        scored, forms = _score(edges, held, spots, accepted)
+        taken = write_stage(_judge(spots, scored, forms), "taken")
+        accepted = taken.groupBy("instance").agg(F.max_by("kind", F.struct("evidence", "kind")).alias("kind"))
+    best = taken.groupBy("instance", "patterns").agg(F.max_by("kind", F.struct("evidence", "kind")).alias("kind"))
+    return each.where("kind is null").drop("kind").join(best, ["instance", "patterns"]).select("doc_id", "text_hash", "kind", "start", "end")
+
+
+def _is_context(pattern: Column) -> Column:
+    return ~(pattern.startswith("shape:") | pattern.startswith("form:"))
+
+
+def _score(edges: DataFrame, held: DataFrame, spots: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((pattern, kind, score) of all patterns that speak, (form, kind) of the native forms).
+
+    A score is the share of a kind's seeds and accepted instances among a pattern's distinct strings, damped by one, without the
+    strings that are undecided. A form is native to a kind if at least half of its strings belong to it: if base patterns matched some,
+    seeds and accepted ones do (the others failed a check); if they matched none, also those with contexts of the kind on both sides.
+    Undecided are, in a context, unseen strings of native forms; in a form without seeds, unseen strings beside a context of the kind.
+    """
+    unseen = edges.where("seed is null").select("pattern", "instance", "form")
+    seeded = edges.where("seed is not null").select("pattern", F.col("seed").alias("kind"), F.lit(1).alias("seeds"))
+    late = unseen.join(accepted, "instance").select("pattern", "kind", F.lit(0).alias("seeds"))
+    members = seeded.unionAll(late).groupBy("pattern", "kind").agg(F.sum("seeds").alias("seeds"), F.count(F.lit(1)).alias("n"))
+    members = write_stage(members, "pattern_members")
+    holding = members.where((F.col("n") >= SUPPORT) & _is_context(F.col("pattern"))).select("pattern", "kind")
+
+    around = F.filter("patterns", _is_context)
+    sides = spots.join(accepted, "instance", "left_anti").select(
+        "instance", "patterns", F.col("patterns")[1].alias("form"), F.size(around).alias("sides"), F.explode(around).alias("pattern"),
+    )
+    met = sides.join(holding, "pattern").groupBy("instance", "patterns", "form", "sides", "kind").agg(F.count(F.lit(1)).alias("met"))
+    near = met.groupBy("instance", "form", "kind").agg(F.max((F.col("met") >= F.least(F.lit(2), "sides")).cast("long")).alias("inside"))
+    near = near.groupBy(F.col("form").alias("pattern"), "kind").agg(F.count(F.lit(1)).alias("near"), F.sum("inside").alias("inside"))
+    own = members.where(F.col("pattern").startswith("form:")).select("pattern", "kind", "seeds", "n", F.lit(0).alias("near"), F.lit(0).alias("inside"))
+    forms = near.select("pattern", "kind", F.lit(0).alias("seeds"), F.lit(0).alias("n"), "near", "inside").unionAll(own)
+    forms = forms.groupBy("pattern", "kind").agg(*(F.sum(c).alias(c) for c in ("seeds", "n", "near", "inside"))).join(held, "pattern")
+    belong = F.col("n") + F.when(F.col("seeds") > 0, 0).otherwise(F.col("inside"))
+    forms = write_stage(forms.select("pattern", "kind", "seeds", "near", (2 * belong >= F.col("held")).alias("native")), "pattern_forms")
+
+    native = forms.where("native").select(F.col("pattern").alias("form"), "kind")
+    open_edges = unseen.where(_is_context(F.col("pattern"))).join(accepted, "instance", "left_anti")
+    undecided = open_edges.join(holding, "pattern").join(native, ["form", "kind"]).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("undecided"))
+    undecided = undecided.unionAll(forms.where("seeds = 0").select("pattern", "kind", F.col("near").alias("undecided")))
+    scored = members.where(F.col("n") >= SUPPORT).join(held, "pattern").join(undecided, ["pattern", "kind"], "left")
+    against = F.greatest(F.col("held") - F.coalesce("undecided", F.lit(0)), F.col("n"))
+    scored = scored.select("pattern", "kind", (F.col("n") / (against + 1)).alias("score")).where(F.col("score") >= PATTERN_SCORE)
+    return write_stage(scored, "pattern_scores"), native
+
+
+def _judge(spots: DataFrame, scored: DataFrame, native: DataFrame) -> DataFrame:
+    """(instance, patterns, kind, evidence) of the spots that are accepted."""
+    told = spots.select("instance", "patterns", F.explode("patterns").alias("pattern")).join(scored, "pattern")
+    context = _is_context(F.col("pattern"))
+    found = told.groupBy("instance", "patterns", "kind").agg(
         (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("evidence"),
-        F.sum(shaped.cast("int")).alias("shapes"), F.sum((~shaped).cast("int")).alias("contexts"),
+        F.sum((~context).cast("int")).alias("shapes"), F.sum(context.cast("int")).alias("contexts"),
     )
+    found = found.where((F.col("evidence") >= INSTANCE_SCORE) & (F.col("contexts") > 0)).withColumn("form", F.col("patterns")[1])
+    found = found.join(native.withColumn("native", F.lit(True)), ["form", "kind"], "left")
+    both = (F.col("contexts") > 1) & F.col("native").isNotNull()
+    return found.where((F.col("shapes") > 0) | both).select("instance", "patterns", "kind", "evidence")
 
 
 def identifier_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -385,6 +385,27 @@ def test_patterns_discover_identifiers(spark):
     assert masked[51] == "account holder [PHONE] confirmed" and masked[52] == rows[42][1] and masked[53] is None
 
 
+def test_patterns_discover_forms_that_no_base_pattern_matches(spark):
+    rows = [(k, f"account holder +1 (5{k:02d}) 555-01{k:02d} confirmed today") for k in range(40)]
+    new = {100 + k: f"(7{k:02d}) 555-38{k:02d}" for k in range(30)} | {200 + k: f"555-01{k:02d}-4567" for k in range(30)}
+    rows += [(k, f"account holder {x} confirmed today") for k, x in new.items()]
+    late = {300 + k: f"(8{k:02d}) 555-11{k:02d}" for k in range(6)}  # one context only: their form joined the patterns
+    rows += [(k, f"account holder {x} word{'abcdef'[k - 300]}") for k, x in late.items()]
+    rows += [(400, "the section (743) 555-3824 follows"), (401, "account holder 2011-2012 confirmed")]
+    rows += [(500 + k, f"season{chr(97 + k)} 20{k:02d}-20{k + 1:02d} began") for k in range(20)]  # a form of other places
+    # one number in ten passes the check of cards: the others failed it, their place does not make them cards
+    rows += [(600 + k, f"order {4000000000000 + 7 * k} shipped") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in identifiers.identifier_report(docs).collect()}
+    at = len("account holder ")
+    for k, x in (new | late).items():
+        assert got[k]["n_phone"] == 0 and got[k]["spans"] == f"phone:{at}:{at + len(x)}"
+    assert got[400]["spans"] == got[401]["spans"] == "" and all(got[500 + k]["spans"] == "" for k in range(20))
+    orders = [got[600 + k] for k in range(100)]
+    assert sum(r["n_card"] for r in orders) >= identifiers.SUPPORT
+    assert all((r["spans"] != "") == (r["n_card"] > 0) for r in orders)
+
+
 def test_identifiers_of_odd_documents(docs, empty):
     assert identifiers.identifier_report(docs).count() == docs.count()
     assert identifiers.identifier_report(empty).count() == 0
