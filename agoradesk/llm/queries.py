@@ -51,6 +51,10 @@ def op10_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_components(read_documents(spark, sf_dir))
 
 
+def op10_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.jaccard_links(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_vectors": (op1_vectors, VECTOR_SQL),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -62,4 +66,5 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_substrings": (op9_substrings, SUBSTRING_SQL),
     "op10_shingles": (op10_shingles, JACCARD_SQL),
+    "op10_shingle_links": (op10_shingle_links, None),
 }

@@ -7,7 +7,7 @@
    those, the remaining sets fall into families; every link lies inside one.
 4. Families are dealt in blocks; for every two blocks one task builds inverted lists and searches each set: the short lists are merged,
    the long ones are probed for the candidates left, sets that reach the required overlap link.
-5. Links become components.
+5. A task counts every link of its sets and keeps a forest of them; counts add up over tasks, forests become components.
 """
 
 from __future__ import annotations
@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 from agoradesk.llm.components import components
 from agoradesk.llm.packing_bytes import pack, unpack
 from agoradesk.llm.shared import bucket_count, id_and_text, write_stage
+from agoradesk.llm.vectors import join_roots
 from agoradesk.llm.words import Words, mix, ramps, slices, split_words, window_hashes
 
 #: Shingles gathered in a task before they are sent.
 CHUNK_SHINGLES = 1_000_000
 #: Sets in a block of a family; a task holds two blocks.
 BLOCK_SETS = 64
+#: Entries of a list that are read in the time of one probe; long lists are read whole if that is less work.
+PROBE_COST = 8
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, least int, shingles array<long>"
-LINKS = "a long, b long, overlap long"
+LINKS = "doc_id long, set_a long, set_b long, root long, links long"
 LOW = np.uint64((1 << 56) - 1)
 
 
@@ -221,9 +224,11 @@ def _collector(percent: int):
 
 
 def link_sets(sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Links (a, b, overlap) that join all sets that can be reached from each other; ``sets`` as :func:`shared_sets` gives them.
+    """(doc_id, set_a, set_b, root, links) per task and set that links there; ``sets`` are as :func:`shared_sets` gives them, with
+    ``copies``, the number of documents that have the set. Rows of one id and set count once.
 
-    Inside two blocks a pair whose members are already joined is skipped, so the links are a spanning forest per task, not all pairs.
+    Every two sets meet in one task, so the sum of ``links`` over a set's rows is the number of documents with another set that it links
+    with. ``root`` is the smallest document that the set reaches by links of the task.
     """
     alive = sets.where(F.col("shingles").isNotNull())
     few = F.size("shingles") - F.col("least") + 1
@@ -238,24 +243,34 @@ def link_sets(sets: DataFrame, percent: int = 75) -> DataFrame:
     held = alive.join(placed, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id",
-        F.col("n_shingles").alias("n"), "shingles",
+        F.col("n_shingles").alias("n"), "set_a", "set_b", "copies", "shingles",
     )
     return dealt.groupBy("family", "low", "high").applyInArrow(_searcher(percent), LINKS)
 
 
 def _searcher(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, overlap = search_links(
-            table["doc_id"].to_numpy(), table["n"].to_numpy(), table["shingles"].combine_chunks(), table["block"].to_numpy(), percent,
+        # rows of one id may have several sets, so sets are named by their place here; those of one id and set may come from several chunks
+        table = table.sort_by([("doc_id", "ascending"), ("set_a", "ascending"), ("set_b", "ascending")])
+        own = np.stack([table[c].to_numpy() for c in ("doc_id", "set_a", "set_b")])
+        table = table.filter(pa.array(np.append(True, (own[:, 1:] != own[:, :-1]).any(axis=0))))
+        ids, copies = table["doc_id"].to_numpy(), table["copies"].to_numpy()
+        a, b, _ = search_links(
+            np.arange(len(ids)), table["n"].to_numpy(), table["shingles"].combine_chunks(), table["block"].to_numpy(), percent,
             same=key[1].as_py() == key[2].as_py(),
         )
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "overlap": pa.array(overlap, pa.int64())})
+        links = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        root = join_roots(np.arange(len(ids)), a, b)
+        found = table.select(["doc_id", "set_a", "set_b"]).append_column("root", pa.array(ids[root])).append_column("links", pa.array(links))
+        return found.filter(pa.array(links > 0))
 
     return run
 
 
-def search_links(ids: np.ndarray, sizes: np.ndarray, lists: pa.ListArray, block: np.ndarray, percent: int, same: bool) -> tuple[list, list, list]:
-    """T-occurrence search of each set among the sets before it (of the other block, if there are two)."""
+def search_links(ids: np.ndarray, sizes: np.ndarray, lists: pa.ListArray, block: np.ndarray, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All links (a, b, overlap): T-occurrence search of each set among the sets before it (of the other block, if there are two)."""
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks)
     n = len(ids)
@@ -273,8 +288,9 @@ def search_links(ids: np.ndarray, sizes: np.ndarray, lists: pa.ListArray, block:
     mine = np.argsort(owner, kind="stable")
     start = np.searchsorted(owner[mine], np.arange(n + 1))
     sizes, block, ids = sizes[order], block[order], ids[order]
-    parent = np.arange(n)
-    out: tuple[list, list, list] = ([], [], [])
+    member = entry % n
+    none = np.zeros(0, dtype=np.int64)
+    out: list[tuple] = [(none, none, none)]
     for probe in range(n):
         own = token[mine[start[probe] : start[probe + 1]]]
         own = own[length[own] > 1]
@@ -287,45 +303,53 @@ def search_links(ids: np.ndarray, sizes: np.ndarray, lists: pa.ListArray, block:
         left_out = max(0, min(least - 1, int(least / (0.0085 * np.log2(longest) + 1))))
         short, long = own[: len(own) - left_out], own[len(own) - left_out :]
         spans = length[short]
-        merged = np.sort(entry[np.repeat(first[short], spans) + ramps(spans)] % n, kind="stable")
-        starts = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
-        found, seen = merged[starts], np.diff(np.append(starts, len(merged)))
+        seen = np.bincount(member[np.repeat(first[short], spans) + ramps(spans)], minlength=n)
+        found = np.flatnonzero(seen)
+        seen = seen[found]
         keep = (seen >= least - left_out) & (found < probe) & (sizes[found] * 100 >= sizes[probe] * percent)
         if not same:
             keep &= block[found] != block[probe]
-        keep &= parent[found] != parent[probe]
         found, seen = found[keep], seen[keep]
         if not len(found):
             continue
-        wanted = long[:, None] * n + found[None, :]
-        at = np.minimum(np.searchsorted(entry, wanted), len(entry) - 1)
-        seen = seen + (entry[at] == wanted).sum(axis=0)
-        union = sizes[found] + sizes[probe] - seen
-        for k in np.flatnonzero(seen * 100 >= union * percent):
-            if parent[found[k]] != parent[probe]:
-                parent[parent == parent[found[k]]] = parent[probe]
-                out[0].append(int(ids[probe]))
-                out[1].append(int(ids[found[k]]))
-                out[2].append(int(seen[k]))
-    return out
+        spans = length[long]
+        if int(spans.sum()) <= PROBE_COST * len(long) * len(found):
+            seen = seen + np.bincount(member[np.repeat(first[long], spans) + ramps(spans)], minlength=n)[found]
+        else:
+            wanted = long[:, None] * n + found[None, :]
+            at = np.minimum(np.searchsorted(entry, wanted), len(entry) - 1)
+            seen = seen + (entry[at] == wanted).sum(axis=0)
+        hit = seen * 100 >= (sizes[found] + sizes[probe] - seen) * percent
+        out.append((np.full(int(hit.sum()), ids[probe]), ids[found[hit]], seen[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id for every row of ``docs``.
 
     Documents link when 100 · |A ∩ B| ≥ percent · |A ∪ B| over their distinct ``size``-word shingles (A-Z lower-cased). A document
-    without words or text links with nothing; rows that share an id are one node; a row without an id gets the component of
-    equal sets, or null if no document with an id has that set.
+    without words or text links with nothing; rows that share an id are one node of a component, yet each counts as a document of
+    its own in ``n_links``; a row without an id gets the component of equal sets, or null if no document with an id has that set. It is
+    nobody's partner, and its ``n_links`` is null.
     """
     sets = write_stage(shared_sets(docs, size, percent), "sets")
     some = sets.where("n_shingles > 0")
-    lead = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("lead"))
-    speaking = some.where("shingles is not null").join(lead, ["n_shingles", "set_a", "set_b"]).where("doc_id = lead")
-    links = link_sets(speaking.select("doc_id", "n_shingles", "least", "shingles"), percent).select("a", "b")
+    key = ["n_shingles", "set_a", "set_b"]
+    lead = some.groupBy(*key).agg(F.min("doc_id").alias("lead"), F.count("doc_id").alias("copies"))
+    speaking = some.where("shingles is not null").join(lead, key).where("doc_id = lead")
+    found = write_stage(link_sets(speaking.select("doc_id", *key, "copies", "least", "shingles"), percent), "shingle_links")
+    links = found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     # rows of one id with different sets are one node as well
-    several = some.select("doc_id", "n_shingles", "set_a", "set_b").join(lead, ["n_shingles", "set_a", "set_b"]).where("doc_id <> lead")
+    several = some.select("doc_id", *key).join(lead, key).where("doc_id <> lead")
     links = links.unionAll(several.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
     reached = components(links).withColumnRenamed("node", "lead")
-    plain = sets.select("doc_id", "n_shingles", "set_a", "set_b")
-    named = plain.join(lead, ["n_shingles", "set_a", "set_b"], "left").withColumn("lead", F.coalesce("lead", "doc_id")).join(reached, "lead", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "lead").alias("component_id"))
+    counted = found.groupBy("set_a", "set_b").agg(F.sum("links").alias("links"))
+    classes = lead.join(counted, ["set_a", "set_b"], "left").select(*key, "lead", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = sets.select("doc_id", *key).join(classes, key, "left").withColumn("lead", F.coalesce("lead", "doc_id")).join(reached, "lead", "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return named.select("doc_id", "n_shingles", n_links.cast("long").alias("n_links"), F.coalesce("component", "lead").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id of :func:`jaccard_links`."""
+    return jaccard_links(docs, size, percent).select("doc_id", "n_shingles", "component_id")

@@ -147,6 +147,38 @@ def test_search_links_joins_all_that_link():
             assert 100 * both < 75 * (sizes[x] + sizes[y] - both) or names[x] == names[y]
 
 
+def shingle_degrees(docs, size=5, percent=75):
+    """(id, number of other rows with an id that link) of every row, pair by pair."""
+    held = []
+    for i, t in rows_of(docs):
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        held.append((i, {tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1))} if w else set()))
+    out = []
+    for x, (i, own) in enumerate(held):
+        near = [y for y, (j, other) in enumerate(held) if y != x and j is not None and own and 100 * len(own & other) >= percent * len(own | other)]
+        out.append((i, None if i is None else len(near)))
+    return out
+
+
+@pytest.mark.parametrize("percent", [75, 40])
+def test_links_of_every_document_are_counted(spark, docs, percent):
+    got = [(r["doc_id"], r["n_links"]) for r in shingles.jaccard_links(docs, percent=percent).collect()]
+    assert sorted(got, key=str) == sorted(shingle_degrees(docs, percent=percent), key=str)
+    base = prose(21, 160)
+    rows = []
+    for k in range(150):  # more than two blocks of near copies, some of them equal, two ids with several texts
+        w = list(base)
+        w[k % 140] = f"edit{k % 140}"
+        w[(k * 7) % 140] = "also"
+        rows.append((k - k % 50 // 49, " ".join(w)))
+    near = spark.createDataFrame([*rows, (900, " ".join(base[:70] + prose(22, 90))), (None, rows[0][1])], "doc_id long, text string")
+    near = near.repartition(4).sortWithinPartitions("doc_id")
+    got = [(r["doc_id"], r["n_links"]) for r in shingles.jaccard_links(near, percent=percent).collect()]
+    want = shingle_degrees(near, percent=percent)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(n or 0 for _, n in want) > 2 * len(rows)  # a forest has less
+
+
 def odd_strings() -> list[str]:
     draw = np.random.default_rng(5)
     signs = ["a", "b", "é", "'s", "'ll", "'", " ", "  ", "\n", "\t", "ß", "中", "🙂", "1", "23", "==", "-", " ", "　", "re", "the", "\x00", "½"]
