@@ -192,6 +192,26 @@ def effective_questions(turns: DataFrame, conversation: str, order: str, text: s
     return kept.unionByName(late).withColumnRenamed("_n", "turn_number").drop("_size")
 
 
+def whole_questions(turns: DataFrame, conversation: str, order: str, text: str) -> DataFrame:
+    """Every turn with its whole question and effective text, whatever their lengths; the length verdicts stand beside them.
+
+    An effective text is that of all turns up to its own, so a conversation's output grows with the square of its turns.
+    """
+    asked = turns.withColumn("question", collapse(nfkc(F.col(text))))
+    w = Window.partitionBy(conversation).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    said = asked.withColumns({
+        "turn_number": F.count(F.lit(1)).over(w), "_seen": F.collect_list(F.when(F.col("question") != "", F.col("question"))).over(w),
+    })
+    told = F.concat(F.lit(FIRST_TURN), F.array_join("_seen", "\n" + NEXT_TURN))
+    size = F.length("question")
+    status = first_match(
+        (F.coalesce(size, F.lit(0)) < MIN_QUESTION, "too_short"), (size > MAX_QUESTION, "too_long"), default="ok",
+    )
+    out = said.withColumns({"effective_question": F.when(F.size("_seen") > 1, told).otherwise(F.get("_seen", F.lit(0))), "question_status": status})
+    long = F.coalesce((F.size("_seen") > 1) & (F.length("effective_question") > MAX_EFFECTIVE), F.lit(False))
+    return out.withColumn("effective_status", F.when(long, "too_long").otherwise("ok")).drop("_seen")
+
+
 def targets_annual(text: Column) -> Column:
     return says(text, *ANNUAL)
 

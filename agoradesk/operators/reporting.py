@@ -94,7 +94,7 @@ def duration_ms(col: Column) -> Column:
 
 
 def request_log_summary(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Outcome counts, duration, passages and similarity of answered requests."""
+    """Outcome counts, duration (clamped, and as logged), passages and similarity of answered requests."""
     ms = duration_ms(F.col("duration_ms"))
     return log.groupBy(*keys).agg(
         F.count("*").alias("requests"),
@@ -104,6 +104,7 @@ def request_log_summary(log: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("error_code").isNotNull()).alias("with_error_code"),
         F.sum(ms).alias("duration_ms"),
         F.max(ms).alias("max_duration_ms"),
+        F.sum(F.round("duration_ms")).alias("unclamped_duration_ms"),
         F.sum("passages_used").alias("passages_used"),
         F.avg("similarity").alias("mean_similarity"),
     )

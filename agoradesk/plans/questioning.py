@@ -86,6 +86,18 @@ def effective_questions(spark, sf):
     return out.select("conv_id", "turn", "turn_number", F.sha2("effective_question", 256).alias("effective_sha256"))
 
 
+@register("whole_questions", f"""with t as (select conv_id, turn, {CLEAN} t from conversations where role = 'user'), k as (select *, row_number() over w n, count(nullif(t, '')) over w said,
+  string_agg(nullif(t, ''), chr(10) || 'Complément de l’utilisateur : ') over w told from t window w as (partition by conv_id order by turn rows unbounded preceding)),
+ e as (select *, case when said > 1 then 'Question initiale : ' || told else told end effective from k)
+ select conv_id, turn, n turn_number, sha256(t) question_sha256, sha256(effective) effective_sha256,
+  case when coalesce(length(t), 0) < 3 then 'too_short' when length(t) > 1000 then 'too_long' else 'ok' end question_status,
+  case when said > 1 and length(effective) > 5100 then 'too_long' else 'ok' end effective_status from e""")
+def whole_questions(spark, sf):
+    out = qs.whole_questions(read_table(spark, sf, "conversations").where("role = 'user'"), "conv_id", "turn", "text")
+    return out.select("conv_id", "turn", "turn_number", F.sha2("question", 256).alias("question_sha256"), F.sha2("effective_question", 256).alias("effective_sha256"),
+                      "question_status", "effective_status")
+
+
 @register("question_requests", f"""with b as (select conv_id, turn, role, {CLEAN} t from conversations)
  select conv_id, turn, case when (conv_id + turn) % 7 = 0 then 'invalid_request' when not length(t) between 3 and 1000 then 'invalid_question' when turn > 0 and not length(t) between 3 and 4000 then 'invalid_pending_question'
   when turn > 0 and 2 * length(t) + 51 > 5100 then 'question_too_long' else 'ok' end request_status from b""")

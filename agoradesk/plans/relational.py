@@ -316,7 +316,14 @@ from log group by 1, 2""")
 def request_log_summary(spark, sf):
     log = request_log(spark, sf).withColumn("log_day", F.date_format("ts", "yyyy-MM-dd"))
     out = reporting.request_log_summary(log, ["institution_id", "log_day"])
-    return out.withColumn("mean_similarity", F.round("mean_similarity", 6))
+    return out.withColumn("mean_similarity", F.round("mean_similarity", 6)).drop("unclamped_duration_ms")
+
+
+@register("request_log_durations", "with " + LOG_SQL + """
+select institution_id, strftime(date_trunc('day', ts), '%Y-%m-%d') log_day, sum(round(duration_ms)) unclamped_duration_ms from log group by 1, 2""")
+def request_log_durations(spark, sf):
+    log = request_log(spark, sf).withColumn("log_day", F.date_format("ts", "yyyy-MM-dd"))
+    return reporting.request_log_summary(log, ["institution_id", "log_day"]).select("institution_id", "log_day", "unclamped_duration_ms")
 
 
 @register("token_usage", "with " + LOG_SQL + """, t as (select institution_id, case when try_cast(prompt_tokens as double) between 0 and 10000000

@@ -138,3 +138,23 @@ def test_consolidated_turns(spark):
     assert out[1, 0] == "Combien de congés ?"
     assert out[1, 6] == "Question initiale : Combien de congés ?\nComplément de l’utilisateur : J'ai 30 ans\nComplément de l’utilisateur : Et 5 ans de service"
     assert (1, 4) not in out and out[2, 7] is None and len(out[2, 4]) <= 5100
+
+
+def test_whole_turns_keep_every_text(spark):
+    texts = {(1, 0): "Combien ?", (1, 1): "x", (1, 2): "y" * 1500, (1, 3): None, (2, 0): "a" * 6000, (2, 1): " fin  ici "}
+    turns = spark.createDataFrame([(*k, t) for k, t in texts.items()], "c int, n int, t string")
+    out = {(r.c, r.n): r for r in qs.whole_questions(turns, "c", "n", "t").collect()}
+    assert set(out) == set(texts) and [out[1, k].turn_number for k in range(4)] == [1, 2, 3, 4]
+    assert [out[1, k].question_status for k in range(4)] == ["ok", "too_short", "too_long", "too_short"]
+    assert out[1, 0].effective_question == "Combien ?" and out[2, 0].effective_question == "a" * 6000 and out[2, 0].effective_status == "ok"
+    assert out[1, 3].effective_question == f"{qs.FIRST_TURN}Combien ?\n{qs.NEXT_TURN}x\n{qs.NEXT_TURN}" + "y" * 1500
+    assert out[2, 1].effective_question == f"{qs.FIRST_TURN}{'a' * 6000}\n{qs.NEXT_TURN}fin ici" and out[2, 1].effective_status == "too_long"
+
+
+def test_durations_are_summed_as_logged_as_well(spark):
+    from agoradesk.operators import reporting
+
+    rows = [(1, d, "supported", None, 1, 0.5) for d in (400_000.0, 100.0)]
+    log = spark.createDataFrame(rows, "k int, duration_ms double, result string, error_code string, passages_used int, similarity double")
+    row = reporting.request_log_summary(log, ["k"]).first()
+    assert (row.duration_ms, row.unclamped_duration_ms) == (300_100, 400_100)
