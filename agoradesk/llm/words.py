@@ -106,11 +106,24 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(value + (end - start).astype(np.uint64) * MIX_2)
 
 
+def span_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
+    """Byte ranges as binary values."""
+    size = end - start
+    whole = len(start) > 0 and start[0] == 0 and end[-1] == len(data) and bool((start[1:] == end[:-1]).all())
+    body = data if whole else data[np.repeat(start, size) + ramps(size)]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
+
+
 def split_words(texts: pa.Array) -> Words:
     """Maximal runs of bytes other than blank, tab, line feed, vertical tab, form feed and carriage return."""
     data, offsets = text_bytes(texts)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    inside = ~gap
+    return byte_runs(data, offsets, ~((data == 32) | ((data >= 9) & (data <= 13))))
+
+
+def byte_runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """Maximal runs of the bytes marked ``inside``; a run ends where its text ends."""
+    gap = ~inside
     begins = inside.copy()
     begins[1:] &= gap[:-1]
     firsts = offsets[:-1][np.diff(offsets) > 0]
