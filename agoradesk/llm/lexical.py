@@ -1,7 +1,7 @@
 """Ranked lexical search of many items at once, with shared term sets evaluated once.
 
-1. Items are mined for shared term sets: terms that stand in the same items are one set; then pairs of neighbouring sets that several
-   items share become a new set, round by round. The result is a graph: a set is a term or the sum of two sets, an item the sum of some.
+1. Items are mined for shared term sets: terms that stand in the same items are one set; then pairs of sets that several items share
+   become a new set, round by round. The result is a graph: a set is a term or the sum of two sets, an item the sum of some.
 2. One pass over the documents keeps, of each, its length and how often it holds the items' terms. Spark counts documents, lengths and
    document frequencies from that table.
 3. Each set's partial scores are computed once per document, level by level along the graph, whichever number of items share them. A task
@@ -29,6 +29,8 @@ from agoradesk.llm.words import Words, byte_runs, lower_ascii, slices, span_arra
 ITEM_BYTES = 4_000_000
 #: Partial scores held at once in a task.
 CELLS = 4_000_000
+#: Sets of an item, the most shared ones first, that each set is paired with: keeps the mining of long items linear.
+NEIGHBOURS = 64
 # Fixed values of the score: 1000 · ln in the weight, k1 = 1.2 and b = 0.25 in thousandths.
 GAIN, K1, B_PERCENT = 1_000_000_000, 12, 25
 POSTINGS = "doc_id long, n long, terms array<int>, times array<int>"
@@ -90,35 +92,40 @@ def mine_shared_sets(items: list[list[bytes]]) -> SharingPlan:
         for item in who:
             parts[item].append(row[0])
     while True:
-        seen = Counter(pair for own in parts for pair in zip(own, own[1:]))
+        seen = Counter(pair for own in parts for pair in _near(own))
         shared = {pair: n for pair, n in seen.items() if n > 1}
         if not shared:
             break
         taken: Counter = Counter()
         chosen = [_pairs_of(own, shared) for own in parts]
         for own in chosen:
-            taken.update(pair for _, pair in own)
+            taken.update(own)
         names = {pair: add(*pair) for pair in sorted(taken) if taken[pair] > 1}
         if not names:
             break
         for item, own in enumerate(chosen):
-            for at, pair in reversed(own):
-                if pair in names:
-                    parts[item][at : at + 2] = [names[pair]]
+            gone = {x for pair in own if pair in names for x in pair}
+            parts[item] = [names[pair] for pair in own if pair in names] + [x for x in parts[item] if x not in gone]
     return SharingPlan(
         vocabulary, np.array([t for t, _ in leaves], dtype=np.int64), np.array([r for _, r in leaves], dtype=np.int64), _levels(first, made), parts
     )
 
 
-def _pairs_of(own: list[int], shared: dict[tuple[int, int], int]) -> list[tuple[int, tuple[int, int]]]:
-    """Pairs of neighbours without overlap, those of most items first; ties by their numbers, so that items choose alike."""
-    found = sorted((-shared[p], p, k) for k, p in enumerate(zip(own, own[1:])) if p in shared)
-    used, out = set(), []
-    for _, pair, k in found:
-        if k not in used and k + 1 not in used:
-            used |= {k, k + 1}
-            out.append((k, pair))
-    return sorted(out)
+def _near(own: list[int]) -> Iterator[tuple[int, int]]:
+    for k, left in enumerate(own):
+        for right in own[k + 1 : k + 1 + NEIGHBOURS]:
+            yield min(left, right), max(left, right)
+
+
+def _pairs_of(own: list[int], shared: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Pairs without a common set, those of most items first; ties by their numbers, so that items choose alike."""
+    used: set[int] = set()
+    out = []
+    for pair in sorted((p for p in _near(own) if p in shared), key=lambda p: (-shared[p], p)):
+        if not used & set(pair):
+            used.update(pair)
+            out.append(pair)
+    return out
 
 
 def _levels(first: int, made: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
