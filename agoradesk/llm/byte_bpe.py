@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from agoradesk.llm.pretokens import pretoken_starts
 from agoradesk.llm.shared import id_and_text
-from agoradesk.llm.words import ramps, slices, spans_hash, text_bytes
+from agoradesk.llm.words import distinct_spans, ramps, slices, text_bytes
 
 #: Matches whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -86,24 +86,19 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
+        self.place: dict[bytes, int] = {}
         self.first = self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> None:
-        """Encode these distinct matches with the library and remember their ids by hash."""
-        if len(self.hashes) + len(value) > REMEMBERED:
-            self._forget()
-        whole = data.tobytes()
-        encoded = self.library.encode_batch_fast([whole[a:z].decode() for a, z in zip(start, end, strict=True)], add_special_tokens=False)
+    def _learn(self, matches: list[bytes]) -> None:
+        """Encode these distinct matches with the library and remember their ids."""
+        encoded = self.library.encode_batch_fast([m.decode() for m in matches], add_special_tokens=False)
         ids = [e.ids for e in encoded]
         count = np.array([len(x) for x in ids], dtype=np.int64)
-        first = np.cumsum(count) - count + len(self.ids)
+        self.place.update(zip(matches, range(len(self.place), len(self.place) + len(matches)), strict=True))
+        self.first = np.concatenate([self.first, np.cumsum(count) - count + len(self.ids)])
+        self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, np.fromiter((x for own in ids for x in own), np.uint32, int(count.sum()))])
-        hashes = np.concatenate([self.hashes, value])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where those of each text begin, with one more entry)."""
@@ -111,16 +106,14 @@ class Codec:
         start = pretoken_starts(data, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        end = np.append(start[1:], len(data))
-        distinct, sample, back = np.unique(spans_hash(data, start, end), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), dtype=bool)
-        if not known.all():
-            if len(self.hashes) + int((~known).sum()) > REMEMBERED:
-                known[:] = False
-            self._learn(data, start[sample[~known]], end[sample[~known]], distinct[~known])
-            at = np.searchsorted(self.hashes, distinct)
-        at = at[back]
+        code, matches = distinct_spans(data, start, np.append(start[1:], len(data)))
+        new = [m for m in matches if m not in self.place]
+        if len(self.place) + len(new) > REMEMBERED:
+            self._forget()
+            new = matches
+        if new:
+            self._learn(new)
+        at = np.array([self.place[m] for m in matches], dtype=np.int64)[code]
         count = self.count[at]
         ids = self.ids[np.repeat(self.first[at], count) + ramps(count)]
         return ids, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, offsets)]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from agoradesk.llm.packing_bytes import pack, unpack
 from agoradesk.llm.pretokens import LETTER, characters, classes
 from agoradesk.llm.shared import is_remainder
-from agoradesk.llm.words import mix, ramps, slices, spans_hash, text_bytes
+from agoradesk.llm.words import digests, distinct_spans, first_places, mix, ramps, slices, text_bytes
 
 #: Labelled documents per language that the model is fitted on, about: a hash of the id decides which.
 SAMPLE_DOCUMENTS = 2_000
@@ -28,7 +28,9 @@ MOST_LANGUAGES = 400
 GRAM_BUCKETS = 1 << 16
 RANGES = 64  # parts of the bucket space that are summed apart
 SWITCH_PENALTY = 12.0
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text whose n-grams are counted at once while a model is fitted.
+FIT_BYTES = 500_000
 NEITHER = -60.0  # score of a word in a language that does not use its script
 
 # First code point of the ranges of scripts; a range ends where the next begins, "" is no script of its own.
@@ -67,6 +69,11 @@ class LetterWords:
         number = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS] + [SCRIPT_NAMES.index("")])
         return number[np.searchsorted(starts, self.code[self.start], side="right") - 1]
 
+    def distinct(self) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(number of each word's value, the distinct values, index of the first word of each)."""
+        code, values = distinct_spans(self.code.view(np.uint8), 4 * self.start, 4 * self.end)
+        return code, values, first_places(code, len(values))
+
 
 def letter_words(texts: pa.Array) -> LetterWords:
     data, offsets = text_bytes(texts)
@@ -83,8 +90,8 @@ def letter_words(texts: pa.Array) -> LetterWords:
     return LetterWords(lower_codes()[code], start, end, np.searchsorted(start, base), base)
 
 
-def word_grams(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram buckets, number per word): pairs, triples and quadruples of letters with the word's edges, and the word itself."""
+def word_grams(code: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram buckets, number per word): pairs, triples and quadruples of letters with the word's edges, and the word itself (``whole``)."""
     size = end - start + 2
     at = np.repeat(start - 1, size) + ramps(size)
     inside = ramps(size)
@@ -99,7 +106,7 @@ def word_grams(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
         fits = left[: len(value)] >= n
         keys.append(value[fits] + np.uint64(n << 50))
         owners.append(word[: len(value)][fits])
-    keys.append(spans_hash(code, start, end))
+    keys.append(whole)
     owners.append(np.arange(len(start)))
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
@@ -114,7 +121,11 @@ class LanguageModel:
     uses: np.ndarray  # scripts x languages, whether the language uses the script
 
     def __post_init__(self):
-        self.hashes, self.scores = np.zeros(0, np.uint64), np.zeros((0, len(self.names)), np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.scores = np.zeros((0, len(self.names)), np.float32)
 
     def __getstate__(self):
         return {"names": self.names, "weights": self.weights, "uses": self.uses}
@@ -125,28 +136,24 @@ class LanguageModel:
 
     def word_scores(self, words: LetterWords) -> np.ndarray:
         """words x languages; equal words are scored once."""
-        value = spans_hash(words.code, words.start, words.end)
-        distinct, sample, back = np.unique(value, return_index=True, return_inverse=True)
-        scores = self._distinct_scores(words, distinct, sample)[back]
+        code, values, sample = words.distinct()
+        scores = self._distinct_scores(words, values, sample)[code]
         uses = self.uses[words.script()]
         return np.where(uses | ~uses.any(axis=1, keepdims=True), scores, NEITHER * (words.end - words.start)[:, None])
 
-    def _distinct_scores(self, words: LetterWords, distinct: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    def _distinct_scores(self, words: LetterWords, values: list[bytes], sample: np.ndarray) -> np.ndarray:
         """Scores of distinct words; those of earlier slices are remembered until there are too many."""
-        known = np.zeros(len(distinct), dtype=bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] == distinct
-        if len(self.hashes) + int((~known).sum()) > REMEMBERED:
-            self.hashes, self.scores = np.zeros(0, np.uint64), np.zeros((0, len(self.names)), np.float32)
-            known[:] = False
-        new = np.flatnonzero(~known)
-        if len(new):
-            bucket, count = word_grams(words.code, words.start[sample[new]], words.end[sample[new]])
+        new = [k for k, x in enumerate(values) if x not in self.place]
+        if len(self.place) + len(new) > REMEMBERED:
+            self._forget()
+            new = list(range(len(values)))
+        if new:
+            fresh = [values[k] for k in new]
+            bucket, count = word_grams(words.code, words.start[sample[new]], words.end[sample[new]], digests(fresh))
             score = np.add.reduceat(self.weights[bucket], np.cumsum(count) - count, axis=0) / 3
-            both = np.concatenate([self.hashes, distinct[new]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.scores = both[order], np.concatenate([self.scores, score])[order]
-        return self.scores[np.searchsorted(self.hashes, distinct)]
+            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+            self.scores = np.concatenate([self.scores, score])
+        return self.scores[[self.place[x] for x in values]]
 
     def label(self, texts: pa.Array, penalty: float = SWITCH_PENALTY) -> tuple[LetterWords, np.ndarray]:
         words = letter_words(texts)
@@ -216,18 +223,21 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Langua
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for a, z in slices(batch["text"]):
+        for a, z in slices(batch["text"], FIT_BYTES):
             words = letter_words(batch["text"].slice(a, z - a))
             if not len(words.start):
                 continue
-            bucket, size = word_grams(words.code, words.start, words.end)
+            # n-grams of each distinct word once, weighted by how often a language's documents have it
+            code, values, sample = words.distinct()
+            bucket, size = word_grams(words.code, words.start[sample], words.end[sample], digests(values))
             script = words.script() + GRAM_BUCKETS
             doc = np.repeat(np.arange(z - a), np.diff(words.first))
             langs = np.array(batch["lang"].slice(a, z - a).to_pylist(), dtype=object)
             for lang in set(langs):
                 own = (langs == lang)[doc]
                 total = counts.setdefault(lang, np.zeros(SPACE_OF_MODEL, dtype=np.int64))
-                total += np.bincount(bucket[np.repeat(own, size)], minlength=SPACE_OF_MODEL)
+                often = np.bincount(code[own], minlength=len(values))
+                total += np.bincount(bucket, weights=np.repeat(often, size), minlength=SPACE_OF_MODEL).astype(np.int64)
                 total += np.bincount(script[own], minlength=SPACE_OF_MODEL)
     for lang, total in counts.items():
         at = np.flatnonzero(total)

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from agoradesk.llm.byte_bpe import byte_characters
 from agoradesk.llm.pretokens import pretoken_starts
 from agoradesk.llm.shared import id_and_text
-from agoradesk.llm.words import ramps, slices, spans_hash, text_bytes
+from agoradesk.llm.words import distinct_spans, first_places, ramps, slices, text_bytes
 
 NONE = np.iinfo(np.int32).max
 #: Counts of pre-tokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class Merges:
@@ -47,7 +47,7 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)  # by rank
-        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.counts: dict[bytes, int] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << self.shift | right
@@ -105,21 +105,16 @@ class Merges:
 
     def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token; equal pre-tokens are merged once."""
-        value = spans_hash(data, start, end)
-        distinct, first, back = np.unique(value, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), dtype=bool)
-        counts = np.empty(len(distinct), dtype=np.int32)
-        counts[known] = self.counts[at[known]]
-        new = first[~known]
-        counts[~known] = self.merge(data, start[new], end[new])
-        if len(self.hashes) + len(new) > REMEMBERED:
-            self.hashes, self.counts = distinct, counts
-        elif len(new):
-            both = np.concatenate([self.hashes, distinct[~known]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.counts = both[order], np.concatenate([self.counts, counts[~known]])[order]
-        return counts[back]
+        code, distinct = distinct_spans(data, start, end)
+        counts = np.array([self.counts.get(x, 0) for x in distinct], dtype=np.int32)
+        new = np.flatnonzero(counts == 0)
+        if len(new):
+            at = first_places(code, len(distinct))[new]
+            counts[new] = self.merge(data, start[at], end[at])
+            if len(self.counts) + len(new) > REMEMBERED:
+                self.counts = {}
+            self.counts.update((distinct[k], int(counts[k])) for k in new[:REMEMBERED])
+        return counts[code]
 
     def count_texts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; an added token inside a text is one token, as the library has it by default."""

@@ -91,7 +91,7 @@ class _Block:
 
 
 def _counter(span: int, width: int, k: int):
-    """Counts per bin of ``width`` in each query's interval of ``span`` scores. Of a block only bins down to its own k-th score matter: all others can only raise it."""
+    """Counts per bin of ``width`` in each query's interval of ``span`` scores, a bin named by its lowest score. Of a block only bins down to its own k-th score matter: all others can only raise it."""
 
     def run(table: pa.Table) -> pa.Table:
         block, rows, places, counts = _Block(table), [], [], []
@@ -110,23 +110,24 @@ def _counter(span: int, width: int, k: int):
             bins = -(-span // width)
             key, number = np.unique(query * bins + place[query, at], return_counts=True)
             rows.append(own[a + key // bins])
-            places.append(key % bins)
+            start = floors[a + key // bins].astype(np.uint64) + (key % bins).astype(np.uint64) * np.uint64(width)  # wraps to the right long
+            places.append(start.astype(np.int64))
             counts.append(number)
         join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"row": join(rows), "bin": join(places), "n": join(counts)})
+        return pa.table({"row": join(rows), "floor": join(places), "n": join(counts)})
 
     return run
 
 
-def narrowed(intervals: DataFrame, counts: DataFrame, width: int, lowest: int) -> DataFrame:
+def narrowed(intervals: DataFrame, counts: DataFrame, lowest: int) -> DataFrame:
     """The bin of each query that holds its k-th score, and how many scores of it are still wanted.
 
     A query with fewer scores than it wants gets the lowest floor: all its scores reach it.
     """
-    total = counts.groupBy("row", "bin").agg(F.sum("n").alias("n"))
-    reached = total.withColumn("above", F.sum("n").over(W.partitionBy("row").orderBy(F.desc("bin"))))
+    total = counts.groupBy("row", F.col("floor").alias("next")).agg(F.sum("n").alias("n"))
+    reached = total.withColumn("above", F.sum("n").over(W.partitionBy("row").orderBy(F.desc("next"))))
     hit = reached.join(intervals, "row").where("above >= wanted and above - n < wanted").select(
-        "row", (F.col("floor") + F.col("bin") * F.lit(width)).alias("next"), (F.col("wanted") - (F.col("above") - F.col("n"))).alias("left"),
+        "row", "next", (F.col("wanted") - (F.col("above") - F.col("n"))).alias("left"),
     )
     return intervals.join(hit, "row", "left").select(
         "row", F.coalesce("next", F.lit(lowest)).alias("floor"), F.coalesce("left", "wanted").alias("wanted"),
@@ -183,8 +184,8 @@ def top_scores(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 6
     span = min(2 * bound + 1, 1 << 64)
     while span > 1:
         width = -(-span // bins)
-        counts = deal().applyInArrow(_counter(span, width, k), "row long, bin long, n long")
-        intervals = write_stage(narrowed(intervals, counts, width, -LONG_MOST - 1), "intervals")
+        counts = deal().applyInArrow(_counter(span, width, k), "row long, floor long, n long")
+        intervals = write_stage(narrowed(intervals, counts, -LONG_MOST - 1), "intervals")
         span = width
     found = deal().applyInArrow(_reacher(k), "row long, query_id long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))

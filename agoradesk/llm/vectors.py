@@ -22,8 +22,8 @@ PIVOTS, MOST_LABELS = 12, 256
 #: Bytes of vectors in a block, about; a task joins two blocks and holds so many cosines at once.
 BLOCK_BYTES, COSINES = 8_000_000, 2_000_000
 SLACK = 1e-9
-CELLS = "label int, dims int, cell int, core boolean, lead long, copies long, embedding array<double>"
-FOUND = "lead long, root long, links long"
+CELLS = "label int, dims int, cell int, core boolean, number long, lead long, copies long, embedding array<double>"
+FOUND = "number long, lead long, root long, links long"
 
 
 def usable() -> Column:
@@ -34,9 +34,10 @@ def usable() -> Column:
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """Equal vectors of a label as one row: the smallest id and their number."""
+    """Equal vectors of a label as one row: a number of its own, the smallest id and how many they are."""
     rows = vectors.groupBy("label", "embedding").agg(F.min("vec_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
-    return rows.select("label", F.size("embedding").alias("dims"), "lead", "copies", "embedding")
+    number = F.monotonically_increasing_id().alias("number")  # rows of one id may hold several vectors
+    return rows.select(number, "label", F.size("embedding").alias("dims"), "lead", "copies", "embedding")
 
 
 def choose_pivots(distinct: DataFrame, pivots: int = PIVOTS) -> dict[tuple[int, int], np.ndarray]:
@@ -86,7 +87,7 @@ def to_cells(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
                 values = pa.FixedSizeListArray.from_arrays(pa.array(x[at].ravel()), key[1]).cast(pa.list_(pa.float64()))
                 yield pa.record_batch({
                     "label": sent["label"], "dims": sent["dims"], "cell": pa.array(cell, pa.int32()), "core": pa.array(core),
-                    "lead": sent["lead"], "copies": sent["copies"], "embedding": values,
+                    "number": sent["number"], "lead": sent["lead"], "copies": sent["copies"], "embedding": values,
                 })
 
     return distinct.mapInArrow(run, CELLS)
@@ -108,7 +109,7 @@ def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _joiner(cosine: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         same = key[3].as_py() == key[4].as_py()
-        table = table.sort_by("lead")
+        table = table.sort_by([("lead", "ascending"), ("number", "ascending")])
         block, core = table["block"].to_numpy(), table["core"].to_numpy()
         lead, copies = table["lead"].to_numpy(), table["copies"].to_numpy()
         x = np.concatenate([c.flatten().to_numpy() for c in table["embedding"].chunks]).reshape(len(lead), -1)
@@ -127,7 +128,7 @@ def _joiner(cosine: float):
             root = join_roots(root, at, to)
         show = core & ((links > 0) | (lead[root] != lead)) | (lead[root] != lead)
         return pa.table({
-            "lead": pa.array(lead[show]), "root": pa.array(lead[root][show]), "links": pa.array(np.where(core, links, 0)[show]),
+            "number": table["number"].filter(pa.array(show)), "lead": pa.array(lead[show]), "root": pa.array(lead[root][show]), "links": pa.array(np.where(core, links, 0)[show]),
         })
 
     return run
@@ -146,11 +147,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     good = rows.where(usable())
     distinct = write_stage(distinct_vectors(good), "vectors")
     cells = to_cells(distinct, choose_pivots(distinct), float(np.sqrt(2 - 2 * cosine)))
-    dealt = deal_blocks(cells, ["label", "dims", "cell"], "lead", F.ceil(F.lit(BLOCK_BYTES) / (8 * F.col("dims"))))
+    dealt = deal_blocks(cells, ["label", "dims", "cell"], "number", F.ceil(F.lit(BLOCK_BYTES) / (8 * F.col("dims"))))
     found = write_stage(dealt.groupBy("label", "dims", "cell", "low", "high").applyInArrow(_joiner(cosine), FOUND), "vector_links")
     reached = components(found.select(F.col("lead").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "lead")
-    links = found.groupBy("lead").agg(F.sum("links").alias("links"))
-    classes = distinct.join(links, "lead", "left").join(reached, "lead", "left").select(
+    links = found.groupBy("number").agg(F.sum("links").alias("links"))
+    classes = distinct.join(links, "number", "left").join(reached, "lead", "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "lead").alias("component_id"),
     )
     linked = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")

@@ -1,20 +1,22 @@
 """Words and word windows of whole texts as flat numpy arrays.
 
-A batch of texts is one byte buffer. Words, their hashes and the hashes of word windows are computed for the whole buffer at once,
-so no Python object is made per word. All hashes are polynomial (Rabin-Karp) over 64-bit integers that wrap around.
+A batch of texts is one byte buffer, and words are byte ranges of it. Equal ranges are found by their bytes, never by a hash. Where a word
+must be told from those of other batches, each distinct one gets a cryptographic digest of 64 bits; windows of words are hashed by
+Rabin-Karp polynomials over these, modulo the prime 2^61 - 1, for which no fixed pair of sequences collides at every base.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Odd multipliers of the polynomial hashes and of the 64-bit finaliser.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
+PRIME = (1 << 61) - 1
+# Bases of the polynomial hashes and multipliers of the 64-bit finaliser.
+BASE, OTHER_BASE = 0x1E3779B97F4A7C15, 0x16E8FEB86659FD93
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
@@ -31,25 +33,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fold_prime(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo 2^61 - 1."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    """x · 2^32 modulo the prime, not fully reduced, for x below 2^62."""
+    return (x >> np.uint64(29)) + ((x & np.uint64((1 << 29) - 1)) << np.uint64(32))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of residues modulo 2^61 - 1, by halves of 32 bits."""
+    low_bits, half = np.uint64((1 << 32) - 1), np.uint64(32)
+    a_high, a_low, b_high, b_low = a >> half, a & low_bits, b >> half, b & low_bits
+    low = a_low * b_low
+    total = ((a_high * b_high) << np.uint64(3)) + shifted(a_high * b_low + a_low * b_high) + (low & np.uint64(PRIME)) + (low >> np.uint64(61))
+    return fold_prime(total)
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 … base^(n-1), wrapping at 64 bits; the longest array of a base is kept for slices of the usual size."""
-    held = _POWERS.get(int(base))
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 … base^(n-1) modulo the prime; the longest array of a base is kept for slices of the usual size."""
+    held = _POWERS.get(base)
     if held is None or len(held) < n:
-        held = np.full(max(n, 1), base, dtype=np.uint64)
-        held[0] = 1
-        held = np.multiply.accumulate(held)
-        if n <= 3 * SLICE_BYTES // 2:
-            _POWERS[int(base)] = held
+        held = np.ones(1, dtype=np.uint64)
+        while len(held) < n:
+            held = np.concatenate([held, times(held, np.uint64(pow(base, len(held), PRIME)))])
+        held = held[: max(n, 1)]
+        if n <= SLICE_BYTES // 2:
+            _POWERS[base] = held
     return held[:n]
 
 
-def inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
-
-
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
     """Consecutive (start, stop) ranges of a string array with about ``most`` bytes each."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -87,8 +106,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """One 64-bit hash per word, the same wherever the word stands."""
-        return spans_hash(lower_ascii(self.data) if lower else self.data, self.start, self.end)
+        """One 64-bit digest per word, the same wherever the word stands."""
+        code, distinct = distinct_spans(lower_ascii(self.data) if lower else self.data, self.start, self.end)
+        return digests(distinct)[code]
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -96,14 +116,21 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (upper * np.uint8(32))
 
 
-def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, by prefix sums of byte × base^position shifted back to position 0."""
-    up = powers(BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    back = powers(inverse(BASE), len(data) + 1)
-    value = (total[end] - total[start]) * back[start]
-    return mix(value + (end - start).astype(np.uint64) * MIX_2)
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each byte range's value, the distinct values in the order of their first range)."""
+    found = span_array(data, start, end).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def first_places(code: np.ndarray, n: int) -> np.ndarray:
+    """Index of the first occurrence of each of the numbers 0 … n-1."""
+    out = np.zeros(n, dtype=np.int64)
+    out[code[::-1]] = np.arange(len(code))[::-1]
+    return out
+
+
+def digests(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in values), dtype="<u8").astype(np.uint64)
 
 
 def span_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
@@ -140,7 +167,7 @@ def firsts_to_lasts(offsets: np.ndarray) -> np.ndarray:
     return offsets[1:][np.diff(offsets) > 0] - 1
 
 
-def window_hashes(codes: np.ndarray, first: np.ndarray, width: int, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(codes: np.ndarray, first: np.ndarray, width: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every window of ``width`` consecutive codes inside one text.
 
     Returns (hash of each window, index of its first code), windows in the order of the texts.
@@ -148,9 +175,12 @@ def window_hashes(codes: np.ndarray, first: np.ndarray, width: int, base: np.uin
     n = len(codes)
     if n < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(codes * powers(base, n), out=total[1:])
-    value = (total[width:] - total[:-width]) * powers(inverse(base), n)[: n - width + 1]
+    term = times(fold_prime(codes), powers(base, n))
+    low, high = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(term & np.uint64((1 << 32) - 1), out=low[1:])  # halves, so that sums of up to 2^32 terms do not wrap
+    np.cumsum(term >> np.uint64(32), out=high[1:])
+    total = fold_prime(low[width:] - low[:-width]) + fold_prime(shifted(high[width:] - high[:-width]))
+    value = times(fold_prime(total), powers(pow(base, -1, PRIME), n)[: n - width + 1])
     counts = np.maximum(np.diff(first) - (width - 1), 0)
     at = np.repeat(first[:-1], counts) + ramps(counts)
     return mix(value[at]), at
