@@ -18,19 +18,28 @@ LEAST_SHARE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or without a language that holds half of them, go; a missing ``lang`` is filled with the prediction."""
+    """Texts without letters, or without a language that holds half of them, go; a missing ``lang`` is filled with the prediction.
+
+    Where no document has a language to learn from, every text with a letter stays as it is.
+    """
     model = languages.fit_languages(languages.training_rows(docs))
+    if not model.names:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     named = languages.predict_languages(docs.select(*COLUMNS), model)
     kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one of the smallest id stays (of rows that share it, one)."""
-    found = shingles.jaccard_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Of every group of linked documents the one of the smallest id stays; documents of one id are told apart by their texts.
+
+    Rows without an id come after all others of their group; of rows that are equal in id and text one stays.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    found = shingles.jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("key"), "component_id").join(keyed.select("key", "doc_id").distinct(), "key")
+    stay = groups.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("first")).select("first.key")
+    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
