@@ -11,9 +11,9 @@ from pyspark.sql.types import StringType
 from agoradesk.functions.columns import first_match, is_distinct, micros
 from agoradesk.functions.text import normalize_newlines
 from agoradesk.operators.access import MANAGER_CHANNEL, open_memberships
-from agoradesk.operators.events import PIN_HOURS
+from agoradesk.operators.events import PIN_HOURS, deleted_then
 from agoradesk.operators.limits import DUPLICATE_SECONDS, MESSAGE_LIMITS
-from agoradesk.operators.ordered import replay
+from agoradesk.operators.ordered import replay, with_last, with_neighbours
 
 MAX_CHANNEL, MAX_BODY = 100, 4_000
 
@@ -38,6 +38,20 @@ def clean_body(col: Column) -> Column:
     return F.trim(normalize_newlines(F.coalesce(col, F.lit(""))))
 
 
+def reply_targets(msgs: DataFrame, messages: DataFrame, deletions: DataFrame, ts: str) -> DataFrame:
+    """``msgs`` with ``reply_ok``: there is no reply target, or it can be answered at the message's time.
+
+    A target can be answered when it stands in the same institution and channel, was sent before, and is not deleted by then. ``messages``:
+    message_id, institution_id, channel_id, created_at; ``deletions``: message_id, deleted_at.
+    """
+    plain = msgs.where("reply_to is null").withColumn("reply_ok", F.lit(True))
+    target = messages.select(F.col("message_id").alias("reply_to"), "institution_id", "channel_id", F.col("created_at").alias("_sent"))
+    answers = msgs.where("reply_to is not null").join(target, ["reply_to", "institution_id", "channel_id"], "left")
+    known = deleted_then(answers, deletions, "reply_to", ts)
+    ok = F.coalesce((F.col("_sent") <= F.col(ts)) & ~F.col("target_deleted"), F.lit(False))
+    return plain.unionByName(known.withColumn("reply_ok", ok).select(*msgs.columns, "reply_ok"))
+
+
 def classify_messages(msgs: DataFrame, devices: DataFrame, users: DataFrame, channels: DataFrame, memberships: DataFrame) -> DataFrame:
     """Stateless part of admission: the first failing check of each message, or ``ok``.
 
@@ -88,13 +102,20 @@ def admit_messages(checked: DataFrame, ts: str) -> DataFrame:
     """Final status of checked messages, walking each author's messages in order.
 
     Only messages that passed the stateless checks are walked, and only their
-    time and a signature of their content travel to the walk.
+    time and a signature of their content travel to the walk. A pause longer
+    than the longest limit forgets all that came before, so an author's
+    history is as many walks as it has pauses.
     """
     passed = checked.where("check_code = 'ok'")
     signature = F.sha2(F.concat_ws("\x1f", "channel_id", "body", F.coalesce(F.col("reply_to").cast("string"), F.lit("∅"))), 256)
     lean = passed.select("institution_id", "user_id", "message_id", micros(F.col(ts)).alias("_at"), signature.alias("_sig"),
                          F.coalesce("reply_ok", F.lit(True)).alias("_reply_ok"))
-    walked = replay(lean, ["institution_id", "user_id"], ["_at", "message_id"], _admission_walker, ["_at", "_sig", "_reply_ok", "message_id"], "_outcome", StringType())
+    author, order, longest = ["institution_id", "user_id"], ["_at", "message_id"], max(s for s, _ in MESSAGE_LIMITS) * 1_000_000
+    part = F.floor(F.col("_at") / longest)
+    near = with_neighbours(lean, author, order, part, lag={"_earlier": F.col("_at")})
+    opens = F.coalesce(F.col("_earlier") < F.col("_at") - longest, F.lit(True))
+    runs = with_last(near, author, order, part, {"_run": F.when(opens, F.col("_at"))}).drop("_earlier")
+    walked = replay(runs, [*author, "_run"], order, _admission_walker, ["_at", "_sig", "_reply_ok", "message_id"], "_outcome", StringType())
     parts = F.split("_outcome", ":")
     done = walked.select("message_id", parts[0].alias("status_code"), F.get(parts, F.lit(1)).alias("duplicate_of"))
     refused = checked.where("check_code <> 'ok'").select("message_id", F.col("check_code").alias("status_code"), F.lit(None).cast("string").alias("duplicate_of"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from agoradesk.functions.columns import first_match, is_distinct, labelled
-from agoradesk.operators.ordered import replay, with_neighbours, with_running
+from agoradesk.operators.limits import REACTION_LIMITS, sliding_limit
+from agoradesk.operators.ordered import as_of, with_last, with_neighbours, with_running
 
 # Pin durations, request lifetime, text shown for a removed message.
 PIN_HOURS = {"1h": 1, "4h": 4, "1j": 24, "3j": 72}
@@ -145,6 +145,75 @@ def document_versions(activations: DataFrame, keys: list[str], ts: str, version:
     )
 
 
+def document_lifecycle(acts: DataFrame, keys: list[str], document: str, ts: str, event_id: str) -> DataFrame:
+    """Outcome of every ``action`` (activate, deactivate) on the versions of a document key.
+
+    Activating a version makes the active one of its key obsolete; a deactivated version is inactive and may be activated again. Adds
+    ``status_code`` (activated, already_active, deactivated, already_inactive, document_not_active) and ``obsoleted``, the version an activation
+    replaced. ``event_id`` is unique and orders actions of one time. A key of any length is settled in buckets of time.
+    """
+    order, hour = [ts, event_id], hour_of(ts)
+    place = F.struct(F.col(document).alias("doc"), F.col(event_id).alias("event"))
+    starts = F.col("action") == "activate"
+    seen = with_last(acts.where(F.col("action").isin("activate", "deactivate")), keys, order, hour, {"_live": F.when(starts, place)})
+    own = F.coalesce(F.col("_live")["doc"] == F.col(document), F.lit(False))
+    # the first deactivation of the version that the last activation made active takes effect
+    ended = seen.where(~starts & own).groupBy(F.col("_live")["event"].alias("_activation")).agg(F.min(F.struct(*order)).alias("_end"))
+    ended = ended.select("_activation", F.col("_end")[event_id].alias("_ended_by"))
+    made = with_neighbours(seen.where(starts).drop("_live"), keys, order, hour, lag={"_prior": place}).withColumn("_activation", F.col("_prior")["event"])
+    made = made.join(ended, "_activation", "left")
+    still = F.col("_prior").isNotNull() & F.col("_ended_by").isNull()
+    same = F.col("_prior")["doc"] == F.col(document)
+    activated = made.withColumns({
+        "status_code": F.when(still & same, "already_active").otherwise("activated"), "obsoleted": F.when(still & ~same, F.col("_prior")["doc"]),
+    }).select(*acts.columns, "status_code", "obsoleted")
+    stops = seen.where(~starts).withColumn("_activation", F.col("_live")["event"]).join(ended, "_activation", "left")
+    effective = own & (F.col("_ended_by") == F.col(event_id))
+    stops = stops.withColumn("_now", F.when(F.coalesce(effective, F.lit(False)), "deactivated").when(own, "already_inactive"))
+    history = activated.select(*keys, document, *order, F.lit("active").alias("_state")).unionByName(
+        stops.where("_now = 'deactivated'").select(*keys, document, *order, F.lit("inactive").alias("_state"))
+    ).withColumnsRenamed({ts: "_since", event_id: "_tie"})
+    bare = stops.select(*acts.columns, "_now")
+    judged = as_of(bare, history, [*keys, document], ts, "_since", ["_state"], lambda c: F.date_trunc("hour", c), "_tie")
+    code = F.coalesce("_now", F.when(F.col("_state") == "inactive", "already_inactive").otherwise("document_not_active"))
+    stopped = judged.withColumns({"status_code": code, "obsoleted": F.lit(None).cast(acts.schema[document].dataType)})
+    return activated.unionByName(stopped.select(*acts.columns, "status_code", "obsoleted"))
+
+
+def deleted_then(rows: DataFrame, deletions: DataFrame, message: str, ts: str) -> DataFrame:
+    """``rows`` with ``target_deleted``: whether the message they name had been deleted at their time.
+
+    ``deletions`` has message_id and deleted_at. A message of any fame is many tasks: both sides meet in hours.
+    """
+    gone = deletions.select(F.col("message_id").alias(message), F.col("deleted_at").alias("_since"), F.lit(True).alias("target_deleted"))
+    found = as_of(rows, gone, [message], ts, "_since", ["target_deleted"], lambda c: F.date_trunc("hour", c))
+    return found.withColumn("target_deleted", F.coalesce("target_deleted", F.lit(False)))
+
+
+def reaction_outcomes(
+    toggles: DataFrame, deletions: DataFrame, message: str, user: str, emoji_col: str, ts: str, event_id: str, limits=REACTION_LIMITS
+) -> DataFrame:
+    """``status_code`` of every toggle: message_deleted, rate_limited, added or removed.
+
+    A deletion takes a message's reactions with it and refuses later ones; of the others only those count that the user's limits let
+    through, and each of these flips the reaction.
+    """
+    known = deleted_then(toggles, deletions, message, ts)
+    refused = known.where("target_deleted").withColumn("status_code", F.lit("message_deleted"))
+    judged = sliding_limit(known.where("not target_deleted"), [user], ts, event_id, limits)
+    slow = judged.where("not accepted").withColumn("status_code", F.lit("rate_limited")).drop("accepted")
+    done = toggle_actions(judged.where("accepted").drop("accepted"), [message, user, emoji_col], ts, event_id).withColumnRenamed("action", "status_code")
+    columns = [*toggles.columns, "status_code"]
+    return refused.select(*columns).unionByName(slow.select(*columns)).unionByName(done.select(*columns))
+
+
+def remaining_reactions(outcomes: DataFrame, deletions: DataFrame, message: str, user: str, emoji_col: str) -> DataFrame:
+    """Reactions that are on after all outcomes, per message and emoji; a deleted message has none."""
+    on = toggle_state(outcomes.where("status_code in ('added', 'removed')"), [message, user, emoji_col]).where("is_on")
+    kept = on.join(deletions.select(F.col("message_id").alias(message)).distinct(), message, "left_anti")
+    return kept.groupBy(message, emoji_col).agg(F.count(F.lit(1)).alias("total"))
+
+
 def illegal_transitions(
     history: DataFrame, keys: list[str], order: list[str], bucket: Column, status: str = "status", allowed=EDITORIAL_STEPS
 ) -> DataFrame:
@@ -199,31 +268,6 @@ def dedupe_operations(ops: DataFrame, keys: list[str], order: list[str], payload
     return joined.withColumn("outcome", outcome).drop("_first", "_at")
 
 
-def _revision_walker():
-    current: list = [None]
-
-    def step(expected: int, base: int) -> str:
-        if current[0] is None:
-            current[0] = base
-        if expected != current[0]:
-            return f"revision_conflict:{current[0]}"
-        current[0] += 1
-        return f"saved:{current[0]}"
-
-    return step
-
-
-def revision_conflicts(ops: DataFrame, sets: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Optimistic revisions: each accepted operation moves the set on, others meet a conflict.
-
-    ``ops`` has ``expected_revision``; ``sets`` has the starting ``revision``.
-    """
-    joined = ops.join(sets.select(key, "revision"), key)
-    walked = replay(joined, [key], order, _revision_walker, ["expected_revision", "revision"], "_result", StringType())
-    parts = F.split("_result", ":")
-    return walked.withColumn("status_code", parts[0]).withColumn("current_revision", parts[1].cast("long")).drop("_result")
-
-
 def token_state(now: Column) -> Column:
     """State of a presented token row (null row: unknown), in order of precedence."""
     return first_match(

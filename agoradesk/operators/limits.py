@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from agoradesk.functions.columns import micros
-from agoradesk.operators.ordered import place_key, replay, with_last, with_neighbours
+from agoradesk.operators.ordered import place_key, replay, with_last, with_neighbours, with_running
 
 # Limits per scope, in the order they are tested.
 REQUEST_SCOPES = (("device", 3), ("ip", 30), ("institution", 300))
@@ -20,33 +20,42 @@ UPLOADS_PER_HOUR = 20
 DUPLICATE_SECONDS = 3
 
 
+def _grain(order: list[str], seconds: int) -> Column:
+    """Part of the window that a row falls in; rows are numbered inside parts and the parts' counts are carried on."""
+    return F.floor(micros(F.col(order[0])) / (seconds * 1_000_000))
+
+
 def tumbling_limits(
-    attempts: DataFrame, scopes: list[tuple[str, str, int]], window: Column, order: list[str]
+    attempts: DataFrame, scopes: list[tuple[str, str, int]], window: Column, order: list[str], grain: int = 60
 ) -> DataFrame:
     """Count attempts per scope and fixed window, rejected ones included.
 
     ``scopes`` holds (name, key column, limit). Scopes are tested in order and
     only attempts the earlier ones let through are counted by the later ones.
-    Groups are one key in one window, so time splits every hot key.
+    ``order`` begins with the time of the attempt. A window is counted in parts
+    of ``grain`` seconds, one small count per part is carried to the next
+    ones, so a key that holds most of an hour is as many tasks as the hour
+    has parts.
     """
-    out = attempts.withColumn("_window", window).withColumn("rejected_by", F.lit(None).cast("string"))
+    out = attempts.withColumns({"_window": window, "_part": _grain(order, grain), "rejected_by": F.lit(None).cast("string")})
     for name, key, limit in scopes:
-        passed = F.col("rejected_by").isNull()
-        w = Window.partitionBy(key, "_window", passed).orderBy(*order)
-        counter = F.when(passed & F.col(key).isNotNull(), F.row_number().over(w))
-        out = out.withColumn(f"{name}_count", counter)
+        passed = F.col("rejected_by").isNull() & F.col(key).isNotNull()
+        out = with_running(out, [key, "_window"], order, F.col("_part"), {"_n": passed.cast("int")})
+        out = out.withColumn(f"{name}_count", F.when(passed, F.col("_n")).cast("int")).drop("_n")
         out = out.withColumn(
             "rejected_by", F.coalesce("rejected_by", F.when(F.col(f"{name}_count") > limit, F.lit(name)))
         )
-    return out.withColumnRenamed("_window", "window_start")
+    return out.withColumnRenamed("_window", "window_start").drop("_part")
 
 
-def saturating_limit(df: DataFrame, key: str, window: Column, order: list[str], limit: int = UPLOADS_PER_HOUR) -> DataFrame:
-    """A counter that stops at its limit: later rows are refused and leave it unchanged."""
-    w = Window.partitionBy(key, "window_start").orderBy(*order)
-    numbered = df.withColumn("window_start", window).withColumn("_n", F.row_number().over(w))
+def saturating_limit(
+    df: DataFrame, key: str, window: Column, order: list[str], limit: int = UPLOADS_PER_HOUR, grain: int = 60
+) -> DataFrame:
+    """A counter that stops at its limit: later rows are refused and leave it unchanged. Counted in parts, as above."""
+    rows = df.withColumn("window_start", window)
+    numbered = with_running(rows, [key, "window_start"], order, _grain(order, grain), {"_n": F.lit(1)})
     return numbered.withColumns(
-        {"accepted": F.col("_n") <= limit, "counter": F.least("_n", F.lit(limit))}
+        {"accepted": F.col("_n") <= limit, "counter": F.least("_n", F.lit(limit)).cast("int")}
     ).drop("_n")
 
 

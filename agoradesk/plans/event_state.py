@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import epoch_bucket
 from agoradesk.operators import events as ev
-from agoradesk.operators import limits
+from agoradesk.operators import limits, revisions
 from agoradesk.plans import roles
 from agoradesk.plans.roles import NOW
 from agoradesk.sources.tables import read_table
@@ -254,7 +254,7 @@ def revision_conflicts(spark, sf):
     e = roles.events(spark, sf)
     ops = e.select("event_id", "ts", F.col("user_id").alias("set_id"), (1 + F.col("event_id") % 3).alias("expected_revision"))
     sets = e.select(F.col("user_id").alias("set_id")).distinct().withColumn("revision", F.lit(1).cast("long"))
-    return ev.revision_conflicts(ops, sets, "set_id", ["ts", "event_id"]).select("event_id", "status_code", "current_revision")
+    return revisions.revision_conflicts(ops, sets, "set_id", "ts", "event_id").select("event_id", "status_code", "current_revision")
 
 
 TOKENS_SQL = """tokens as (select c_custkey token_id, 'h' || c_custkey token_hash, case when c_custkey % 2 = 0 then 'qr' else 'manual_code' end as "method",

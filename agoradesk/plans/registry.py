@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "event_state", "corpus", "search", "questioning", "entitlements", "auditing", "governing", "nesting", "onboard")
+MODULES = ("relational", "event_state", "chronicle", "corpus", "search", "questioning", "entitlements", "auditing", "governing", "nesting", "onboard")
 
 QUERIES: dict = {}
 for _name in MODULES:

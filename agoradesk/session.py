@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,25 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts)
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write rows below ``spark.checkpoint.dir`` and read them back, so that iterative plans stay short and survive lost executors.
+
+    A local session without that setting gets one temporary folder of its own.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local"):
+        base = shared_dir(spark)
+    else:
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="agoradesk-")
+        _LOCAL[spark.sparkContext.applicationId] = base
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use every core on a scan with fewer splits than cores (a small file before heavy text work).
 
