@@ -106,7 +106,8 @@ class Codec:
         start = pretoken_starts(data, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        code, matches = distinct_spans(data, start, np.append(start[1:], len(data)))
+        code, values = distinct_spans(data, start, np.append(start[1:], len(data)))
+        matches = values.to_pylist()
         new = [m for m in matches if m not in self.place]
         if len(self.place) + len(new) > REMEMBERED:
             self._forget()

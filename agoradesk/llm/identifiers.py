@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agoradesk.llm.shared import boxed, join_by_document, write_stage
+from agoradesk.llm.shared import boxed, join_by_document, tidy, write_stage
 
 # Kinds in their order, and the patterns of the seeds.
 KINDS = ("email", "ip", "card", "phone")
@@ -146,7 +146,7 @@ def find_mentions(docs: DataFrame) -> DataFrame:
             })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, BASE)
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(run), BASE)
 
 
 def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -265,7 +265,7 @@ def mask_identifiers(docs: DataFrame) -> DataFrame:
             texts = pa.array([mask(t, s) if s else t for t, s in zip(old, batch["spans"].to_pylist(), strict=True)], pa.string())
             yield pa.record_batch([texts if n == "text" else batch["row"].field(n) for n in names], names=names)
 
-    return join_by_document(boxed(docs), found).mapInArrow(run, docs.schema)
+    return join_by_document(boxed(docs), found).mapInArrow(tidy(run), docs.schema)
 
 
 def mask(text: str, spans: str) -> str:

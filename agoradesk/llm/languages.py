@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from agoradesk.llm.packing_bytes import pack, unpack
 from agoradesk.llm.pretokens import LETTER, characters, classes
-from agoradesk.llm.shared import is_remainder
+from agoradesk.llm.shared import is_remainder, tidy, tidy_groups
 from agoradesk.llm.words import digests, distinct_spans, first_places, mix, ramps, slices, text_bytes
 
 #: Labelled documents per language that the model is fitted on, about: a hash of the id decides which.
@@ -29,8 +29,6 @@ GRAM_BUCKETS = 1 << 16
 RANGES = 64  # parts of the bucket space that are summed apart
 SWITCH_PENALTY = 12.0
 REMEMBERED = 200_000
-#: Bytes of text whose n-grams are counted at once while a model is fitted.
-FIT_BYTES = 500_000
 NEITHER = -60.0  # score of a word in a language that does not use its script
 
 # First code point of the ranges of scripts; a range ends where the next begins, "" is no script of its own.
@@ -69,7 +67,7 @@ class LetterWords:
         number = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS] + [SCRIPT_NAMES.index("")])
         return number[np.searchsorted(starts, self.code[self.start], side="right") - 1]
 
-    def distinct(self) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    def distinct(self) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
         """(number of each word's value, the distinct values, index of the first word of each)."""
         code, values = distinct_spans(self.code.view(np.uint8), 4 * self.start, 4 * self.end)
         return code, values, first_places(code, len(values))
@@ -137,7 +135,7 @@ class LanguageModel:
     def word_scores(self, words: LetterWords) -> np.ndarray:
         """words x languages; equal words are scored once."""
         code, values, sample = words.distinct()
-        scores = self._distinct_scores(words, values, sample)[code]
+        scores = self._distinct_scores(words, values.to_pylist(), sample)[code]
         uses = self.uses[words.script()]
         return np.where(uses | ~uses.any(axis=1, keepdims=True), scores, NEITHER * (words.end - words.start)[:, None])
 
@@ -149,7 +147,7 @@ class LanguageModel:
             new = list(range(len(values)))
         if new:
             fresh = [values[k] for k in new]
-            bucket, count = word_grams(words.code, words.start[sample[new]], words.end[sample[new]], digests(fresh))
+            bucket, count = word_grams(words.code, words.start[sample[new]], words.end[sample[new]], digests(pa.array(fresh, pa.large_binary())))
             score = np.add.reduceat(self.weights[bucket], np.cumsum(count) - count, axis=0) / 3
             self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
             self.scores = np.concatenate([self.scores, score])
@@ -207,8 +205,8 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Langua
         return LanguageModel([], np.zeros((SPACE_OF_MODEL, 0), np.float32), np.zeros((SCRIPT_BUCKETS, 0), bool))
     share = F.create_map(*(F.lit(x) for row in held for x in (row["lang"], min(1.0, sample / row["held"]))))
     taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")])
-    parts = taken.select("lang", "text").mapInArrow(_gather, "lang string, part int, counts binary")
-    summed = parts.groupBy("lang", "part").applyInArrow(_add, "lang string, part int, counts binary").collect()
+    parts = taken.select("lang", "text").mapInArrow(tidy(_gather), "lang string, part int, counts binary")
+    summed = parts.groupBy("lang", "part").applyInArrow(tidy_groups(_add), "lang string, part int, counts binary").collect()
     names = sorted({row["lang"] for row in summed})
     counts = np.zeros((SPACE_OF_MODEL, len(names)), dtype=np.float64)
     for row in summed:
@@ -223,7 +221,7 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Langua
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for a, z in slices(batch["text"], FIT_BYTES):
+        for a, z in slices(batch["text"]):
             words = letter_words(batch["text"].slice(a, z - a))
             if not len(words.start):
                 continue
@@ -270,7 +268,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = SW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in slices(batch["text"], 2_000_000):
+            for a, z in slices(batch["text"]):
                 part = batch.slice(a, z - a)
                 words, labels = model.label(part["text"], penalty)
                 doc = np.repeat(np.arange(z - a), np.diff(words.first))
@@ -288,7 +286,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, penalty: float = SW
                 yield pa.record_batch(out, names=[*names, "lang_pred", "score", *(["spans"] if spans else [])])
 
     kind = columns + "lang_pred string, score double" + (", spans array<struct<start:int,end:int,lang:string>>" if spans else "")
-    return rest.mapInArrow(run, kind)
+    return rest.mapInArrow(tidy(run), kind)
 
 
 def _spans(words: LetterWords, labels: np.ndarray, doc: np.ndarray, n: int, names: list[str]) -> pa.Array:

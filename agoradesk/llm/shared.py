@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +34,52 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker is kept for later stages, and memory it only holds counts all the same."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInArrow step; when its task ends, the memory it used is given back."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+_given_back = [0.0]
+
+
+def tidy_groups(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of an applyInArrow step on tables without their key; at most once a second freed memory is given back."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if time.monotonic() - _given_back[0] > 1:
+            give_back()
+            _given_back[0] = time.monotonic()
+        return out
+
+    return whole
+
+
+def tidy_keyed_groups(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The same for functions that take a group's key."""
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        return tidy_groups(lambda t: run(key, t))(table)
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from agoradesk.llm.components import components
 from agoradesk.llm.packing_bytes import pack, unpack
-from agoradesk.llm.shared import bucket_count, id_and_text, write_stage
+from agoradesk.llm.shared import bucket_count, id_and_text, tidy, tidy_groups, tidy_keyed_groups, write_stage
 from agoradesk.llm.vectors import join_roots
 from agoradesk.llm.words import Words, mix, ramps, slices, split_words, window_hashes
 
@@ -75,9 +75,9 @@ def shared_sets(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """
     buckets = bucket_count(docs.sparkSession)
     scan = id_and_text(docs).withColumn("part", F.spark_partition_id())
-    sent = scan.mapInArrow(_sender(size, buckets), "bucket int, chunk string, payload binary")
-    found = sent.groupBy("bucket").applyInArrow(_counter(buckets), "chunk string, payload binary")
-    return found.groupBy("chunk").applyInArrow(_collector(percent), SETS)
+    sent = scan.mapInArrow(tidy(_sender(size, buckets)), "bucket int, chunk string, payload binary")
+    found = sent.groupBy("bucket").applyInArrow(tidy_keyed_groups(_counter(buckets)), "chunk string, payload binary")
+    return found.groupBy("chunk").applyInArrow(tidy_groups(_collector(percent)), SETS)
 
 
 def _sender(size: int, buckets: int):
@@ -245,7 +245,7 @@ def link_sets(sets: DataFrame, percent: int = 75) -> DataFrame:
         "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id",
         F.col("n_shingles").alias("n"), "set_a", "set_b", "copies", "shingles",
     )
-    return dealt.groupBy("family", "low", "high").applyInArrow(_searcher(percent), LINKS)
+    return dealt.groupBy("family", "low", "high").applyInArrow(tidy_keyed_groups(_searcher(percent)), LINKS)
 
 
 def _searcher(percent: int):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoradesk.llm.packing_bytes import pack, unpack
-from agoradesk.llm.shared import boxed, bucket_count, id_and_text, join_by_document, write_stage
+from agoradesk.llm.shared import boxed, bucket_count, id_and_text, join_by_document, tidy, tidy_groups, write_stage
 from agoradesk.llm.words import OTHER_BASE, slices, split_words, window_hashes
 
 #: Windows gathered in a task before they are sent: about 100 bytes of memory each while they are sorted.
@@ -37,9 +37,9 @@ def repeated_intervals(docs: DataFrame, width: int = 35) -> DataFrame:
         raise ValueError("width must be 1 or more")
     buckets = bucket_count(docs.sparkSession)
     scan = id_and_text(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.spark_partition_id().alias("part"))
-    sent = scan.mapInArrow(_sender(width, buckets), "bucket int, chunk string, payload binary")
-    found = sent.groupBy("bucket").applyInArrow(_count, "chunk string, payload binary")
-    return found.groupBy("chunk").applyInArrow(_merger(width), INTERVALS)
+    sent = scan.mapInArrow(tidy(_sender(width, buckets)), "bucket int, chunk string, payload binary")
+    found = sent.groupBy("bucket").applyInArrow(tidy_groups(_count), "chunk string, payload binary")
+    return found.groupBy("chunk").applyInArrow(tidy_groups(_merger(width)), INTERVALS)
 
 
 def _sender(width: int, buckets: int):
@@ -200,7 +200,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_digest(docs: DataFrame, width: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row of ``docs``; a null or empty text has no words."""
     held = with_intervals(id_and_text(docs), width)
-    return held.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return held.mapInArrow(tidy(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -219,4 +219,4 @@ def dedup_texts(docs: DataFrame, width: int = 35) -> DataFrame:
             new = pa.array([kept.decode() if had[i] else old[i] for i, _, _, kept in _cut(batch)], pa.string())
             yield pa.record_batch([new if n == "text" else batch["row"].field(n) for n in names], names=names)
 
-    return held.mapInArrow(cut, docs.schema)
+    return held.mapInArrow(tidy(cut), docs.schema)

@@ -105,7 +105,8 @@ class Merges:
 
     def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token; equal pre-tokens are merged once."""
-        code, distinct = distinct_spans(data, start, end)
+        code, values = distinct_spans(data, start, end)
+        distinct = values.to_pylist()
         counts = np.array([self.counts.get(x, 0) for x in distinct], dtype=np.int32)
         new = np.flatnonzero(counts == 0)
         if len(new):

@@ -1,13 +1,12 @@
 """Words and word windows of whole texts as flat numpy arrays.
 
 A batch of texts is one byte buffer, and words are byte ranges of it. Equal ranges are found by their bytes, never by a hash. Where a word
-must be told from those of other batches, each distinct one gets a cryptographic digest of 64 bits; windows of words are hashed by
-Rabin-Karp polynomials over these, modulo the prime 2^61 - 1, for which no fixed pair of sequences collides at every base.
+must be told from those of other batches, each distinct one gets a digest of 64 bits, and windows of words are hashed over these. All
+are Rabin-Karp polynomials modulo the prime 2^61 - 1, for which no fixed pair of sequences collides at every base.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,7 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 #: Bytes of text handled at once; a longer text is one slice of its own.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,24 +32,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+M29, M32, P61 = np.uint64((1 << 29) - 1), np.uint64((1 << 32) - 1), np.uint64(PRIME)
+THREE, N29, N32, N61 = np.uint64(3), np.uint64(29), np.uint64(32), np.uint64(61)
+
+
 def fold_prime(x: np.ndarray) -> np.ndarray:
     """64-bit values modulo 2^61 - 1."""
-    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
-    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+    x = (x & P61) + (x >> N61)
+    x -= (x >= P61) * P61
+    return x
 
 
 def shifted(x: np.ndarray) -> np.ndarray:
     """x · 2^32 modulo the prime, not fully reduced, for x below 2^62."""
-    return (x >> np.uint64(29)) + ((x & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    return (x >> N29) + ((x & M29) << N32)
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products of residues modulo 2^61 - 1, by halves of 32 bits."""
-    low_bits, half = np.uint64((1 << 32) - 1), np.uint64(32)
-    a_high, a_low, b_high, b_low = a >> half, a & low_bits, b >> half, b & low_bits
-    low = a_low * b_low
-    total = ((a_high * b_high) << np.uint64(3)) + shifted(a_high * b_low + a_low * b_high) + (low & np.uint64(PRIME)) + (low >> np.uint64(61))
-    return fold_prime(total)
+    """Products of residues modulo 2^61 - 1, by halves of 32 bits; sums are gathered in place."""
+    high, low, b_high, b_low = a >> N32, a & M32, b >> N32, b & M32
+    middle = high * b_low
+    middle += low * b_high
+    low = low * b_low
+    high = high * b_high
+    high <<= THREE
+    high += middle >> N29
+    middle &= M29
+    middle <<= N32
+    high += middle
+    high += low >> N61
+    low &= P61
+    high += low
+    return fold_prime(high)
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -64,7 +77,7 @@ def powers(base: int, n: int) -> np.ndarray:
         while len(held) < n:
             held = np.concatenate([held, times(held, np.uint64(pow(base, len(held), PRIME)))])
         held = held[: max(n, 1)]
-        if n <= SLICE_BYTES // 2:
+        if n <= SLICE_BYTES:
             _POWERS[base] = held
     return held[:n]
 
@@ -116,10 +129,10 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (upper * np.uint8(32))
 
 
-def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
     """(number of each byte range's value, the distinct values in the order of their first range)."""
     found = span_array(data, start, end).dictionary_encode()
-    return found.indices.to_numpy(), found.dictionary.to_pylist()
+    return found.indices.to_numpy(), found.dictionary
 
 
 def first_places(code: np.ndarray, n: int) -> np.ndarray:
@@ -129,15 +142,47 @@ def first_places(code: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def digests(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in values), dtype="<u8").astype(np.uint64)
+def polynomials(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Sum of code · base^position modulo the prime over each range of ``codes`` (all below 2^61), positions counted in the range."""
+    term = times(codes, powers(base, len(codes)))
+    low, high = np.zeros(len(codes) + 1, dtype=np.uint64), np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(term & M32, out=low[1:])  # halves, so that sums of up to 2^32 terms do not wrap
+    np.cumsum(term >> N32, out=high[1:])
+    total = fold_prime(low[end] - low[start])
+    total += fold_prime(shifted(high[end] - high[start]))
+    return times(fold_prime(total), powers(pow(base, -1, PRIME), len(codes) + 1)[start])
+
+
+def digests(values: pa.LargeBinaryArray) -> np.ndarray:
+    """64 bits of each value: two polynomials over its pieces of 7 bytes, modulo the prime at different bases, and the length, mixed."""
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    whole = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    size = np.diff(offsets)
+    place = ramps(size) % 7
+    heads = np.flatnonzero(place == 0)
+    shifts = (place * 8).astype(np.uint64)
+    pieces = np.add.reduceat(whole.astype(np.uint64) << shifts, heads) if len(heads) else np.zeros(0, np.uint64)
+    pieces += np.uint64(1)
+    end = np.cumsum(-(-size // 7))
+    start = end - -(-size // 7)
+    one, other = (polynomials(pieces, start, end, base) for base in (BASE, OTHER_BASE))
+    return mix(one + mix(other + size.astype(np.uint64) * MIX_2))
 
 
 def span_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
     """Byte ranges as binary values."""
     size = end - start
     whole = len(start) > 0 and start[0] == 0 and end[-1] == len(data) and bool((start[1:] == end[:-1]).all())
-    body = data if whole else data[np.repeat(start, size) + ramps(size)]
+    if whole:
+        body = data
+    elif bool((start[1:] >= end[:-1]).all() and (size > 0).all()):
+        edge = np.zeros(len(data) + 1, dtype=np.int8)
+        edge[start] += 1
+        edge[end] -= 1  # an end that is also a start leaves its byte marked
+        body = data[np.cumsum(edge[:-1], dtype=np.int8).view(np.bool_)]
+    else:
+        body = data[np.repeat(start, size) + ramps(size)]
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
 
@@ -175,12 +220,8 @@ def window_hashes(codes: np.ndarray, first: np.ndarray, width: int, base: int =
     n = len(codes)
     if n < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    term = times(fold_prime(codes), powers(base, n))
-    low, high = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(term & np.uint64((1 << 32) - 1), out=low[1:])  # halves, so that sums of up to 2^32 terms do not wrap
-    np.cumsum(term >> np.uint64(32), out=high[1:])
-    total = fold_prime(low[width:] - low[:-width]) + fold_prime(shifted(high[width:] - high[:-width]))
-    value = times(fold_prime(total), powers(pow(base, -1, PRIME), n)[: n - width + 1])
+    place = np.arange(n - width + 1)
+    value = polynomials(fold_prime(codes), place, place + width, base)
     counts = np.maximum(np.diff(first) - (width - 1), 0)
     at = np.repeat(first[:-1], counts) + ramps(counts)
     return mix(value[at]), at
