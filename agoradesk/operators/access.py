@@ -153,6 +153,18 @@ def approval_view(requests: DataFrame, institutions: DataFrame, now: Column) ->
     return rows.withColumn("status_code", status)
 
 
+def presented_links(presented: DataFrame, links: DataFrame, requests: DataFrame, institutions: DataFrame, now: Column) -> DataFrame:
+    """What every presented link (presented_id, link_hash) shows: invalid_link where it leads to no request, else as :func:`approval_view`.
+
+    ``links``: link_hash, request_id. A link that is null or unknown, or whose request is gone, is invalid.
+    """
+    held = links.join(requests, "request_id")
+    known = presented.join(held, "link_hash", "left")
+    viewed = approval_view(known.where("request_id is not null"), institutions, now)
+    lost = known.where("request_id is null").withColumn("status_code", F.lit("invalid_link"))
+    return viewed.unionByName(lost, allowMissingColumns=True)
+
+
 def approval_choices(requests: DataFrame, channels: DataFrame, users: DataFrame) -> DataFrame:
     """Channels (``all`` first) and active users offered per request's institution, one row each.
 

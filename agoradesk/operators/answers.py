@@ -14,6 +14,7 @@ from agoradesk.functions.columns import first_match, is_uuid, let, number_text,
 from agoradesk.functions.regexes import UUID
 from agoradesk.functions.text import collapse, js_trim, strip_marks, words
 from agoradesk.operators.questions import NUMBER_WORD, SEPARATOR, pattern
+from agoradesk.operators.retrieval import citations
 from agoradesk.operators.rules import BLOCKED, RULE_REQUIRED
 
 # Contract, messages, token shapes, generic words, error codes.
@@ -272,6 +273,15 @@ def audit_answers(answers: DataFrame, sources: DataFrame, rule_sources: DataFram
     ).drop("_claims", "_ids", "_found", "_backed", "_protected", "_ruled", "_code")
 
 
+def shown_citations(audited: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
+    """The passages under every answer that is shown with citations, in the order it named them, each with the excerpt it rests on.
+
+    ``audited``: rows of :func:`audit_answers`; ``sources``: (key, passage_id, content and what a citation shows of its document).
+    """
+    shown = audited.where("citation_count > 0").select(key, "answer", "used_passage_ids")
+    return citations(shown, sources, key)
+
+
 def audit_rule_answers(answers: DataFrame, sources: DataFrame, key: str = "answer_id") -> DataFrame:
     """Rule answers may be shown only when every passage they rest on is at hand."""
     absent = invalid_citations(answers, sources, key).groupBy(key).agg(F.count("*").alias("_absent"))

@@ -174,7 +174,7 @@ def document_lifecycle(acts: DataFrame, keys: list[str], document: str, ts: str,
         stops.where("_now = 'deactivated'").select(*keys, document, *order, F.lit("inactive").alias("_state"))
     ).withColumnsRenamed({ts: "_since", event_id: "_tie"})
     bare = stops.select(*acts.columns, "_now")
-    judged = as_of(bare, history, [*keys, document], ts, "_since", ["_state"], lambda c: F.date_trunc("hour", c), "_tie")
+    judged = as_of(bare, history, [*keys, document], ts, "_since", ["_state"], lambda c: F.date_trunc("hour", c), "_tie", event_id)
     code = F.coalesce("_now", F.when(F.col("_state") == "inactive", "already_inactive").otherwise("document_not_active"))
     stopped = judged.withColumns({"status_code": code, "obsoleted": F.lit(None).cast(acts.schema[document].dataType)})
     return activated.unionByName(stopped.select(*acts.columns, "status_code", "obsoleted"))

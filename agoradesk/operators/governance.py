@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from agoradesk.functions.columns import first_match, is_uuid, labelled, plural, number_text, uuid_from
 from agoradesk.functions.regexes import KEY, UUID
 from agoradesk.operators.lifecycle import OPEN_RULES
+from agoradesk.operators.quality import filter_optional
 
 # Labels, actions, reasons, operators, limits.
 STATUS_LABELS = {
@@ -358,16 +359,32 @@ def audit_events(changes: DataFrame, event_type: Column, now: Column) -> DataFra
                           "new_status", now.alias("created_at"), F.to_date(now).alias("event_date"))
 
 
-def list_rule_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rule sets with their document and required action; filter and page with the generic helpers."""
+def list_rule_sets(
+    sets: DataFrame, docs: DataFrame, document_id: object = None, rule_key: str | None = None, statuses: tuple[str, ...] | None = None,
+    action_required: bool | None = None,
+) -> DataFrame:
+    """Rule sets with their document and required action, narrowed by whatever is given; page with the generic helper.
+
+    Filters reach the scan of the rule sets, before documents are joined. ``action_required`` asks for sets that wait for a person, or
+    for those that do not.
+    """
+    asked = filter_optional(sets, document_id=document_id, rule_key=rule_key, status=statuses)
+    if action_required is not None:
+        asked = asked.where(F.coalesce(F.col("status").isin(*STATUS_ACTIONS), F.lit(False)) == F.lit(action_required))
     titles = docs.select("document_id", "institution_id", F.col("title").alias("document_title"), F.col("status").alias("document_status"))
-    return with_labels(with_rule_action(sets.join(titles, ["document_id", "institution_id"])))
+    return with_labels(with_rule_action(asked.join(titles, ["document_id", "institution_id"])))
 
 
-def audit_history(events: DataFrame, users: DataFrame) -> DataFrame:
-    """Audit events with the name of who acted; system events have none."""
+def audit_history(
+    events: DataFrame, users: DataFrame, rule_set_id: object = None, document_id: object = None, event_types: tuple[str, ...] | None = None,
+    since: Column | None = None,
+) -> DataFrame:
+    """Audit events with the name of who acted, narrowed by whatever is given; system events have no name."""
+    asked = filter_optional(events, rule_set_id=rule_set_id, document_id=document_id, event_type=event_types)
+    if since is not None:
+        asked = asked.where(F.col("created_at") >= since)
     names = users.select(F.col("user_id").alias("actor_id"), F.col("display_name").alias("actor_name"))
-    return events.join(names, "actor_id", "left")
+    return asked.join(names, "actor_id", "left")
 
 
 def registry_diff(manifest: DataFrame, code: DataFrame) -> DataFrame:

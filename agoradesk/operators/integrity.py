@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +23,7 @@ SIGNATURES = {
     "moving_default": (("déménagement", "demenagement"), ()),
 }
 PASSAGE = ["passage_id", "document_id", "institution_id"]
+PRINTED_PAIR = "(?<![0-9])(?=([0-9]+[^0-9][0-9]+)(?![0-9]))"
 DAYS_WORD = "(\\A|[^\\p{L}])jours?([^\\p{L}]|\\z)"
 
 
@@ -59,90 +58,129 @@ def outcome_text(value: Column) -> Column:
     return F.regexp_replace(value.cast("decimal(18,6)").cast("string"), "\\.?0+$", "")
 
 
-def passage_features(passages: DataFrame) -> DataFrame:
-    """What rules ask of a passage, read off its text once: numbers printed, and the word for days."""
-    return passages.select(
-        *PASSAGE, F.col("content_sha256").alias("_now"),
-        F.array_distinct(F.regexp_extract_all("content", F.lit("[0-9]+"), F.lit(0))).alias("_numbers"),
-        F.lower("content").rlike(DAYS_WORD).alias("_days"),
+def passage_features(passages: DataFrame, signatures: DataFrame) -> DataFrame:
+    """What rules ask of a passage, read off its text once.
+
+    ``_printed`` holds the numbers as printed: runs of digits, and any two runs with one sign between them. ``_hits`` holds the signatures that
+    match; these are a closed list of the templates, held in one value.
+    """
+    listed = signatures.agg(F.collect_list(F.struct("template_version_id", "signature_key", "required", "forbidden"))).scalar()
+    read = passages.select(
+        *PASSAGE, F.col("content_sha256").alias("_now"), F.lower("content").alias("_low"),
+        F.concat(
+            F.regexp_extract_all("content", F.lit("[0-9]+"), F.lit(0)), F.regexp_extract_all("content", F.lit(PRINTED_PAIR), F.lit(1))
+        ).alias("_printed"), listed.alias("_listed"),
+    )
+    has = lambda terms: F.exists(terms, lambda t: F.contains("_low", F.lower(t)))
+    hits = F.transform(
+        F.filter("_listed", lambda s: has(s["required"]) & ~has(s["forbidden"])), lambda s: _signature(s["template_version_id"], s["signature_key"])
     )
+    return read.select(*PASSAGE, "_now", F.array_distinct("_printed").alias("_printed"), F.rlike("_low", F.lit(DAYS_WORD)).alias("_days"), hits.alias("_hits"))
+
+
+def _signature(template: Column, key: Column) -> Column:
+    return F.concat_ws("\x1f", template, key)
+
+
+def _templates(templates: DataFrame, template_facts: DataFrame, registry: DataFrame, signatures: DataFrame, constraints: DataFrame) -> DataFrame:
+    """One row per template version: whether it runs, uses only registered keys, its signatures and its constraints."""
+    version = F.col("template_version_id")
+    key = lambda kind, name: F.struct(F.lit(kind).alias("key_type"), F.col(name).alias("runtime_key"))
+    used = templates.select(version, "status", F.explode(F.array(
+        key("intent_detector", "detector_key"), key("renderer", "renderer_key"), key("aggregation_strategy", "aggregation_strategy"))).alias("_key"))
+    used = used.unionByName(template_facts.select(version, key("fact_extractor", "extractor_key").alias("_key")), allowMissingColumns=True)
+    known = registry.select(F.struct("key_type", "runtime_key").alias("_key"), F.lit(True).alias("_known"))
+    rows = used.join(known, "_key", "left").select(version, "status", F.col("_known").isNull().alias("_stray"))
+    rows = rows.unionByName(signatures.select(version, F.struct("signature_key", "match_kind", "fact_key", "category_value").alias("_sign")), allowMissingColumns=True)
+    rows = rows.unionByName(constraints.select(version, F.struct("left_fact_key", "comparator", "right_fact_key").alias("_bound")), allowMissingColumns=True)
+    return rows.groupBy("template_version_id").agg(
+        F.bool_or(F.col("status").isin("published", "retired")).alias("_runs"), F.bool_or("_stray").alias("_stray"),
+        F.collect_set("_sign").alias("_signs"), F.collect_set("_bound").alias("_bounds"),
+    )
+
+
+def _rule_records(rules: DataFrame, groups: DataFrame, conditions: DataFrame) -> DataFrame:
+    """One row per rule with its groups and conditions, which the model bounds to some dozens."""
+    held = groups.select("rule_id", F.col("group_id").alias("_group"))
+    said = conditions.select("rule_id", F.struct("group_id", "fact_key", "number_value", "category_value").alias("_said"))
+    rows = held.unionByName(said, allowMissingColumns=True)
+    shape = rows.groupBy("rule_id").agg(F.collect_list("_group").alias("_groups"), F.collect_list("_said").alias("_said"))
+    found = rules.select("rule_id", "rule_set_id", "outcome_value", "is_default").join(shape, "rule_id", "left")
+    return found.withColumns({c: F.coalesce(c, F.array().cast(shape.schema[c].dataType)) for c in ("_groups", "_said")})
+
+
+def _broken(bounds: Column, said: Column) -> Column:
+    """Whether two conditions of one group contradict a constraint of the template."""
+    def pair(bound: Column, left: Column) -> Column:
+        against = lambda right: (right["group_id"] == left["group_id"]) & (right["fact_key"] == bound["right_fact_key"]) & (
+            ~compare(left["number_value"], bound["comparator"], right["number_value"]))
+        return (left["fact_key"] == bound["left_fact_key"]) & F.exists(said, against)
+
+    return F.coalesce(F.exists(bounds, lambda bound: F.exists(said, lambda left: pair(bound, left))), F.lit(False))
 
 
 def inspect_integrity(
     sets: DataFrame, docs: DataFrame, templates: DataFrame, template_facts: DataFrame, registry: DataFrame, rules: DataFrame, groups: DataFrame,
-    conditions: DataFrame, sources: DataFrame, passages: DataFrame, signatures: DataFrame, constraints: DataFrame,
+    conditions: DataFrame, sources: DataFrame, passages: DataFrame, signatures: DataFrame, constraints: DataFrame, asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Issues of every rule set, one row each: rule_set_id, rule_id (null for the set), code."""
-    none = F.lit(None).cast(dict(rules.dtypes)["rule_id"])
-    issue = lambda df, code, rule=None: df.select("rule_set_id", (none if rule is None else F.col(rule)).alias("rule_id"), code.alias("code"))
-    base = sets.select("rule_set_id", "document_id", "institution_id", "template_version_id", "result_unit")
-
-    eligible = docs.where(F.col("status").isin("ready", "active")).select("document_id", "institution_id")
-    out = [issue(base.join(eligible, ["document_id", "institution_id"], "left_anti"), F.lit("document_not_eligible"))]
-    executable = templates.where(F.col("status").isin("published", "retired")).select("template_version_id")
-    out.append(issue(base.join(executable, "template_version_id", "left_anti"), F.lit("template_not_executable")))
-
-    keys = templates.select("template_version_id", F.explode(F.array(
-        F.struct(F.lit("intent_detector").alias("key_type"), F.col("detector_key").alias("runtime_key")),
-        F.struct(F.lit("renderer").alias("key_type"), F.col("renderer_key").alias("runtime_key")),
-        F.struct(F.lit("aggregation_strategy").alias("key_type"), F.col("aggregation_strategy").alias("runtime_key")))).alias("k")).select("template_version_id", "k.*")
-    keys = keys.unionByName(template_facts.select("template_version_id", F.lit("fact_extractor").alias("key_type"), F.col("extractor_key").alias("runtime_key")))
-    stray = keys.join(registry.select("key_type", "runtime_key"), ["key_type", "runtime_key"], "left_anti").select("template_version_id").distinct()
-    out.append(issue(base.join(stray, "template_version_id", "left_semi"), F.lit("runtime_registry_mismatch")))
-
-    defaults = rules.groupBy("rule_set_id").agg(F.count_if("is_default").alias("_defaults"))
-    counted = base.join(defaults, "rule_set_id", "left").where(F.coalesce("_defaults", F.lit(0)) != 1)
-    out.append(issue(counted, F.lit("invalid_default_rule_count")))
-
-    filled = groups.join(conditions.select("group_id").distinct().withColumn("_filled", F.lit(1)), "group_id", "left")
-    shape = filled.groupBy("rule_id").agg(F.count("*").alias("_groups"), F.count_if(F.col("_filled").isNull()).alias("_empty"))
-    formed = rules.join(shape, "rule_id", "left")
-    grouped = F.coalesce("_groups", F.lit(0)) > 0
-    out.append(issue(formed.where((F.col("is_default") == grouped) | (F.coalesce("_empty", F.lit(0)) > 0)), F.lit("invalid_rule_structure"), "rule_id"))
-
-    sourced = sources.select("rule_id", "rule_set_id").distinct()
-    out.append(issue(rules.join(sourced, ["rule_id", "rule_set_id"], "left_anti"), F.lit("missing_rule_sources"), "rule_id"))
-    checked = rules.join(sourced, ["rule_id", "rule_set_id"], "left_semi").join(base.select("rule_set_id", "template_version_id", "result_unit"), "rule_set_id")
-
-    # Texts are read once per passage; only what was found in them is joined to the rules.
-    rule = ["rule_id", "rule_set_id"]
-    held = sources.join(passage_features(passages), PASSAGE)
-    changed = held.where(F.col("content_sha256") != F.col("_now")).select(*rule).distinct()
-    out.append(issue(checked.join(changed, rule, "left_semi"), F.lit("source_changed"), "rule_id"))
-
-    by_default = checked.where("is_default").join(signatures.where("match_kind = 'default_rule'").drop("fact_key", "category_value"), "template_version_id")
-    by_category = checked.join(conditions.select("rule_id", "fact_key", "category_value").distinct(), "rule_id").join(
-        signatures.where("match_kind = 'category_value'"), ["template_version_id", "fact_key", "category_value"])
-    signature = ["template_version_id", "signature_key"]
-    expected = by_default.select(*rule, *signature).unionByName(by_category.select(*rule, *signature)).distinct()
-    asked = held.select(*rule, *PASSAGE).join(expected, rule)
-    texts = asked.select(*PASSAGE, *signature).distinct().join(passages.select(*PASSAGE, "content"), PASSAGE)
-    terms = texts.join(signatures.select(*signature, "required", "forbidden"), signature)
-    matched = terms.where(matches_signature(F.col("content"), F.col("required"), F.col("forbidden"))).select(*PASSAGE, *signature)
-    fits = asked.join(matched, [*PASSAGE, *signature], "left_semi").select(*rule, *PASSAGE).distinct().withColumn("_fits", F.lit(True))
-
-    printed = held.select(*rule, *PASSAGE, "_numbers", "_days").join(checked.select(*rule, "outcome_value", "result_unit"), rule)
+    """Issues of every rule set, one row each: rule_set_id, rule_id (null for the set), code.
+
+    With ``asked`` (rule_set_id) only these are inspected, and an id without a rule set is ``rule_set_not_found``. Every table is read once:
+    a rule becomes one row with its groups and conditions, meets its set and template, then its sources with what their texts
+    print, and all codes of a rule are read off that row. What a rule adds to its set travels on as a count.
+    """
+    none = F.lit(None).cast(rules.schema["rule_id"].dataType)
+    base = sets.select("rule_set_id", "document_id", "institution_id", "template_version_id", "result_unit", F.lit(True).alias("_set"))
+    if asked is not None:
+        base = asked.select("rule_set_id").distinct().join(base, "rule_set_id", "left")
+    eligible = docs.where(F.col("status").isin("ready", "active")).select("document_id", "institution_id", F.lit(True).alias("_eligible"))
+    kinds = _templates(templates, template_facts, registry, signatures, constraints)
+    known = base.join(eligible, ["document_id", "institution_id"], "left").join(kinds, "template_version_id", "left")
+    code = lambda cond, name: F.when(cond, F.lit(name))
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    of_set = F.when(F.col("_set").isNull(), F.array(F.lit("rule_set_not_found"))).otherwise(F.array_compact(F.array(
+        code(no("_eligible"), "document_not_eligible"), code(no("_runs"), "template_not_executable"), code(F.col("_stray"), "runtime_registry_mismatch"))))
+    held = known.select("rule_set_id", "_set", "template_version_id", "result_unit", "_signs", "_bounds", of_set.alias("_of_set")).join(
+        _rule_records(rules, groups, conditions), "rule_set_id", "left")
+
+    grouped = F.size("_groups") > 0
+    empty = F.exists("_groups", lambda g: ~F.exists("_said", lambda c: c["group_id"] == g))
+    fits = lambda s: ((s["match_kind"] == "default_rule") & F.col("is_default")) | (
+        (s["match_kind"] == "category_value") & F.exists("_said", lambda c: (c["fact_key"] == s["fact_key"]) & (c["category_value"] == s["category_value"])))
+    signed = F.transform(F.filter("_signs", fits), lambda s: _signature(F.col("template_version_id"), s["signature_key"]))
     shown = outcome_text(F.col("outcome_value"))
-    printed = printed.withColumn("_value", F.when(shown == "", F.lit("0")).otherwise(shown))
-    # A value with decimals is looked for in the text itself, once per passage and value.
-    decimals = printed.where(~F.col("_value").rlike("^[0-9]+$")).select(*PASSAGE, "_value").distinct().join(passages.select(*PASSAGE, "content"), PASSAGE)
-    shape = F.concat(F.lit("(\\A|[^0-9])"), F.col("_value"), F.lit("([^0-9]|\\z)"))
-    decimals = decimals.where(F.regexp_like("content", shape)).select(*PASSAGE, "_value", F.lit(True).alias("_decimal"))
-    signed = expected.select(*rule).distinct().withColumn("_signed", F.lit(True))
-    tested = printed.join(decimals, [*PASSAGE, "_value"], "left").join(fits, [*rule, *PASSAGE], "left")
-    stated = (F.array_contains("_numbers", F.col("_value")) | F.coalesce("_decimal", F.lit(False))) & ((F.col("result_unit") != "days") | F.col("_days"))
-    per_rule = tested.groupBy(*rule).agg(F.bool_or(stated).alias("_stated"), F.bool_or(stated & F.coalesce("_fits", F.lit(False))).alias("_stated_fit"))
-    grounded = checked.join(per_rule, rule, "left").join(signed, rule, "left")
-    good = F.when(F.col("_signed"), F.col("_stated_fit")).otherwise(F.col("_stated"))
-    code = F.when(F.col("_signed"), "categorical_source_mismatch").otherwise("value_or_unit_not_in_source")
-    out.append(issue(grounded.where(~F.coalesce(good, F.lit(False))), code, "rule_id"))
-
-    left = conditions.select("group_id", "rule_set_id", "template_version_id", F.col("fact_key").alias("left_fact_key"), F.col("number_value").alias("_l"))
-    right = conditions.select("group_id", F.col("fact_key").alias("right_fact_key"), F.col("number_value").alias("_r"))
-    paired = left.join(constraints, ["template_version_id", "left_fact_key"]).join(right, ["group_id", "right_fact_key"])
-    broken = paired.where(~compare(F.col("_l"), F.col("comparator"), F.col("_r"))).select("rule_set_id").distinct()
-    out.append(issue(base.join(broken, "rule_set_id", "left_semi"), F.lit("template_fact_constraint_failed")))
-    return reduce(DataFrame.unionByName, out)
+    rule = held.select(
+        "rule_set_id", "rule_id", "_set", "_of_set", "is_default", "result_unit", code((F.col("is_default") == grouped) | empty, "invalid_rule_structure").alias("_shape"),
+        _broken(F.col("_bounds"), F.col("_said")).alias("_breaks"), F.coalesce(signed, F.array().cast("array<string>")).alias("_signed"),
+        F.when(shown == "", "0").otherwise(shown).alias("_value"))
+
+    read = sources.select("rule_id", "rule_set_id", *PASSAGE, "content_sha256").join(passage_features(passages, signatures), PASSAGE, "left")
+    met = rule.join(read.select("rule_id", "rule_set_id", F.lit(True).alias("_source"), "content_sha256", "_now", "_printed", "_days", "_hits"), ["rule_id", "rule_set_id"], "left")
+    shape = F.concat(F.lit("^"), F.col("_value"), F.lit("$"))
+    printed = F.array_contains("_printed", F.col("_value")) | (F.contains("_value", F.lit(".")) & F.exists("_printed", lambda p: F.regexp_like(p, shape)))
+    stated = F.coalesce(printed & ((F.col("result_unit") != "days") | F.col("_days")), F.lit(False))
+    first = lambda c: F.first(c).alias(c)
+    judged = met.groupBy("rule_set_id", "rule_id").agg(
+        *[first(c) for c in ("_set", "_of_set", "is_default", "_shape", "_breaks", "_signed")], F.count("_source").alias("_sources"),
+        F.bool_or(F.col("content_sha256") != F.col("_now")).alias("_changed"), F.bool_or(stated).alias("_stated"),
+        F.bool_or(stated & F.coalesce(F.arrays_overlap("_hits", "_signed"), F.lit(False))).alias("_stated_fit"))
+    sourced, by_sign = F.col("_sources") > 0, F.size("_signed") > 0
+    ungrounded = sourced & ~F.when(by_sign, F.col("_stated_fit")).otherwise(F.col("_stated"))
+    of_rule = F.array_compact(F.array(
+        F.col("_shape"), code(~sourced, "missing_rule_sources"), code(sourced & F.col("_changed"), "source_changed"),
+        code(ungrounded & by_sign, "categorical_source_mismatch"), code(ungrounded & ~by_sign, "value_or_unit_not_in_source")))
+    codes = F.when(F.col("rule_id").isNull() | F.col("_set").isNull(), F.array().cast("array<string>")).otherwise(of_rule)
+
+    # a rule's own issues pass through; its default flag and broken constraint are added up per set under a null code
+    parts = judged.select(
+        "rule_set_id", "rule_id", "_set", "_of_set", F.coalesce(F.col("is_default").cast("int"), F.lit(0)).alias("_defaults"), F.coalesce("_breaks", F.lit(False)).alias("_breaks"),
+        F.explode(F.concat(codes, F.array(F.lit(None).cast("string")))).alias("code"))
+    parts = parts.withColumn("rule_id", F.when(F.col("code").isNotNull(), F.col("rule_id")))
+    summed = parts.groupBy("rule_set_id", "rule_id", "code").agg(first("_set"), first("_of_set"), F.sum("_defaults").alias("_defaults"), F.bool_or("_breaks").alias("_breaks"))
+    sets_too = F.array_compact(F.concat(F.col("_of_set"), F.array(
+        code(F.col("_set") & (F.col("_defaults") != 1), "invalid_default_rule_count"), code(F.col("_set") & F.col("_breaks"), "template_fact_constraint_failed"))))
+    out = summed.select("rule_set_id", "rule_id", F.explode(F.when(F.col("code").isNotNull(), F.array("code")).otherwise(sets_too)).alias("code"))
+    return out.select("rule_set_id", F.coalesce("rule_id", none).alias("rule_id"), "code")
 
 
 def integrity_summary(sets: DataFrame, issues: DataFrame) -> DataFrame:
@@ -152,11 +190,6 @@ def integrity_summary(sets: DataFrame, issues: DataFrame) -> DataFrame:
     return out.withColumns({"issue_count": F.coalesce("issue_count", F.lit(0)), "valid": F.col("issue_codes").isNull()})
 
 
-def missing_rule_sets(asked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Requested ids without a rule set."""
-    return asked.join(sets.select("rule_set_id"), "rule_set_id", "left_anti").withColumn("code", F.lit("rule_set_not_found"))
-
-
 def rule_context(sets: DataFrame, docs: DataFrame, sources: DataFrame, requests: DataFrame) -> DataFrame:
     """Validated sets of active documents a request needs: by template, or by a passage it holds.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import first_match
+from agoradesk.operators.ordered import place_key
 
 SCOPE = ("service_id", "job_id", "unit_id")
 # Content shown as practical information.
@@ -62,21 +63,29 @@ def in_scope(item: dict[str, Column], profile: dict[str, Column]) -> Column:
     return fits[0] & fits[1] & fits[2]
 
 
-def items_for_profiles(items: DataFrame, profiles: DataFrame, tenant: str) -> DataFrame:
-    """Visible items per profile as eight equi-joins, one per wildcard pattern.
+def items_for_scopes(items: DataFrame, scopes: DataFrame, tenant: str) -> DataFrame:
+    """Visible items of each distinct (tenant, service, job, unit) of ``scopes``.
 
-    A wildcard column matches anything, so each item is looked up only under
-    the pattern of columns it fixes; no pair is formed that is not a result.
+    An item stands under the one pattern of columns that it fixes, a scope looks under each pattern that it can fill, at most eight: one
+    equi-join in which no pair is formed that is not a result. Columns of ``items`` named like the scope's are left out.
     """
-    parts = []
-    for mask in range(8):
-        fixed = [k for i, k in enumerate(SCOPE) if mask >> i & 1]
-        subset = items
-        for k in SCOPE:
-            subset = subset.where(F.col(k).isNotNull() if k in fixed else F.col(k).isNull())
-        right = subset.drop(*[k for k in SCOPE if k not in fixed])
-        parts.append(profiles.join(right, [tenant, *fixed]))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    fixed = [F.col(k).isNotNull() for k in SCOPE]
+    mask = sum((f.cast("int") * (1 << i) for i, f in enumerate(fixed)), F.lit(0))
+    held = items.withColumn("_key", F.struct(tenant, mask.alias("mask"), *SCOPE)).drop(tenant, *SCOPE)
+    asked = scopes.select(tenant, *SCOPE).distinct()
+    pattern = lambda m: F.when(
+        reduce(lambda x, y: x & y, [f for i, f in enumerate(fixed) if m >> i & 1], F.lit(True)),
+        F.struct(F.col(tenant), F.lit(m).alias("mask"), *[F.when(F.lit(bool(m >> i & 1)), F.col(k)).alias(k) for i, k in enumerate(SCOPE)]))
+    looks = asked.withColumn("_key", F.explode(F.array_compact(F.array(*[pattern(m) for m in range(8)]))))
+    return looks.join(held, "_key").drop("_key")
+
+
+def items_for_profiles(items: DataFrame, profiles: DataFrame, tenant: str) -> DataFrame:
+    """Visible items per profile: those of its scope, which are found once for all profiles that share it."""
+    key = [tenant, *SCOPE]
+    seen = items_for_scopes(items, profiles, tenant)
+    seen = seen.withColumn("_scope", place_key(key)).drop(*key)
+    return profiles.withColumn("_scope", place_key(key)).join(seen, "_scope").drop("_scope")
 
 
 def profile_state(profiles: DataFrame, services: DataFrame, jobs: DataFrame, units: DataFrame) -> DataFrame:

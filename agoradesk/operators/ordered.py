@@ -107,18 +107,19 @@ def with_last(
 
 
 def as_of(
-    df: DataFrame, history: DataFrame, keys: list[str], at: str, since: str, values: list[str], bucket: Callable[[Column], Column], order: str | None = None
+    df: DataFrame, history: DataFrame, keys: list[str], at: str, since: str, values: list[str], bucket: Callable[[Column], Column], order: str | None = None,
+    at_order: str | None = None,
 ) -> DataFrame:
     """Rows of ``df`` with the values of ``history`` that were in force at their own time, null before the first.
 
-    The last row of ``history`` with equal keys and ``since`` at or before ``at`` counts; of several at one time the one
-    of the highest ``order``. Both sides travel once, in buckets of time with a carried value, so a key of any size is many
+    The last row of ``history`` with equal keys and ``since`` at or before ``at`` counts; of several at one time the one of
+    the highest ``order``, and with ``at_order`` none above that of the row itself. Orders are whole numbers. Both sides travel once, in buckets of time with a carried value, so a key of any size is many
     tasks. Null keys meet; a row without a time gets nulls.
     """
     tie = F.col(order) if order else F.lit(0)
     names = {f"_k{i}": F.col(k) for i, k in enumerate(keys)}
     asked = df.select(
-        *[c.alias(n) for n, c in names.items()], F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"),
+        *[c.alias(n) for n, c in names.items()], F.col(at).alias("_at"), F.lit(1).alias("_side"), (F.col(at_order) if at_order else F.lit((1 << 63) - 1)).cast("long").alias("_tie"),
         F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
     )
     known = history.where(F.col(since).isNotNull()).select(
@@ -126,7 +127,7 @@ def as_of(
         F.struct(*values).alias("_value"),
     )
     both = asked.unionByName(known, allowMissingColumns=True)
-    found = with_last(both, list(names), ["_at", "_side", "_tie"], bucket(F.col("_at")), {"_state": F.col("_value")}).where("_side = 1")
+    found = with_last(both, list(names), ["_at", "_tie", "_side"], bucket(F.col("_at")), {"_state": F.col("_value")}).where("_side = 1")
     timed = F.col("_at").isNotNull()
     return found.select("_row.*", *[F.when(timed, F.col("_state")[v]).alias(v) for v in values])
 

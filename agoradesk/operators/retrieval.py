@@ -171,6 +171,16 @@ def citation_passages(passages: DataFrame, docs: DataFrame, sources: DataFrame,
     return rows.join(live, ["document_id", "institution_id"]).withColumn("similarity", F.lit(1.0))
 
 
+def lookup_ids(asked: DataFrame, ids: str, table: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` for an array of ids per row of ``asked``: each id once, with the ``place`` of its first mention.
+
+    Null and unknown ids find nothing; the ids travel, not the rows of ``asked``, whose other columns come along.
+    """
+    own = [c for c in asked.columns if c != ids]
+    once = F.transform(F.array_distinct(F.array_compact(ids)), lambda x, i: F.struct((i + 1).alias("place"), x.alias(key)))
+    return asked.select(*own, F.inline(once)).join(table, key)
+
+
 def hydrate(context: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     """Context passages plus those of ``extra`` it does not already hold."""
     return context.unionByName(extra.join(context.select(*keys), keys, "left_anti"), allowMissingColumns=True)
@@ -182,12 +192,11 @@ def _plain(value: str) -> str:
 
 def _excerpt(content: str, focus: str) -> str:
     shadow = _plain(content)
-    terms = {t for t in re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)?%?", _plain(focus))
-             if t[0].isdigit() or (len(t) >= 4 and t not in EXCERPT_STOP_WORDS)}
-    hits = [(m.start(), 4 if t[0].isdigit() else 1, t) for t in terms for m in re.finditer(re.escape(t), shadow)]
-    starts = sorted({0, *(max(0, p - 120) for p, _, _ in hits)}, key=lambda s: (s != 0, s))
-    weigh = lambda s: sum({t: w for p, w, t in hits if s <= p and p + len(t) <= s + EXCERPT}.values())
-    begin = max(starts, key=lambda s: (weigh(s), -starts.index(s)))
+    found = re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)?%?", _plain(focus))
+    terms = list(dict.fromkeys(t for t in found if t[0].isdigit() or (len(t) >= 4 and t not in EXCERPT_STOP_WORDS)))
+    # of equally good starts the one that comes first by the order of the terms wins
+    starts = dict.fromkeys([0, *(max(0, m.start() - 120) for t in terms for m in re.finditer(re.escape(t), shadow))])
+    begin = max(starts, key=lambda s: sum(4 if t[0].isdigit() else 1 for t in terms if t in shadow[s : s + EXCERPT]))
     if begin:
         space = content.find(" ", begin, begin + 31)
         begin = space + 1 if space >= 0 else begin

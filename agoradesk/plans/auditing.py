@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import uuid_from
 from agoradesk.operators import answers as an
+from agoradesk.operators import retrieval as rt
+from agoradesk.plans import roles
 from agoradesk.session import spread
 from agoradesk.sources.tables import read_table
 
@@ -46,7 +48,7 @@ def cited(result, d1, d2):
 def answers(spark, sf):
     c = read_table(spark, sf, "conversations").where("role <> 'system'")
     k = F.col("conv_id") * 100 + F.col("turn")
-    n = read_table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
+    n = roles.span(spark, sf, "documents", "doc_id")
     shapes = F.array(*[F.lit(x) for x in ("supported", "supported", "needs_clarification", "conflicting_sources", "insufficient_sources", "other")])
     rows = c.select(
         k.alias("k"), F.element_at(shapes, (1 + (F.col("conv_id") + F.col("turn")) % 6).cast("int")).alias("result"),
@@ -92,6 +94,18 @@ def salvaged_outputs(spark, sf):
     return saved.select("k", F.try_parse_json("json").isNotNull().alias("salvaged"))
 
 
+FULL_SQL = """'{"result":"' || result || '","answer":"' || said || '","used_passage_ids":[' || case when result in ('needs_clarification', 'insufficient_sources') then '' else
+  '"' || """ + uuid_sql("d1") + """ || '","' || """ + uuid_sql("d2") + """ || '"' end || '],"needs_human_review":' || (k % 2 = 0) || '}'"""
+
+
+@register("salvaged_texts", SHAPE_SQL + f""", ok as (select *, case when result = 'insufficient_sources' then k % 11 not in (1, 2, 3) else k % 11 > 3 and result <> 'other' end ok from said)
+ select k, case when ok or k % 11 in (2, 3) then null when k % 11 = 0 then '{{"result":"' || result || '","answer":"' || said || '"}}' when k % 11 = 1 then replace({FULL_SQL}, 'Tu as', 'Tu\\tas') else {FULL_SQL} end json from ok""")
+def salvaged_texts(spark, sf):
+    """What is left of every output that breaks the contract, as text; null for accepted ones and those without an object."""
+    rows = an.parse_answers(raw_outputs(spark, sf).drop("result"))
+    return rows.select("k", an.salvage_json(F.col("raw"), ~F.col("contract_ok")).alias("json"))
+
+
 @register("output_shapes", SHAPE_SQL + """ select k, case k % 11 when 1 then 'embedded' when 2 then 'none' else 'raw' end candidate, case when k % 11 = 2 then 'syntax_invalid' when k % 11 = 3 then 'root_invalid'
   when result = 'insufficient_sources' then 'unexpected_acceptance' when k % 11 = 0 then 'fields_invalid' when result = 'other' then 'result_invalid' else 'unexpected_acceptance' end contract_issue,
   cast(case when k % 11 in (2, 3) then 0 when k % 11 = 0 then 2 else 4 end as bigint) expected_fields,
@@ -135,14 +149,18 @@ CONTEXT_SQL = ", docs as (select doc_id, text || ' ' || (doc_id % 5) || ' jours,
    when result = 'conflicting_sources' then 'conflicting_sources' else 'ok' end c from j)"""
 
 
+def audited_text():
+    n = F.col("doc_id")
+    return F.concat(F.col("text"), F.lit(" "), (n % 5).cast("string"), F.lit(" jours, "), (n % 3).cast("string"), F.lit(" heures."))
+
+
 def audit_tables(spark, sf):
     a = answers(spark, sf).where("result <> 'other'").select(
         F.col("k").alias("answer_id"), "result", an.sanitize_answer(F.col("said")).alias("answer"), F.col("ids").alias("used_passage_ids"),
         (F.col("k") % 2 == 0).alias("needs_human_review"))
     d = spread(read_table(spark, sf, "documents"))
     n = F.col("doc_id")
-    content = F.concat(F.col("text"), F.lit(" "), (n % 5).cast("string"), F.lit(" jours, "), (n % 3).cast("string"), F.lit(" heures."))
-    passages = an.evidence_tokens(d.select(pid(n).alias("passage_id"), n.alias("doc_id"), content.alias("content")))
+    passages = an.evidence_tokens(d.select(pid(n).alias("passage_id"), n.alias("doc_id"), audited_text().alias("content")))
     context = a.select("answer_id", F.explode("used_passage_ids").alias("passage_id")).distinct().join(passages.select("passage_id", "evidence"), "passage_id")
     protected = passages.where("doc_id % 9 = 0").select("passage_id", F.lit("days").alias("result_unit"))
     ruled = passages.where("doc_id % 4 = 1").select("passage_id", F.lit("days").alias("result_unit"))
@@ -158,6 +176,30 @@ def answer_audit(spark, sf):
     return out.select("answer_id", "client_result", "client_answer", "client_review", "log_result", "error_code", "citation_count")
 
 
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in rt.EXCERPT_STOP_WORDS) + "]"
+CITED_SQL = r""", shown as (select k, said focus, unnest(case when d1 = d2 then [{'p': 0, 'd': d1}] else [{'p': 0, 'd': d1}, {'p': 1, 'd': d2}] end) c from code where c in ('ok', 'conflicting_sources')),
+ plain as (select k, c.p as position, c.d as doc_id, trim(regexp_replace(content, '\s+', ' ', 'g')) n, regexp_extract_all(lower(strip_accents(focus)), '\p{L}+|\d+(?:[.,]\d+)?%?') raw from shown join docs on doc_id = c.d),
+ termed as (select *, lower(strip_accents(n)) h, [raw[i] for i in range(1, len(raw) + 1) if list_position(raw, raw[i]) = i and (regexp_matches(raw[i], '\d') or (len(raw[i]) >= 4 and not list_contains({stop}, raw[i])))] terms from plain),
+ begun as (select *, list_concat([0], flatten([[greatest(0, coalesce(list_sum([len(y) for y in string_split(h, t)[1:j]]), 0)::bigint + (j - 1) * len(t) - 120) for j in range(1, len(string_split(h, t)))] for t in terms])) starts from termed),
+ scored as (select *, [coalesce(list_sum([case when contains(substr(h, s + 1, 400), t) then case when regexp_matches(t, '\d') then 4 else 1 end else 0 end for t in terms]), 0)::bigint for s in starts] scores from begun),
+ best as (select *, starts[list_position(scores, list_max(scores))] b from scored),
+ moved as (select *, case when b > 0 and strpos(substr(n, b + 1), ' ') between 1 and 31 then b + strpos(substr(n, b + 1), ' ') else b end a from best),
+ ended as (select *, least(len(n), a + 400) e from moved),
+ closed as (select *, case when e < len(n) and strpos(reverse(substr(n, 1, e + 1)), ' ') > 0 and e + 1 - strpos(reverse(substr(n, 1, e + 1)), ' ') > a + 370 then e + 1 - strpos(reverse(substr(n, 1, e + 1)), ' ') else e end z from ended)
+ select k answer_id, position, doc_id, case when len(n) <= 400 then n else case when a > 0 then '…' else '' end || trim(substr(n, a + 1, z - a)) || case when z < len(n) then '…' else '' end end excerpt from closed"""
+CITED_SQL = CITED_SQL.replace("{stop}", STOP_SQL)
+
+
+@register("shown_citations", SHAPE_SQL + CONTEXT_SQL + CITED_SQL)
+def shown_citations(spark, sf):
+    """Every citation under the audited answers, with its whole excerpt."""
+    a, context, ruled, protected = audit_tables(spark, sf)
+    d = read_table(spark, sf, "documents")
+    texts = d.select(pid(F.col("doc_id")).alias("passage_id"), "doc_id", audited_text().alias("content"))
+    out = an.shown_citations(an.audit_answers(a, context, ruled, protected), context.select("answer_id", "passage_id").join(texts, "passage_id"))
+    return out.select("answer_id", F.col("position").cast("long").alias("position"), "doc_id", "excerpt")
+
+
 @register("ungrounded_numbers", SHAPE_SQL + CONTEXT_SQL + " select k answer_id, array_to_string(list_sort(bad), ';') ungrounded from j")
 def ungrounded_numbers(spark, sf):
     a, context, _, _ = audit_tables(spark, sf)

@@ -68,17 +68,12 @@ def production_upload_limit(spark, sf):
     return out.select("event_id", "accepted", "counter")
 
 
-def table_size(df, key: str):
-    """The number of ids a derived reference may point to: it grows with the table."""
-    return df.agg((F.max(key) + 1).alias("n")).scalar()
-
-
 DELETED_SQL = """size as (select max(event_id) + 1 n from events),
  gone as (select (event_id * 3) % n message_id, ts deleted_at from events, size where event_type = 'error')"""
 
 
-def deletions(e):
-    return e.where("event_type = 'error'").select((F.col("event_id") * 3 % table_size(e, "event_id")).alias("message_id"), F.col("ts").alias("deleted_at"))
+def deletions(spark, sf, e):
+    return e.where("event_type = 'error'").select((F.col("event_id") * 3 % roles.span(spark, sf, "events", "event_id")).alias("message_id"), F.col("ts").alias("deleted_at"))
 
 
 @register("reply_targets", "with " + DELETED_SQL + """, m as (select event_id message_id, ts, user_id % 2 institution_id, event_id % 2 channel_id,
@@ -91,9 +86,9 @@ def reply_targets(spark, sf):
     n = F.col("event_id")
     msgs = e.select(
         n.alias("message_id"), "ts", (F.col("user_id") % 2).alias("institution_id"), (n % 2).alias("channel_id"),
-        F.when(n % 4 != 0, n * 7 % table_size(e, "event_id")).alias("reply_to"))
+        F.when(n % 4 != 0, n * 7 % roles.span(spark, sf, "events", "event_id")).alias("reply_to"))
     sent = msgs.select("message_id", "institution_id", "channel_id", F.col("ts").alias("created_at"))
-    return chat.reply_targets(msgs, sent, deletions(e), "ts").select("message_id", "reply_ok")
+    return chat.reply_targets(msgs, sent, deletions(spark, sf, e), "ts").select("message_id", "reply_ok")
 
 
 OUTCOME_SQL = """with recursive """ + DELETED_SQL + """,
@@ -115,10 +110,10 @@ def reactions(spark, sf):
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     at = lambda seconds: start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     raw = e.select(
-        n.alias("event_id"), at(F.floor(n / 10) % 600).alias("ts"), (F.col("user_id") % 10).alias("who"), (n * 11 % F.floor(table_size(e, "event_id") / 30)).alias("message_id"),
+        n.alias("event_id"), at(F.floor(n / 10) % 600).alias("ts"), (F.col("user_id") % 10).alias("who"), (n * 11 % F.floor(roles.span(spark, sf, "events", "event_id") / 30)).alias("message_id"),
         F.when(n % 2 == 0, "👍").otherwise("😂").alias("emoji"))
     seconds = F.unix_timestamp(F.col("deleted_at").cast("timestamp"))
-    return raw, deletions(e).withColumn("deleted_at", at(seconds % 600))
+    return raw, deletions(spark, sf, e).withColumn("deleted_at", at(seconds % 600))
 
 
 @register("reaction_outcomes", OUTCOME_SQL + " select event_id, status_code from told")

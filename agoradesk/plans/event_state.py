@@ -92,13 +92,13 @@ def duplicate_messages(spark, sf):
     return out.select("event_id", "kept_id")
 
 
-REACT_SQL = "react as (select event_id, ts, user_id, event_id % 200 message_id, case event_id % 3 when 0 then '👍' when 1 then '❤️' else '😂' end emoji from events where event_type in ('click', 'view'))"
+REACT_SQL = "react as (select event_id, ts, user_id, event_id % (select (max(event_id) + 1) * 2 // 100 from events) message_id, case event_id % 3 when 0 then '👍' when 1 then '❤️' else '😂' end emoji from events where event_type in ('click', 'view'))"
 
 
 def reactions(spark, sf):
     e = roles.events(spark, sf).where("event_type in ('click', 'view')")
     raw = F.when(F.col("event_id") % 3 == 0, "👍").when(F.col("event_id") % 3 == 1, "❤").otherwise(" 😂 ")
-    return e.select("event_id", "ts", "user_id", (F.col("event_id") % 200).alias("message_id"), ev.emoji(raw).alias("emoji"))
+    return e.select("event_id", "ts", "user_id", (F.col("event_id") % roles.span(spark, sf, "events", "event_id", 2)).alias("message_id"), ev.emoji(raw).alias("emoji"))
 
 
 @register("reaction_toggles", "with " + REACT_SQL + """ select event_id, case when row_number() over (partition by message_id, user_id % 9, emoji order by ts, event_id) % 2 = 1
@@ -152,7 +152,7 @@ def pins(spark, sf):
 
 @register("request_lifecycle", f"""with r as (select event_id request_id, user_id device_id, ts created_at, ts + interval 24 hour expires_at,
   lead(ts) over (partition by user_id order by ts, event_id) next_at from events where event_type = 'signup'),
- d as (select (event_id * 3) % 10000 request_id, case when event_type = 'purchase' then 'approved' else 'cancelled' end decision, ts decided_at from events where event_type in ('purchase', 'error')),
+ d as (select (event_id * 3) % (select (max(event_id) + 1) * 100 // 100 from events) request_id, case when event_type = 'purchase' then 'approved' else 'cancelled' end decision, ts decided_at from events where event_type in ('purchase', 'error')),
  f as (select request_id, arg_min(decision, decided_at) decision, min(decided_at) decided_at from d group by 1)
 select request_id, case when decided_at < least(coalesce(next_at, expires_at), expires_at) and decided_at <= timestamp '{NOW}' then decision
   when next_at < expires_at and next_at <= timestamp '{NOW}' then 'cancelled' when expires_at <= timestamp '{NOW}' then 'expired' else 'pending' end status
@@ -161,13 +161,13 @@ def request_lifecycle(spark, sf):
     e = roles.events(spark, sf)
     asked = e.where("event_type = 'signup'").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("device_id"), F.col("ts").alias("created_at"))
     settled = e.where("event_type in ('purchase', 'error')").select(
-        (F.col("event_id") * 3 % 10000).alias("request_id"), F.when(F.col("event_type") == "purchase", "approved").otherwise("cancelled").alias("decision"),
+        (F.col("event_id") * 3 % roles.span(spark, sf, "events", "event_id", 100)).alias("request_id"), F.when(F.col("event_type") == "purchase", "approved").otherwise("cancelled").alias("decision"),
         F.col("ts").alias("decided_at"))
     return ev.request_state(asked, settled, roles.now()).select("request_id", "status")
 
 
 @register("message_states", """with m as (select conv_id * 1000 + turn message_id, conv_id channel, text body, case when turn > 0 then conv_id * 1000 + turn - 1 end reply_to from conversations),
- ed as (select (event_id % 100) * 1000 + event_id % 6 message_id, ts tm, case when event_type = 'error' then 'delete' when event_type = 'view' then 'edit' end act, 'v' || event_id body from events where event_type in ('error', 'view') and event_id % 5 = 0),
+ ed as (select (event_id % (select (max(conv_id) + 1) * 100 // 100 from conversations)) * 1000 + event_id % 6 message_id, ts tm, case when event_type = 'error' then 'delete' when event_type = 'view' then 'edit' end act, 'v' || event_id body from events where event_type in ('error', 'view') and event_id % 5 = 0),
  gone as (select message_id, min(tm) deleted_at from ed where act = 'delete' group by 1),
  last as (select message_id, arg_max(body, tm) new_body from ed left join gone using (message_id) where act = 'edit' and (deleted_at is null or tm < deleted_at) group by 1),
  s as (select message_id, reply_to, case when deleted_at is not null then '' else coalesce(new_body, body) end body, new_body is not null and deleted_at is null edited, deleted_at is not null deleted
@@ -179,7 +179,7 @@ def message_states(spark, sf):
     mid = F.col("conv_id") * 1000 + F.col("turn")
     msgs = c.select(mid.alias("message_id"), F.col("conv_id").alias("channel"), F.col("text").alias("body"), F.when(F.col("turn") > 0, mid - 1).alias("reply_to"))
     e = roles.events(spark, sf).where("event_type in ('error', 'view') and event_id % 5 = 0")
-    edits = e.select(((F.col("event_id") % 100) * 1000 + F.col("event_id") % 6).alias("message_id"), F.col("ts").alias("at"),
+    edits = e.select(((F.col("event_id") % roles.span(spark, sf, "conversations", "conv_id", 100)) * 1000 + F.col("event_id") % 6).alias("message_id"), F.col("ts").alias("at"),
                      F.when(F.col("event_type") == "error", "delete").otherwise("edit").alias("action"),
                      F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("body"))
     out = ev.message_state(msgs, edits)
@@ -237,12 +237,12 @@ def editorial_stamps(spark, sf):
     return out.select("version", "validated_by", "active", F.date_format("archived_at", "yyyy-MM-dd").alias("archived_on"))
 
 
-@register("operation_replays", """with o as (select event_id, ts, user_id, event_type payload, event_id % 1000 operation_id from events),
+@register("operation_replays", """with o as (select event_id, ts, user_id, event_type payload, event_id % (select (max(event_id) + 1) * 10 // 100 from events) operation_id from events),
  f as (select user_id % 25 t, operation_id, arg_min(payload, (ts, event_id)) p, min((ts, event_id)) a from o group by 1, 2)
 select event_id, case when (ts, event_id) = a then 'first' when payload = p then 'replayed' else 'idempotency_conflict' end outcome
 from o join f on f.t = o.user_id % 25 and f.operation_id = o.operation_id""")
 def operation_replays(spark, sf):
-    ops = roles.events(spark, sf).select("event_id", "ts", (F.col("user_id") % 25).alias("tenant"), F.col("event_type").alias("payload"), (F.col("event_id") % 1000).alias("operation_id"))
+    ops = roles.events(spark, sf).select("event_id", "ts", (F.col("user_id") % 25).alias("tenant"), F.col("event_type").alias("payload"), (F.col("event_id") % roles.span(spark, sf, "events", "event_id", 10)).alias("operation_id"))
     return ev.dedupe_operations(ops, ["tenant", "operation_id"], ["ts", "event_id"], ["payload"]).select("event_id", "outcome")
 
 
@@ -260,7 +260,7 @@ def revision_conflicts(spark, sf):
 TOKENS_SQL = """tokens as (select c_custkey token_id, 'h' || c_custkey token_hash, case when c_custkey % 2 = 0 then 'qr' else 'manual_code' end as "method",
   case when c_custkey % 13 = 0 then timestamp '2024-01-01' end consumed_at, case when c_custkey % 17 = 0 then timestamp '2024-01-01' end invalidated_at,
   timestamp '2024-01-01' + to_hours(cast(c_custkey % 900 as integer)) token_expires_at from customer),
- att as (select event_id, ts, 'h' || ((event_id * 11) % 1700) token_hash, case when event_type = 'error' then 'mcp' when (event_id * 11) % 1700 % 2 = 0 then 'qr' else 'manual_code' end as "method" from events)"""
+ att as (select event_id, ts, 'h' || ((event_id * 11) % (select (max(c_custkey) + 1) * 113 // 100 from customer)) token_hash, case when event_type = 'error' then 'mcp' when (event_id * 11) % (select (max(c_custkey) + 1) * 113 // 100 from customer) % 2 = 0 then 'qr' else 'manual_code' end as "method" from events)"""
 TOKEN_CASE = """case when token_id is null then 'token_not_found' when consumed_at is not null then 'token_already_consumed'
   when invalidated_at is not null then 'token_invalidated' when token_expires_at <= {now} then 'token_expired' else 'valid' end"""
 
@@ -273,7 +273,7 @@ def token_tables(spark, sf):
         k.alias("token_id"), F.concat(F.lit("h"), k.cast("string")).alias("token_hash"), F.when(k % 2 == 0, "qr").otherwise("manual_code").alias("method"),
         F.when(k % 13 == 0, stamp).alias("consumed_at"), F.when(k % 17 == 0, stamp).alias("invalidated_at"),
         (stamp + F.make_dt_interval(hours=(k % 900).cast("int"))).alias("token_expires_at"))
-    n = F.col("event_id") * 11 % 1700
+    n = F.col("event_id") * 11 % roles.span(spark, sf, "customer", "c_custkey", 113)
     att = roles.events(spark, sf).select(
         "event_id", "ts", F.concat(F.lit("h"), n.cast("string")).alias("token_hash"),
         F.when(F.col("event_type") == "error", "mcp").when(n % 2 == 0, "qr").otherwise("manual_code").alias("method"))

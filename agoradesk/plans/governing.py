@@ -9,6 +9,7 @@ from agoradesk.operators import governance as gv
 from agoradesk.operators import integrity as ig
 from agoradesk.operators import quality, reporting
 from agoradesk.operators import rules as rl
+from agoradesk.plans import roles
 from agoradesk.plans.entitlements import one_template
 from agoradesk.sources import rows as rw
 from agoradesk.session import spread
@@ -40,12 +41,16 @@ SETS_SQL = f"""sets as (select s_suppkey rule_set_id, s_suppkey % 10 document_id
  docs as (select distinct s_suppkey % 10 document_id, s_suppkey % 10 institution_id, ['ready', 'active', 'inactive'][1 + s_suppkey % 10 % 3] status from supplier)"""
 
 
+def template_of(k):
+    return F.when(k % 20 == 0, "tv2").when(k % 2 == 0, "tv0").otherwise("tv1")
+
+
 def sets(spark, sf):
     k = F.col("s_suppkey")
     return read_table(spark, sf, "supplier").select(
         k.alias("rule_set_id"), (k % 10).alias("document_id"), (k % 10).alias("institution_id"),
         F.when(k % 2 == 0, "annual_leave_days").otherwise("fixed_duration_exceptional_leave_by_event").alias("rule_key"),
-        F.when(k % 20 == 0, "tv2").when(k % 2 == 0, "tv0").otherwise("tv1").alias("template_version_id"),
+        template_of(k).alias("template_version_id"),
         F.when(k % 15 == 0, "hours").otherwise("days").alias("result_unit"), pick(F.floor(k * 7 / 10) % 6, *STATES).alias("status"),
         (1 + k % 3).alias("revision_number"), F.when(k % 7 == 0, k - 10).alias("replaces_rule_set_id"), F.when(k % 4 == 0, k - 20).alias("parent_rule_set_id"))
 
@@ -62,7 +67,7 @@ TREE_SQL = SETS_SQL + """,
  cond as (select rule_id, rule_set_id, 'leave_reason' fact_key, null::double n, ['marriage', 'moving', 'death_first_degree', 'death_second_degree'][1 + p % 4] cat from grp where q < 50 and rule_set_id % 2 = 1
    union all select rule_id, rule_set_id, 'age_years', q, null from grp where q < 50 and rule_set_id % 2 = 0 union all select rule_id, rule_set_id, 'service_years', 25.5, null from grp where q < 50 and rule_set_id % 20 = 4 and ln = 2),
  pass as (select doc_id passage_id, doc_id % 10 document_id, text || [' Mariage : 3 jours.', ' Déménagement : 1 jour.', ' Décès du père : 5 jours.', ' Frère : 2 jours.'][1 + (doc_id // 10) % 4] content from documents),
- src as (select rule_id, rule_set_id, rule_set_id % 10 + 10 * (p % 20) passage_id, p % 50 = 0 old from rules where ln % 6 <> 0)"""
+ src as (select rule_id, rule_set_id, rule_set_id % 10 + 10 * (p % (select (max(doc_id) + 1) * 10 // 100 from documents)) passage_id, p % 50 = 0 old from rules where ln % 6 <> 0)"""
 SIG_SQL = ", sig(k, req, forb) as (values " + ", ".join(f"('{k}', {lst(r)}, {lst(f)})" for k, (r, f) in ig.SIGNATURES.items()) + ")"
 
 
@@ -73,8 +78,7 @@ def tree(spark, sf):
         ((F.col("l_orderkey") * 10 + ln) * 1_000_000 + p).alias("rule_id"), s.alias("rule_set_id"), pick(p % 4, 3, 1, 5, 2).cast("decimal(18,6)").alias("outcome_value"),
         ((ln == 1) & (F.col("l_orderkey") % 40 == 0)).alias("is_default"), p.alias("p"), ln.alias("ln"), q.alias("q"), F.col("l_orderkey").alias("ok"))
     grouped = rules.where("ln % 5 <> 0 and (not is_default or ok % 80 = 0)").withColumn("group_id", F.col("rule_id"))
-    version = sets(spark, sf).select("rule_set_id", "template_version_id", "document_id", "institution_id")
-    filled = grouped.where("q < 50").join(version, "rule_set_id")
+    filled = grouped.where("q < 50").withColumn("template_version_id", template_of(F.col("rule_set_id")))
     odd = F.col("rule_set_id") % 2 == 1
     none, word = F.lit(None).cast("double"), F.lit(None).cast("string")
     cell = lambda fact, n, c: F.struct(F.lit(fact).alias("fact_key"), n.alias("number_value"), c.alias("category_value"))
@@ -87,8 +91,9 @@ def tree(spark, sf):
     said = pick(F.floor(F.col("doc_id") / 10) % 4, " Mariage : 3 jours.", " Déménagement : 1 jour.", " Décès du père : 5 jours.", " Frère : 2 jours.")
     passages = d.select(F.col("doc_id").alias("passage_id"), (F.col("doc_id") % 10).alias("document_id"), (F.col("doc_id") % 10).alias("institution_id"), F.concat("text", said).alias("content"))
     passages = passages.withColumn("content_sha256", F.sha2("content", 256))
-    cited = rules.where("ln % 6 <> 0").join(version.drop("template_version_id"), "rule_set_id").select(
-        "rule_id", "rule_set_id", (F.col("rule_set_id") % 10 + 10 * (F.col("p") % 20)).alias("passage_id"), "document_id", "institution_id", (F.col("p") % 50 == 0).alias("_old"))
+    home = F.col("rule_set_id") % 10
+    cited = rules.where("ln % 6 <> 0").select(
+        "rule_id", "rule_set_id", (home + 10 * (F.col("p") % roles.span(spark, sf, "documents", "doc_id", 10))).alias("passage_id"), home.alias("document_id"), home.alias("institution_id"), (F.col("p") % 50 == 0).alias("_old"))
     hashes = passages.select("passage_id", F.col("content_sha256").alias("_h"))
     sources = cited.join(hashes, "passage_id").select("rule_id", "rule_set_id", "passage_id", "document_id", "institution_id", F.when(F.col("_old"), "old").otherwise(F.col("_h")).alias("content_sha256"))
     return rules, grouped.select("group_id", "rule_id", "rule_set_id"), conditions, sources, passages
@@ -148,7 +153,7 @@ def signature_matches(spark, sf):
     return ig.match_signatures(tree(spark, sf)[4]).select("passage_id", "signature_key")
 
 
-@register("rule_contexts", "with " + TREE_SQL + """, req as (select event_id request_id, event_id % 10 institution_id, case when event_id % 3 = 0 then 'annual_leave_days' end template_key, [event_id % 200, event_id % 10 + 10 * (user_id % 20)] ids from events),
+@register("rule_contexts", "with " + TREE_SQL + """, req as (select event_id request_id, event_id % 10 institution_id, case when event_id % 3 = 0 then 'annual_leave_days' end template_key, [event_id % (select (max(doc_id) + 1) * 100 // 100 from documents), event_id % 10 + 10 * (user_id % (select (max(doc_id) + 1) * 10 // 100 from documents))] ids from events),
   usable as (select s.* from sets s join docs d using (document_id, institution_id) where s.status = 'validated' and d.status = 'active'),
   hit as (select request_id, rule_set_id from req join usable using (institution_id) where rule_key = template_key union select request_id, u.rule_set_id from (select request_id, institution_id, unnest(list_distinct(ids)) pid from req) r
     join src on src.passage_id = r.pid join usable u on u.rule_set_id = src.rule_set_id and u.institution_id = r.institution_id)
@@ -156,7 +161,7 @@ def signature_matches(spark, sf):
 def rule_contexts(spark, sf):
     e = read_table(spark, sf, "events")
     req = e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % 10).alias("institution_id"), F.when(F.col("event_id") % 3 == 0, "annual_leave_days").alias("template_key"),
-                   F.array(F.col("event_id") % 200, F.col("event_id") % 10 + 10 * (F.col("user_id") % 20)).alias("passage_ids"))
+                   F.array(F.col("event_id") % roles.span(spark, sf, "documents", "doc_id", 100), F.col("event_id") % 10 + 10 * (F.col("user_id") % roles.span(spark, sf, "documents", "doc_id", 10))).alias("passage_ids"))
     out = ig.rule_context(sets(spark, sf), docs(spark, sf), tree(spark, sf)[3], req)
     return out.groupBy("request_id").agg(F.count("*").alias("n_sets"), F.sum("rule_set_id").alias("id_sum"))
 
@@ -172,13 +177,13 @@ def protected_edits(spark, sf):
     return ig.protected_report(passages.select("passage_id", "institution_id"), sets(spark, sf), sources).select("passage_id", "code")
 
 
-OPS_SQL = """ops as (select event_id operation_id, event_id % 110 rule_set_id, 1 + event_id % 2 expected_revision, ts, event_type from events),
+OPS_SQL = """ops as (select event_id operation_id, event_id % (select (max(s_suppkey) + 1) * 110 // 100 from supplier) rule_set_id, 1 + event_id % 2 expected_revision, ts, event_type from events),
  j as (select o.*, s.institution_id, s.document_id, s.rule_key, s.status, s.revision_number, s.replaces_rule_set_id, (o.ts, o.operation_id) <> min((o.ts, o.operation_id)) over (partition by o.rule_set_id) later from ops o left join sets s using (rule_set_id))"""
 
 
 def ops(spark, sf):
     return read_table(spark, sf, "events").select(
-        F.col("event_id").alias("operation_id"), (F.col("event_id") % 110).alias("rule_set_id"), (1 + F.col("event_id") % 2).alias("expected_revision"), F.col("ts").alias("at"), "event_type")
+        F.col("event_id").alias("operation_id"), (F.col("event_id") % roles.span(spark, sf, "supplier", "s_suppkey", 110)).alias("rule_set_id"), (1 + F.col("event_id") % 2).alias("expected_revision"), F.col("ts").alias("at"), "event_type")
 
 
 @register("rule_confirmations", "with " + SETS_SQL + "," + OPS_SQL + """, bad as (select rule_set_id from sets where rule_set_id % 6 = 5), act as (select institution_id, rule_key, min(rule_set_id) a from sets where status = 'validated' group by 1, 2),
@@ -231,13 +236,13 @@ def child_edit_cascades(spark, sf):
     return gv.cascade_child_edits(rules, sets(spark, sf)).select("rule_id", "effect")
 
 
-@register("revision_clones", "with " + TREE_SQL + """, req as (select event_id operation_id, event_id % 110 rule_set_id from events), o as (select parent_rule_set_id rule_set_id, min(rule_set_id) open from sets where status in ('proposed', 'needs_attention', 'approved') and parent_rule_set_id is not null group by 1),
+@register("revision_clones", "with " + TREE_SQL + """, req as (select event_id operation_id, event_id % (select (max(s_suppkey) + 1) * 110 // 100 from supplier) rule_set_id from events), o as (select parent_rule_set_id rule_set_id, min(rule_set_id) open from sets where status in ('proposed', 'needs_attention', 'approved') and parent_rule_set_id is not null group by 1),
   r as (select req.*, s.status, open, min(operation_id) over (partition by req.rule_set_id) f from req left join sets s using (rule_set_id) left join o using (rule_set_id)),
   c as (select *, case when status is null then 'rule_set_not_found' when status <> 'validated' then 'status_conflict' when open is not null or operation_id <> f then 'revision_already_open' else 'revision_created' end status_code from r)
  select operation_id, status_code, coalesce(n, 0) copied_rules from c left join (select rule_set_id, count(*) n from rules group by 1) k on k.rule_set_id = c.rule_set_id and status_code = 'revision_created'""")
 def revision_clones(spark, sf):
     rules, groups, conditions, sources, _ = tree(spark, sf)
-    req = read_table(spark, sf, "events").select(F.col("event_id").alias("operation_id"), (F.col("event_id") % 110).alias("rule_set_id"))
+    req = read_table(spark, sf, "events").select(F.col("event_id").alias("operation_id"), (F.col("event_id") % roles.span(spark, sf, "supplier", "s_suppkey", 110)).alias("rule_set_id"))
     results, copies = gv.clone_revisions(req, sets(spark, sf), {"rules": (rules, ["rule_id"]), "groups": (groups, ["rule_id", "group_id"])})
     copied = copies["rules"].groupBy(F.col("rule_set_id").alias("revision_id")).agg(F.count_distinct("rule_id").alias("copied_rules"))
     made = results.join(copied, "revision_id", "left").withColumn("copied_rules", F.when(F.col("status_code") == "revision_created", F.coalesce("copied_rules", F.lit(0))).otherwise(F.lit(0)))
@@ -289,6 +294,13 @@ def rule_listing(spark, sf):
     return page.select("rule_set_id", "document_status", "action_required", "status_label")
 
 
+@register("filtered_rule_listing", "with " + SETS_SQL + """ select rule_set_id, s.status from sets s join docs d using (document_id, institution_id)
+ where rule_key = 'annual_leave_days' and s.status in ('proposed', 'approved', 'rejected') and s.status in ('proposed', 'needs_attention', 'approved', 'validated')""")
+def filtered_rule_listing(spark, sf):
+    listed = gv.list_rule_sets(sets(spark, sf), docs(spark, sf), rule_key="annual_leave_days", statuses=("proposed", "approved", "rejected"), action_required=True)
+    return listed.select("rule_set_id", "status")
+
+
 @register("condition_labels", "with " + TREE_SQL + """ select rule_id, fact_key, case fact_key when 'age_years' then case when rule_id % 2 = 0 then 'Dès ' || cast(n as bigint) || ' ans' else 'Âge est inférieur à ' || cast(n as bigint) end when 'service_years' then case when rule_id % 2 = 0 then 'Dès 25.5 ans de service' else 'Ancienneté est inférieur à 25.5' end
    else 'Motif ' || case when rule_id % 2 = 0 then 'est supérieur ou égal à ' else 'est inférieur à ' end || cat end label from cond""")
 def condition_labels(spark, sf):
@@ -380,6 +392,16 @@ def new_memberships(spark, sf):
     return rw.insert_new(stored, line.join(o, line.l_orderkey == o.o_orderkey).select("user_id", "channel"), ["user_id", "channel"])
 
 
+@register("filtered_audit_history", """select e.event_id, c.c_name actor_name from events e left join customer c on c.c_custkey = case when e.event_id % 3 <> 0 then e.user_id end
+ where event_type in ('error', 'signup') and user_id % 10 = 4 and ts >= timestamp '2024-01-15'""")
+def filtered_audit_history(spark, sf):
+    e = read_table(spark, sf, "events").select(
+        "event_id", "event_type", (F.col("user_id") % 10).alias("document_id"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("actor_id"))
+    users = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("display_name"))
+    since = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    return gv.audit_history(e, users, document_id=4, event_types=("error", "signup"), since=since).select("event_id", "actor_name")
+
+
 @register("audit_history", """select e.event_id, c.c_name actor_name from events e left join customer c on c.c_custkey = case when e.event_id % 3 <> 0 then e.user_id end""")
 def audit_history(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("actor_id"))

@@ -76,21 +76,21 @@ def deactivations(spark, sf):
 
 
 @register("removal_eligibility", "with " + DOC_SQL + """, ruled as (select distinct l_suppkey document_id from lineitem where l_quantity = 50 and l_linenumber = 1),
- req as (select event_id, event_id % 1100 document_id, event_type <> 'error' confirmed, case when event_id % 2 = 0 then 'x' end t from events)
+ req as (select event_id, event_id % (select (max(doc_id) + 1) * 110 // 100 from documents) document_id, event_type <> 'error' confirmed, case when event_id % 2 = 0 then 'x' end t from events)
  select event_id, case when not confirmed then 'confirmation_required' when d.document_id is null then 'document_not_found' when r.document_id in (select document_id from jobs where status in ('queued', 'running')) then 'ingestion_in_progress'
   when r.document_id in (select document_id from ruled) then 'document_has_protected_rules' when d.status = 'active' and coalesce(t, d.title) <> d.title then 'active_confirmation_required' else 'deleted' end status_code
  from req r left join docs d using (document_id)""")
 def removal_eligibility(spark, sf):
     docs, jobs = doc_tables(spark, sf)
     titles = docs.select("document_id", "institution_id", F.col("title").alias("_t"))
-    e = roles.events(spark, sf).select("event_id", (F.col("event_id") % 1100).alias("document_id"), (F.col("event_type") != "error").alias("confirmed"))
+    e = roles.events(spark, sf).select("event_id", (F.col("event_id") % roles.span(spark, sf, "documents", "doc_id", 110)).alias("document_id"), (F.col("event_type") != "error").alias("confirmed"))
     req = e.join(titles, "document_id", "left").withColumn("confirmation_title", F.when(F.col("event_id") % 2 == 0, "x").otherwise(F.col("_t"))).drop("_t")
     sets = read_table(spark, sf, "lineitem").where("l_quantity = 50 and l_linenumber = 1").select(F.col("l_suppkey").alias("document_id"), F.lit("approved").alias("status"))
     sets = sets.join(docs.select("document_id", "institution_id"), "document_id")
     return lifecycle.classify_removal(req, docs, jobs, sets).select("event_id", "status_code")
 
 
-@register("upload_admission", "with " + DOC_SQL + """, u as (select doc_id u, doc_id % 400 document_id, source institution_id, md5(case when doc_id % 3 = 0 then text else lang || doc_id % 250 end) sha, 'k' || (doc_id * 7) % 500 document_key,
+@register("upload_admission", "with " + DOC_SQL + """, u as (select doc_id u, doc_id % (select (max(doc_id) + 1) * 40 // 100 from documents) document_id, source institution_id, md5(case when doc_id % 3 = 0 then text else lang || doc_id % (select (max(doc_id) + 1) * 25 // 100 from documents) end) sha, 'k' || (doc_id * 7) % (select (max(doc_id) + 1) * 50 // 100 from documents) document_key,
    case when doc_id % 2 = 0 then lang else 'v2' end version_label, n_chars from documents),
  e as (select u.*, case when u % 11 = 0 then 'invalid_storage_path' when u % 13 = 0 then 'source_file_missing' when u % 17 = 0 then 'source_metadata_mismatch'
    when exists (select 1 from docs d where d.institution_id = u.institution_id and d.sha = u.sha and d.document_id % 2 = 0) then 'duplicate_file'
@@ -102,19 +102,19 @@ def upload_admission(spark, sf):
     docs = doc_tables(spark, sf)[0].where("document_id % 2 = 0")
     d = read_table(spark, sf, "documents")
     n = F.col("doc_id")
-    doc = (n % 400).cast("string")
+    doc = (n % roles.span(spark, sf, "documents", "doc_id", 40)).cast("string")
     path = F.concat_ws("/", F.when(n % 11 == 0, "elsewhere").otherwise(F.col("source")), doc, F.concat(F.lit("f"), n.cast("string")))
     up = d.select(
-        n.alias("u"), (n % 400).alias("document_id"), F.col("source").alias("institution_id"), path.alias("storage_path"), F.col("n_chars").alias("size_bytes"),
+        n.alias("u"), (n % roles.span(spark, sf, "documents", "doc_id", 40)).alias("document_id"), F.col("source").alias("institution_id"), path.alias("storage_path"), F.col("n_chars").alias("size_bytes"),
         F.lit("application/pdf").alias("mime_type"),
-        F.md5(F.when(n % 3 == 0, F.col("text")).otherwise(F.concat("lang", (n % 250).cast("string")))).alias("file_sha256"),
-        F.concat(F.lit("k"), (n * 7 % 500).cast("string")).alias("document_key"), F.when(n % 2 == 0, F.col("lang")).otherwise("v2").alias("version_label"))
+        F.md5(F.when(n % 3 == 0, F.col("text")).otherwise(F.concat("lang", (n % roles.span(spark, sf, "documents", "doc_id", 25)).cast("string")))).alias("file_sha256"),
+        F.concat(F.lit("k"), (n * 7 % roles.span(spark, sf, "documents", "doc_id", 50)).cast("string")).alias("document_key"), F.when(n % 2 == 0, F.col("lang")).otherwise("v2").alias("version_label"))
     files = up.where("u % 13 <> 0").select("storage_path", F.when(F.col("u") % 17 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"), "mime_type")
     return lifecycle.classify_uploads(up, docs, files, ["u"]).select("u", "status_code")
 
 
 MSG_SQL = with_roles("users", "devices", "memberships", "channels") + """,
- msgs as (select event_id message_id, ts, (event_id * 3) % 15200 device_id, case when event_id % 50 = 0 then '' else 'brand' || (1 + event_id % 27) end channel_id, case when event_id % 41 = 0 then '' when event_id % 43 = 0 then repeat('x', 4001) else event_type end body from events),
+ msgs as (select event_id message_id, ts, (event_id * 3) % (select (max(o_orderkey) + 1) * 102 // 100 from orders) device_id, case when event_id % 50 = 0 then '' else 'brand' || (1 + event_id % 27) end channel_id, case when event_id % 41 = 0 then '' when event_id % 43 = 0 then repeat('x', 4001) else event_type end body from events),
  checked as (select m.*, d.user_id, u.institution_id, case when length(m.channel_id) < 1 then 'invalid_channel' when length(body) < 1 then 'empty_message' when length(body) > 4000 then 'message_too_long' when d.device_id is null then 'device_unknown'
   when d.revoked_at is not null then 'device_revoked' when d.activated_at is null or d.user_id is null then 'device_not_activated' when u.user_id is null then 'user_unknown' when not u.active then 'user_inactive'
   when c.enabled is null then 'channel_unknown' when not c.enabled then 'channel_disabled' when b.user_id is null then 'channel_access_denied' else 'ok' end check_code
@@ -126,7 +126,7 @@ def checked_messages(spark, sf):
     e = roles.events(spark, sf)
     n = F.col("event_id")
     msgs = e.select(
-        n.alias("message_id"), "ts", (n * 3 % 15200).alias("device_id"),
+        n.alias("message_id"), "ts", (n * 3 % roles.span(spark, sf, "orders", "o_orderkey", 102)).alias("device_id"),
         F.when(n % 50 == 0, " ").otherwise(F.concat(F.lit("Brand"), (1 + n % 27).cast("string"))).alias("channel_id"),
         F.when(n % 41 == 0, " ").when(n % 43 == 0, F.repeat(F.lit("x"), 4001)).otherwise(F.col("event_type")).alias("body"),
         F.lit(None).cast("long").alias("reply_to"), F.lit(True).alias("reply_ok"))
@@ -146,7 +146,7 @@ def message_admission(spark, sf):
 
 @register("action_checks", with_roles("users", "devices", "memberships", "channels") + """,
  m as (select conv_id * 10 + turn message_id, conv_id % 25 institution_id, 'brand' || (1 + turn % 3) channel_id, (conv_id * 37) % 1500 author_id, text body, turn % 5 = 4 deleted, turn = 1 pinned from conversations),
- a as (select o_orderkey action_id, o_orderkey device_id, ['edit', 'delete', 'pin', 'unpin'][1 + o_orderkey % 4] act, (o_orderkey % 100) * 10 + o_orderkey % 6 message_id, case when o_orderkey % 8 = 2 then '2h' else '4h' end duration from orders),
+ a as (select o_orderkey action_id, o_orderkey device_id, ['edit', 'delete', 'pin', 'unpin'][1 + o_orderkey % 4] act, (o_orderkey % (select (max(conv_id) + 1) * 100 // 100 from conversations)) * 10 + o_orderkey % 6 message_id, case when o_orderkey % 8 = 2 then '2h' else '4h' end duration from orders),
  open_m as (select mb.* from memberships mb join channels c using (institution_id, channel_id) where c.enabled)
  select action_id, case when act = 'pin' and duration <> '4h' then 'invalid_duration' when d.revoked_at is not null then 'device_revoked' when d.activated_at is null or d.user_id is null then 'device_not_activated' when u.user_id is null then 'user_unknown' when not u.active then 'user_inactive'
   when act in ('pin', 'unpin') then 'cadre_required' when m.message_id is null then 'message_not_found' when m.author_id <> d.user_id then 'not_message_author' when act = 'delete' and m.deleted then 'already_deleted' when act = 'edit' and m.deleted then 'message_deleted'
@@ -161,7 +161,7 @@ def action_checks(spark, sf):
     o = read_table(spark, sf, "orders")
     k = F.col("o_orderkey")
     acts = F.array(*[F.lit(x) for x in ("edit", "delete", "pin", "unpin")])
-    actions = o.select(k.alias("action_id"), k.alias("device_id"), F.element_at(acts, (1 + k % 4).cast("int")).alias("action"), (k % 100 * 10 + k % 6).alias("message_id"),
+    actions = o.select(k.alias("action_id"), k.alias("device_id"), F.element_at(acts, (1 + k % 4).cast("int")).alias("action"), (k % roles.span(spark, sf, "conversations", "conv_id", 100) * 10 + k % 6).alias("message_id"),
                        F.lit("neuf").alias("body"), F.when(k % 8 == 2, "2h").otherwise("4h").alias("duration"))
     out = chat.classify_actions(actions, messages, roles.devices(spark, sf), roles.users(spark, sf), roles.channels(spark, sf), roles.memberships(spark, sf))
     return out.select("action_id", "status_code")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from agoradesk.functions.columns import is_distinct
 from agoradesk.operators import access, quality, reporting
 from agoradesk.operators.ordered import latest_per_key
+from agoradesk.operators.retrieval import lookup_ids
 from agoradesk.plans import roles
 from agoradesk.plans.roles import NOW, with_roles
 from agoradesk.sources.tables import read_table
@@ -106,7 +107,7 @@ def owner_changes(spark, sf):
     return rows.where(is_distinct(F.col("user_id"), F.col("owner_id"))).select("device_id", "user_id", "owner_id")
 
 
-REQUESTS_SQL = """requests as (select event_id request_id, (event_id * 7) % 20000 device_id, ts created_at, ts + interval 24 hour expires_at,
+REQUESTS_SQL = """requests as (select event_id request_id, (event_id * 7) % (select (max(o_orderkey) + 1) * 133 // 100 from orders) device_id, ts created_at, ts + interval 24 hour expires_at,
   case when event_type = 'signup' then 'pending' when event_type = 'error' then 'cancelled' else 'approved' end status,
   (user_id % 25) institution_id from events)"""
 
@@ -114,7 +115,7 @@ REQUESTS_SQL = """requests as (select event_id request_id, (event_id * 7) % 2000
 def requests(spark, sf):
     e = roles.events(spark, sf)
     return e.select(
-        F.col("event_id").alias("request_id"), (F.col("event_id") * 7 % 20000).alias("device_id"), F.col("ts").alias("created_at"),
+        F.col("event_id").alias("request_id"), (F.col("event_id") * 7 % roles.span(spark, sf, "orders", "o_orderkey", 133)).alias("device_id"), F.col("ts").alias("created_at"),
         F.expr("ts + interval 24 hours").alias("expires_at"),
         F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "error", "cancelled").otherwise("approved").alias("status"),
         (F.col("user_id") % 25).alias("institution_id"),
@@ -172,8 +173,8 @@ def channel_selections(spark, sf):
 
 
 @register("user_matches", with_roles("users") + """,
-req as (select event_id request_id, user_id % 25 institution_id, case when event_id % 4 <> 0 then (event_id * 13) % 1600 end existing_user_id,
-   case when event_id % 5 < 2 then 'ext-' || ((event_id * 13) % 1600) when event_id % 5 = 2 then 'ext-' || event_id end external_id from events),
+req as (select event_id request_id, user_id % 25 institution_id, case when event_id % 4 <> 0 then (event_id * 13) % (select (max(c_custkey) + 1) * 107 // 100 from customer) end existing_user_id,
+   case when event_id % 5 < 2 then 'ext-' || ((event_id * 13) % (select (max(c_custkey) + 1) * 107 // 100 from customer)) when event_id % 5 = 2 then 'ext-' || event_id end external_id from events),
 holder as (select institution_id, external_id, min(user_id) holder from users where external_id is not null group by 1, 2)
 select request_id, case
   when r.existing_user_id is null then case when r.external_id is not null and holder is not null then 'external_id_already_exists' else 'new_user' end
@@ -185,7 +186,7 @@ from req r left join users u on u.user_id = r.existing_user_id and u.institution
  left join holder h on h.institution_id = r.institution_id and h.external_id = r.external_id""")
 def user_matches(spark, sf):
     e = roles.events(spark, sf)
-    guess = F.col("event_id") * 13 % 1600
+    guess = F.col("event_id") * 13 % roles.span(spark, sf, "customer", "c_custkey", 107)
     req = e.select(
         F.col("event_id").alias("request_id"), (F.col("user_id") % 25).alias("institution_id"),
         F.when(F.col("event_id") % 4 != 0, guess).alias("existing_user_id"),
@@ -204,6 +205,20 @@ def approval_views(spark, sf):
     return rows.select("request_id", "institution_label", "status_code")
 
 
+@register("presented_links", with_roles("institutions") + "," + REQUESTS_SQL + f""", links as (select 'l' || request_id link_hash, request_id from requests where request_id % 5 <> 0),
+ shown as (select event_id presented_id, case when event_id % 11 <> 0 then 'l' || (event_id * 3) % (select (max(event_id) + 1) * 110 // 100 from events) end link_hash from events)
+select presented_id, l.request_id, case when r.request_id is null then 'invalid_link' when r.status = 'pending' and r.expires_at <= timestamp '{NOW}' then 'expired'
+  when r.status <> 'pending' then 'request_not_pending' when i.label is null then 'institution_inactive' else 'success' end status_code
+from shown left join links l using (link_hash) left join requests r on r.request_id = l.request_id left join institutions i on i.institution_id = r.institution_id and i.active""")
+def presented_links(spark, sf):
+    asked = requests(spark, sf)
+    links = asked.where("request_id % 5 <> 0").select(F.concat(F.lit("l"), "request_id").alias("link_hash"), "request_id")
+    n = F.col("event_id")
+    shown = roles.events(spark, sf).select(n.alias("presented_id"), F.when(n % 11 != 0, F.concat(F.lit("l"), n * 3 % roles.span(spark, sf, "events", "event_id", 110))).alias("link_hash"))
+    out = access.presented_links(shown, links, asked, roles.institutions(spark, sf), roles.now())
+    return out.select("presented_id", "request_id", "status_code")
+
+
 @register("approval_choices", with_roles("users", "channels") + "," + REQUESTS_SQL + """,
 t as (select distinct institution_id from requests)
 select institution_id, 'channel' kind, channel_id item_id, label, '1|' || lower(label) || '|' || channel_id sort_key
@@ -385,7 +400,7 @@ def citation_lookup(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     asked = line.join(o, line.l_orderkey == o.o_orderkey).select("o_custkey", "l_partkey").distinct()
     part = read_table(spark, sf, "part").select("p_partkey", "p_size")
-    found = asked.join(part, asked.l_partkey == part.p_partkey)
+    found = lookup_ids(asked.withColumn("ids", F.array("l_partkey")).drop("l_partkey"), "ids", part, "p_partkey")
     return found.groupBy("o_custkey").agg(F.count("*").alias("found"), F.sum("p_size").alias("total_size"))
 
 

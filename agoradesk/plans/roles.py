@@ -97,3 +97,12 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def now():
     return F.lit(NOW).cast("timestamp_ntz")
+
+
+def span(spark: SparkSession, sf: str, table: str, key: str, percent: int = 100):
+    """So many percent of the ids of a table, as a modulus for references into it: it grows with the table.
+
+    One number is read when the query is built, so that plans repeat a constant and not a subquery.
+    """
+    top = read_table(spark, sf, table).agg(F.max(key)).first()[0]
+    return F.lit(max(1, ((top or 0) + 1) * percent // 100))

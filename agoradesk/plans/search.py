@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agoradesk.functions.columns import uuid_from
-from agoradesk.operators import chunking
+from agoradesk.operators import cells, chunking
 from agoradesk.operators import retrieval as rt
 from agoradesk.sources.tables import read_table
 
@@ -50,6 +50,14 @@ def vector_search(spark, sf):
     return hits(spark, sf).select("question_id", "passage_id", "document_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
+@register("vector_cells", "with " + HITS_SQL + " select question_id, passage_id, document_id, rank, round(similarity, 5) similarity from hits")
+def vector_cells(spark, sf):
+    """The hits of ``vector_search`` through the metric index."""
+    questions, passages, docs = tables(spark, sf)
+    found, _ = cells.search_index(questions, cells.build_index(rt.candidates(passages, docs), dimensions=64), K, CAP, MINIMUM, dimensions=64)
+    return found.select("question_id", "passage_id", "document_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
 @register("search_status", "with " + HITS_SQL + """ select v.vec_id question_id, coalesce(n, 0) hits, case when a.institution_id is null then 'no_active_documents' when n is null then 'no_relevant_passages' else 'found' end search_status
  from v left join (select question_id, count(*) n from hits group by 1) h on h.question_id = v.vec_id left join (select distinct institution_id from v where label not in (7, 2, 5, 8)) a using (institution_id)""")
 def search_status(spark, sf):

@@ -31,6 +31,39 @@ def test_three_days_on_the_wrong_category_is_found(spark):
     assert [(r.rule_id, r.code) for r in found] == [(12, "categorical_source_mismatch")]
 
 
+def test_every_integrity_code_of_one_pass(spark):
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sets = d([(1, 1, "h", "tv", "days"), (2, 2, "h", "old", "hours"), (3, 1, "h", "tv", "hours"), (4, 1, "g", "none", "days")],
+             "rule_set_id int, document_id int, institution_id string, template_version_id string, result_unit string")
+    docs = d([(1, "h", "ready"), (2, "h", "inactive")], "document_id int, institution_id string, status string")
+    templates = d([("tv", "published", "annual_leave_intent_v1", "annual_leave_answer_fr_v1", rl.STRATEGY), ("old", "draft", "annual_leave_intent_v1", "other", rl.STRATEGY)],
+                  "template_version_id string, status string, detector_key string, renderer_key string, aggregation_strategy string")
+    facts = d([("tv", "age_years_fr_v1")], "template_version_id string, extractor_key string")
+    registry = d([(t, k) for t, ks in rl.REGISTRY.items() for k in ks], "key_type string, runtime_key string")
+    rules = d([(10, 1, 2.5, True), (11, 1, 30.0, False), (12, 1, 7.0, False), (30, 3, 2.5, True), (31, 3, 4.0, True)],
+              "rule_id int, rule_set_id int, outcome_value double, is_default boolean")
+    groups = d([(110, 11), (111, 11), (120, 12)], "group_id int, rule_id int")
+    conds = d([(110, 11, 1, "tv", "age_years", 20.0, None), (110, 11, 1, "tv", "service_years", 30.0, None), (120, 12, 1, "tv", "age_years", 50.0, None)],
+              "group_id int, rule_id int, rule_set_id int, template_version_id string, fact_key string, number_value double, category_value string")
+    passages = d([(100, 1, "h", "Forfait de 2,5 jours, puis 130 jours."), (101, 1, "h", "Sept : 7 heures"), (102, 1, "h", "12.5")],
+                 "passage_id int, document_id int, institution_id string, content string").withColumn("content_sha256", F.sha2("content", 256))
+    cited = d([(10, 1, 100), (11, 1, 100), (12, 1, 101), (30, 3, 102)], "rule_id int, rule_set_id int, passage_id int")
+    sources = cited.join(passages.drop("content"), "passage_id").withColumn("content_sha256", F.when(F.col("rule_id") == 11, "old").otherwise(F.col("content_sha256")))
+    limit = d([("tv", "service_years", "<=", "age_years")], "template_version_id string, left_fact_key string, comparator string, right_fact_key string")
+    inputs = (sets, docs, templates, facts, registry, rules, groups, conds, sources, passages, ig.signature_table(spark, "other"), limit)
+    want = {
+        (1, None, "template_fact_constraint_failed"), (1, 11, "invalid_rule_structure"), (1, 11, "source_changed"), (1, 11, "value_or_unit_not_in_source"),
+        (1, 12, "value_or_unit_not_in_source"), (2, None, "document_not_eligible"), (2, None, "template_not_executable"), (2, None, "runtime_registry_mismatch"),
+        (2, None, "invalid_default_rule_count"), (3, None, "invalid_default_rule_count"), (3, 30, "value_or_unit_not_in_source"), (3, 31, "missing_rule_sources"),
+        (4, None, "document_not_eligible"), (4, None, "template_not_executable"), (4, None, "invalid_default_rule_count"),
+    }
+    found = [tuple(r) for r in ig.inspect_integrity(*inputs).collect()]
+    assert set(found) == want and len(found) == len(want)
+    asked = d([(2,), (99,), (2,)], "rule_set_id int")
+    some = {tuple(r) for r in ig.inspect_integrity(*inputs, asked=asked).collect()}
+    assert some == {w for w in want if w[0] == 2} | {(99, None, "rule_set_not_found")}
+
+
 def test_outcome_text(spark):
     got = spark.createDataFrame([(30.0,), (2.5,), (0.0,), (100.0,)], "v double").select(ig.outcome_text(F.col("v")).alias("t")).collect()
     assert [r.t for r in got] == ["30", "2.5", "0", "100"] or [r.t for r in got] == ["30", "2.5", "", "100"]

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from agoradesk.operators import onboarding, reporting
+from agoradesk.operators import cells, onboarding, reporting
 from agoradesk.operators import retrieval as rt
 
 
@@ -33,6 +33,27 @@ def test_cells_lose_nothing_even_with_a_hot_document(spark, monkeypatch):
     assert got == want
 
 
+def test_metric_cells_lose_nothing_and_skip_most_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    draw = lambda: (centres[rng.integers(40)] + 0.05 * rng.normal(size=16)).tolist()
+    p = [(i, i % 23, int(i % 7 == 0), draw()) for i in range(1_200)] + [(2_000 + i, 3, 1, p) for i, p in enumerate([draw()] * 5)]
+    q = [(i, int(i % 4 == 0), draw()) for i in range(60)] + [(90, 5, draw())]
+    monkeypatch.setattr(rt, "_CELL_BYTES", 8 * 16 * 40)
+    monkeypatch.setattr(rt, "_CELL_QUESTIONS", 9)
+    questions = spark.createDataFrame(q, "question_id int, institution_id int, embedding array<float>")
+    passages = spark.createDataFrame(p, "passage_id int, document_id int, institution_id int, embedding array<float>")
+    want = brute([(a, b, np.float32(c)) for a, b, c in q], [(a, b, c, np.float32(d)) for a, b, c, d in p], 6, 2, 0.05)
+    index = cells.build_index(passages, dimensions=16)
+    hits, visits = cells.search_index(questions, index, 6, 2, 0.05, dimensions=16)
+    got = {i: [] for i, _, _ in q}
+    for r in hits.orderBy("question_id", "rank").collect():
+        got[r.question_id].append(r.passage_id)
+    assert got == want
+    shares = {r.institution_id: r.share for r in cells.compared_share(visits, questions, index[1]).collect()}
+    assert shares[0] < 0.2 and visits.count() == visits.distinct().count()
+
+
 def test_packing_stops_at_the_first_overflow(spark):
     hits = spark.createDataFrame([(1, 1, "a" * 50), (1, 2, "b" * 60), (1, 3, "c" * 5), (2, 1, "d" * 200)], "question_id int, rank int, block string")
     packed = rt.pack_context(hits, 100)
