@@ -18,8 +18,8 @@ def at(seconds):
 
 @pytest.fixture
 def spread_out(spark):
-    """Adaptive execution leaves the partitions of small tables as they are, so that tasks can be counted."""
-    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    """Without adaptive execution small tables keep their partitions, so that tasks can be counted."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
     old = [spark.conf.get(n) for n in names]
     spark.conf.set(names[0], "false")
     spark.conf.set(names[1], "16")
