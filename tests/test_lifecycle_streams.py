@@ -1,6 +1,7 @@
-"""Streams with timers against the batch operators, over a restart."""
+"""Streams with timers against the batch operators, over a restart. They take minutes, so they run only if STREAM_TESTS is set."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from agoradesk.session import shared_dir
 from agoradesk.streaming import lifecycles
 
 T0 = dt.datetime(2024, 1, 1)
+pytestmark = pytest.mark.skipif(not os.environ.get("STREAM_TESTS"), reason="STREAM_TESTS is not set")
 
 
 @pytest.fixture(autouse=True)
