@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from agoradesk.functions.columns import first_match, is_uuid, let, number_text, parse_decimal_comma
 from agoradesk.functions.regexes import UUID
 from agoradesk.functions.text import collapse, js_trim, strip_marks, words
-from agoradesk.operators.questions import NUMBER_WORD, SEPARATOR, pattern
+from agoradesk.operators.questions import NUMBER_RUN, pattern
 from agoradesk.operators.retrieval import citations
 from agoradesk.operators.rules import BLOCKED, RULE_REQUIRED
 
@@ -25,9 +25,8 @@ INSUFFICIENT = "Je ne trouve pas cette information dans les documents disponible
 IMPRECISE = "Je ne peux pas identifier de façon suffisamment précise l’information manquante à partir des documents disponibles."
 UNGROUNDED = "Je ne peux pas confirmer cette valeur à partir des passages cités."
 DIGITS = r"([-+]?\d+(?:[.,]\d+)?)\s*(%|jours?|ans?|annees?|semaines?|mois|heures?|chf|francs?)?"
-NUMBER_WORDS = (
-    rf"\b{NUMBER_WORD}(?:{SEPARATOR}(?:et{SEPARATOR})?{NUMBER_WORD})*\s+(?:jours?|ans?|semaines?|mois|heures?|pour\s*cent|francs?)\b"
-)
+# A run without a unit is matched as well (beside the group), so that none of its words begins a search of its own.
+NUMBER_WORDS = rf"\b(?:({NUMBER_RUN}\s+(?:jours?|ans?|semaines?|mois|heures?|pour\s*cent|francs?)\b)|{NUMBER_RUN})"
 GENERIC_WORDS = (
     "a", "agit", "approfondir", "approfondis", "as", "au", "aux", "avec", "besoin", "caracteristique", "categorie", "cas", "ce", "cela",
     "cette", "clarifie", "clarifier", "concerne", "concernee", "concernees", "concernes", "confirme", "confirmer", "d", "dans",
@@ -170,7 +169,7 @@ def numeric_tokens(col: Column) -> Column:
             value = number_text(parse_decimal_comma(F.regexp_extract(m, DIGITS, 1)))
             return F.when(unit != "", F.concat_ws("|", value, unit)).otherwise(value)
 
-        said = F.regexp_extract_all(text, F.lit(pattern(NUMBER_WORDS)), F.lit(0))
+        said = F.filter(F.regexp_extract_all(text, F.lit(pattern(NUMBER_WORDS)), F.lit(1)), lambda m: m != "")
         return F.concat(F.transform(spelled, token), F.transform(said, lambda m: F.concat(F.lit("words|"), collapse(m))))
 
     return let(F.lower(strip_marks(col)), tokens)

@@ -79,3 +79,17 @@ def test_excerpt(spark):
     rows = spark.createDataFrame([(long, "La maternité dure 17 semaines"), ("court  texte", "x")], "c string, f string").select(rt.excerpt(F.col("c"), F.col("f")).alias("e")).collect()
     assert "17 semaines" in rows[0].e and len(rows[0].e) <= 402 and rows[0].e.startswith("…") and rows[0].e.endswith("…")
     assert rows[1].e == "court texte"
+
+
+def test_tokens_of_long_digits_and_long_runs_of_number_words(spark):
+    run = "un deux " * 10_000
+    texts = ["9" * 50 + " jours", "12345678901234567890", "9" * 400, run, run + "jours et trois", "cinq pour cent francs", "vingt et un jours, une-deux heures, quatre-vingts ans", "deux trois mois six"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", an.numeric_tokens(F.col("t")).alias("t")).orderBy("n").collect()
+    found = [r.t for r in rows]
+    assert found[0] == ["1" + "0" * 50 + "|jours"] and found[1] == ["12345678901234567000"] and found[2] == ["Infinity"]
+    assert found[3] == [] and found[4] == ["words|" + run + "jours"] and found[5] == ["words|cinq pour cent"]
+    assert found[6] == ["words|vingt et un jours", "words|une-deux heures", "words|quatre-vingts ans"] and found[7] == ["words|deux trois mois"]
+    from agoradesk.operators import questions as qs
+
+    said = spark.createDataFrame([(run,), (run + "jours",)], "t string").select(qs.needs_rules(F.lit("x"), F.col("t")).alias("s"))
+    assert [r.s for r in said.collect()] == [False, True]
