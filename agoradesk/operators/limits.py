@@ -115,11 +115,23 @@ def sliding_limit(
 
 
 def sliding_screen(events: DataFrame, keys: list[str], ts: str, limits: tuple[tuple[int, int], ...] = MESSAGE_LIMITS) -> DataFrame:
-    """Upper bound without state: events that *could* be over a limit, counting all earlier events."""
-    out = events.withColumn("_at", micros(F.col(ts)))
-    for seconds, limit in limits:
-        w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-        out = out.withColumn(f"within_{seconds}s", F.count("*").over(w))
+    """Upper bound without state: events that *could* be over a limit, counting all earlier events.
+
+    An event's window holds as many events as there are up to its time less those before the window opens. Both are running counts over
+    the distinct times of a key and the times at which their windows open, taken in parts of a minute: the work does not grow with
+    the events a window holds, and a key with most of the events is as many tasks as its time has minutes.
+    """
+    out = events.withColumns({"_at": micros(F.col(ts)), "_spot": place_key(keys, micros(F.col(ts)).alias("at"))})
+    times = out.groupBy("_spot").agg(F.count("*").alias("_new"))
+    opens = [F.struct((F.col("_spot")["at"] - s * 1_000_000).alias("at"), F.lit(s).alias("s"), F.lit(0).cast("long").alias("n")) for s, _ in limits]
+    marks = times.select("_spot", F.inline(F.array(F.struct(F.col("_spot")["at"].alias("at"), F.lit(0).alias("s"), F.col("_new").alias("n")), *opens)))
+    held = [f"_k{i}" for i in range(len(keys))]
+    marks = marks.withColumns({k: F.col("_spot")[f"k{i}"] for i, k in enumerate(held)})
+    # At one time a window opens before the events of that time are counted.
+    counted = with_running(marks, held, ["at", F.desc("s")], F.floor(F.col("at") / 60_000_000), {"_upto": F.col("n")})
+    known = lambda s: F.max(F.when(F.col("s") == s, F.col("_upto")))
+    within = counted.groupBy("_spot").agg(*[(known(0) - known(s)).alias(f"within_{s}s") for s, _ in limits])
+    out = out.join(within, "_spot").drop("_spot")
     over = F.greatest(*[(F.col(f"within_{s}s") > n).cast("int") for s, n in limits]) == 1
     return out.withColumn("may_be_limited", over).drop("_at")
 

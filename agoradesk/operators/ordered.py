@@ -70,7 +70,7 @@ def with_neighbours(
 
 
 def with_running(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, sums: Mapping[str, Column]
+    df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, sums: Mapping[str, Column]
 ) -> DataFrame:
     """Running totals up to and including each row of its group."""
     base = df.withColumn("_place", place_key(keys, bucket.alias("bucket")))

@@ -99,3 +99,15 @@ def test_replay_of_null_long_keys(spark):
 
     got = sorted(((r.k, r.i, r.n) for r in ordered.replay(df, ["k"], ["i"], start, ["i"], "n", IntegerType()).collect()), key=str)
     assert got == sorted([(None, i, i + 1) for i in range(5)] + [(7, i, i + 1) for i in range(3)], key=str)
+
+
+def test_screen_counts_without_windows_over_ranges(spark):
+    """Ties, null keys and null times; the plan holds no frame that grows with the events of a window."""
+    at = [0, 0, 59, 60, 61, 61, 120, 3_600, 3_601, 7_300, None, None]
+    rows = [(k, i * 10 + n, None if s is None else T0 + dt.timedelta(seconds=s, microseconds=n % 2)) for i, k in enumerate(("a", None)) for n, s in enumerate(at)]
+    out = limits.sliding_screen(spark.createDataFrame(rows, "who string, event_id long, ts timestamp_ntz"), ["who"], "ts", ((60, 2), (3_600, 5)))
+    assert "RangeFrame, -" not in out._jdf.queryExecution().executedPlan().toString()
+    found = {(r.who, r.event_id, r.ts): (r.within_60s, r.within_3600s, r.may_be_limited) for r in out.collect()}
+    for who, event_id, ts in rows:
+        near = lambda s: sum(k == who and ((ts is None and t is None) or (ts is not None and t is not None and dt.timedelta(0) <= ts - t <= dt.timedelta(seconds=s))) for k, _, t in rows)  # noqa: B023, E731
+        assert found[who, event_id, ts] == (near(60), near(3_600), near(60) > 2 or near(3_600) > 5)
