@@ -10,6 +10,7 @@ from pyspark.sql.types import BooleanType, StringType
 
 from agoradesk.functions.columns import micros
 from agoradesk.operators.ordered import place_key, replay, with_last, with_neighbours, with_running
+from agoradesk.session import staged
 
 # Limits per scope, in the order they are tested.
 REQUEST_SCOPES = (("device", 3), ("ip", 30), ("institution", 300))
@@ -35,10 +36,13 @@ def tumbling_limits(
     ``order`` begins with the time of the attempt. A window is counted in parts
     of ``grain`` seconds, one small count per part is carried to the next
     ones, so a key that holds most of an hour is as many tasks as the hour
-    has parts.
+    has parts. A scope's verdicts are stored before the next one counts: it
+    reads its rows twice, and each scope would else double the work before it.
     """
     out = attempts.withColumns({"_window": window, "_part": _grain(order, grain), "rejected_by": F.lit(None).cast("string")})
-    for name, key, limit in scopes:
+    for place, (name, key, limit) in enumerate(scopes):
+        if place:
+            out = staged(out, "attempts")
         passed = F.col("rejected_by").isNull() & F.col(key).isNotNull()
         out = with_running(out, [key, "_window"], order, F.col("_part"), {"_n": passed.cast("int")})
         out = out.withColumn(f"{name}_count", F.when(passed, F.col("_n")).cast("int")).drop("_n")

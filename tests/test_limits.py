@@ -111,3 +111,20 @@ def test_screen_counts_without_windows_over_ranges(spark):
     for who, event_id, ts in rows:
         near = lambda s: sum(k == who and ((ts is None and t is None) or (ts is not None and t is not None and dt.timedelta(0) <= ts - t <= dt.timedelta(seconds=s))) for k, _, t in rows)  # noqa: B023, E731
         assert found[who, event_id, ts] == (near(60), near(3_600), near(60) > 2 or near(3_600) > 5)
+
+
+def test_scopes_do_not_repeat_the_ones_before(spark):
+    """Each scope reads its rows twice (counts and carried totals), whatever their number."""
+    rows = [(i, T0 + dt.timedelta(seconds=i % 90), i % 3, i % 2, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp, a int, b int, c int")
+    scopes = [("a", "a", 12), ("b", "b", 20), ("c", "c", 4)]
+    out = limits.tumbling_limits(df, scopes, F.date_trunc("hour", "ts"), ["ts", "id"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
+    seen, want = {}, {}
+    for i, ts, *keys in sorted(rows, key=lambda r: (r[1], r[0])):
+        for (name, _, limit), key in zip(scopes, keys):
+            seen[name, key] = seen.get((name, key), 0) + 1
+            if seen[name, key] > limit:
+                want[i] = name
+                break
+    assert {r.id: r.rejected_by for r in out.where("rejected_by is not null").collect()} == want
