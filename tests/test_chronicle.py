@@ -188,3 +188,15 @@ def test_merged_sketches_are_within_their_error(spark):
     for p in (50, 95, 99):
         assert abs(sum(v <= out["h"][f"p{p}"] for v in values) / len(values) - p / 100) < 0.02
     assert out["g"].requests == 1 and out["g"].p50 is None
+
+
+def test_needles_read_each_text_once(spark):
+    """One pass over the rows; short, long, repeated, blank and unheard needles; texts that end inside a gram; a row without a letter."""
+    texts = ["abc", "xabcx", "ab", "c", "été à l'école", "ÉTÉ", "", None, "bcab", "a" * 50]
+    words = ["ABC", "a", "é", "té", " ", "zzz", "cab", "aaaa", "abc", None, "l'éc"]
+    rows = spark.createDataFrame([(k, i, t) for k in (1, 2) for i, t in enumerate(texts)], "k int, id long, t string")
+    asked = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "k int, n long, w string")
+    out = needles.find_needles(rows, asked, "k", "id", "t", "n", "w")
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((1, i, n) for i, t in enumerate(texts) for n, w in enumerate(words) if t is not None and (w or "").strip(" ").lower() in t.lower())
+    assert sorted((r.k, r.id, r.n) for r in out.collect()) == want
