@@ -117,3 +117,24 @@ def test_onboarding_isolation_and_masking(spark):
     items = spark.createDataFrame([("h1", "all", None, None, None), ("h1", "s1", 1, None, None), ("h1", "s1j2", 1, 2, None), ("h1", "u3", None, None, 3), ("h2", "s1", 1, None, None)], scope)
     people = spark.createDataFrame([("h1", "p", 1, 2, None)], "tenant string, p string, service_id int, job_id int, unit_id int")
     assert sorted(r.item for r in ob.items_for_profiles(items, people, "tenant").collect()) == ["all", "s1", "s1j2"]
+
+
+def test_sets_of_a_request_without_comparing_all_pairs(spark):
+    import itertools
+
+    places = list(itertools.product((1, 2, None), ("a", "b", None)))
+    sets = [(s, i, i, k, "validated" if n % 7 else "proposed") for n, (s, (i, k)) in enumerate(itertools.product((1, 2, 3, None), places))] + [(9, 1, 1, "a", "validated")] * 2
+    requests = [(r, i, t, [r % 3, 1, 1] if r else None) for r, (i, t) in enumerate(places)] + [(2, 1, "a", [0]), (None, 1, "a", [1]), (None, 2, "b", [2]), (50, 1, "a", [0, 2]), (50, 1, "a", [0, 2])]
+    sources = [(p, i, s) for p in range(3) for i in (1, 2) for s in (1, 3, 9, None) if (p + i) % 2] * 2
+    ds = spark.createDataFrame(sets, "rule_set_id long, document_id long, institution_id long, rule_key string, status string")
+    dr = spark.createDataFrame(requests, "request_id long, institution_id long, template_key string, passage_ids array<long>")
+    dp = spark.createDataFrame(sources, "passage_id long, institution_id long, rule_set_id long")
+    docs = spark.createDataFrame([(1, 1, "active"), (2, 2, "active")], "document_id long, institution_id long, status string")
+    usable = [(s, i, k) for s, _, i, k, status in sets if status == "validated" and i]
+    wanted = {(r, s) for r, i, t, _ in requests for s, j, k in usable if i == j and t and t == k}
+    wanted |= {(r, s) for r, i, _, ps in requests for p, j, s in sources if p in (ps or []) and i == j and s and any((s, i) == u[:2] for u in usable)}
+    out = ig.rule_context(ds, docs, dp, dr)
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    # Nothing makes all pairs of requests and sets of a template distinct.
+    assert out._jdf.queryExecution().analyzed().nodeName() == "Union"
