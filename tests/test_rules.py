@@ -158,3 +158,10 @@ def test_durations_are_summed_as_logged_as_well(spark):
     log = spark.createDataFrame(rows, "k int, duration_ms double, result string, error_code string, passages_used int, similarity double")
     row = reporting.request_log_summary(log, ["k"]).first()
     assert (row.duration_ms, row.unclamped_duration_ms) == (300_100, 400_100)
+
+
+def test_sets_are_validated_before_questions_meet_them(spark, sets):
+    sims = spark.range(2).select(F.lit("J'ai 30 ans, vacances ?").alias("question"), F.lit("set-annual_leave_days").alias("rule_set_id"))
+    plan = rl.what_if(sims, sets)._jdf.queryExecution().analyzed().toString()
+    above, below = plan.split("Join", 1)
+    assert "invalid_default_rule_count" in below and "invalid_default_rule_count" not in above
