@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,9 +68,30 @@ def strip_marks(col: Column, form: str = "NFKD") -> Column:
     return F.when(col.rlike(NON_ASCII), plain).otherwise(col)
 
 
+# Characters up to U+02FF and of general punctuation: none is a mark, and those that stand for several are among EXPANSIONS.
+_FAR = "[^\\x00-\\u02FF\\u2000-\\u206F]"
+_COMMON = [*range(0x300), *range(0x2000, 0x2070)]
+_APOSTROPHES = "’`´"
+
+
+@functools.cache
+def _folding() -> tuple[str, str]:
+    """Common characters and their comparison form: base letter, straight apostrophe, plain space."""
+    base = dict(zip(*_base_letters("NFKD")))
+    last = dict.fromkeys(_APOSTROPHES, "'") | dict.fromkeys(SPACE_CHARS[1:], " ")
+    form = {c: last.get(base.get(c, c), base.get(c, c)) for c in map(chr, _COMMON)}
+    changed = [c for c in form if form[c] != c]
+    return "".join(changed), "".join(form[c] for c in changed)
+
+
 def fold(col: Column) -> Column:
     """Comparison form of a question: no accents, straight apostrophes, single spaces, lower case."""
-    return F.lower(collapse(F.translate(strip_marks(col), "’`´", "'''")))
+    exact = collapse(F.translate(strip_marks(col), _APOSTROPHES, "'" * len(_APOSTROPHES)))
+    single = lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
+    common = F.btrim(let(F.translate(col, *_folding()), single))
+    # Literals are looked for one by one: as a class of many ranges they cost more than all of the folding.
+    rare = reduce(lambda a, b: a | b, [F.contains(col, F.lit(c)) for c in EXPANSIONS if ord(c) in _COMMON], col.rlike(_FAR))
+    return F.lower(F.when(rare, exact).otherwise(common))
 
 
 @F.pandas_udf(StringType())

@@ -91,3 +91,14 @@ def test_numbers_are_printed_plainly(spark):
     values = {12345678.5: "12345678.5", 0.00001: "0.00001", 3.0: "3", 1.25: "1.25"}
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", number_text(F.col("v")).alias("s")).collect()
     assert {r.v: r.s for r in rows} == values
+
+
+def test_folding_of_common_characters_is_one_translation(spark):
+    exact = lambda c: tx.collapse(F.translate(tx.strip_marks(c), "’`´", "'''"))
+    points = [*range(0x500), *range(0x1E00, 0x2100), 0x3000, 0xFB01, 0xFF21]
+    texts = [t for c in map(chr, points) for t in (c, f"a{c}  {c}É")] + ["", None, "J’ai  30 ans"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    folded = rows.select("t", tx.fold(F.col("t")).alias("new"), F.lower(exact(F.col("t"))).alias("old"))
+    assert folded.where("not new <=> old").collect() == []
+    # One class of far characters decides; the expansions are looked for as literals.
+    assert tx._FAR in folded.select("new")._jdf.queryExecution().analyzed().toString()
