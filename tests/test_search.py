@@ -54,6 +54,29 @@ def test_metric_cells_lose_nothing_and_skip_most_of_clustered_vectors(spark, mon
     assert shares[0] < 0.2 and visits.count() == visits.distinct().count()
 
 
+def test_metric_cells_send_a_question_once_per_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    p = [(i, i % 23, 0, rng.normal(size=16).tolist()) for i in range(900)]
+    q = [(i, 0, rng.normal(size=16).tolist()) for i in range(50)]
+    sent, staged = [], cells.staged
+
+    def recorded(df, name):
+        out = staged(df, name)
+        sent.extend([out] if name == "visits" else [])
+        return out
+
+    monkeypatch.setattr(cells, "staged", recorded)
+    questions = spark.createDataFrame(q, "question_id int, institution_id int, embedding array<float>")
+    passages = spark.createDataFrame(p, "passage_id int, document_id int, institution_id int, embedding array<float>")
+    hits, visits = cells.search_index(questions, cells.build_index(passages, dimensions=16), 6, 2, 0.05, dimensions=16)
+    want = brute([(a, b, np.float32(c)) for a, b, c in q], [(a, b, c, np.float32(d)) for a, b, c, d in p], 6, 2, 0.05)
+    got = {i: [] for i, _, _ in q}
+    for r in hits.orderBy("question_id", "rank").collect():
+        got[r.question_id].append(r.passage_id)
+    assert got == want
+    assert [v.count() <= 50 for v in sent] == [True, True] and visits.count() > 500
+
+
 def test_packing_stops_at_the_first_overflow(spark):
     hits = spark.createDataFrame([(1, 1, "a" * 50), (1, 2, "b" * 60), (1, 3, "c" * 5), (2, 1, "d" * 200)], "question_id int, rank int, block string")
     packed = rt.pack_context(hits, 100)
