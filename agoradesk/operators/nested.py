@@ -5,7 +5,7 @@ Groups are bounded by the model (rules of a set, conditions of a group, facts of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoradesk.operators.reporting import collect_sorted
@@ -22,6 +22,18 @@ def _lists(df: DataFrame, keys: list[str], order: list[str], values: list[str],
     return collect_sorted(df.withColumns(flags), keys, [x for c in order for x in (f"_null_{c}", c)], values, name)
 
 
+def _short_lists(df: DataFrame, key: str, order: list[str], item: Column, name: str) -> DataFrame:
+    """Lists as by ``_lists`` for many keys with a few rows each (the model bounds them): rows are sorted once by key and order.
+
+    A grouping into lists would sort them by key before and after they travel, and once more for the join that follows. Rows without a key
+    belong to no parent and are left out.
+    """
+    whole = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order], "_item")
+    rows = df.where(F.col(key).isNotNull()).withColumn("_item", item)
+    listed = F.collect_list("_item").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select(key, F.row_number().over(whole).alias("_place"), listed.alias(name)).where("_place = 1").drop("_place")
+
+
 def _attach(parents: DataFrame, children: DataFrame, keys: list[str], name: str, empty: bool) -> DataFrame:
     """Parents with the list of their children; without any it is empty, or null where ``empty`` is false."""
     out = parents.join(children, keys, "left")
@@ -44,13 +56,13 @@ def rule_set_documents(sets: DataFrame, rules: DataFrame, groups: DataFrame, con
     Rules are ordered by display order and id; each has its condition groups with their conditions, and the ids of its passages. A rule
     without groups has an empty list; lists of conditions, passages and rules are null where there are none.
     """
-    parts = _lists(conditions, ["condition_group_id"], CONDITION[:1] + CONDITION[2:], CONDITION, "conditions")
+    parts = _short_lists(conditions, "condition_group_id", CONDITION[:1] + CONDITION[2:], F.struct(*CONDITION), "conditions")
     whole = _attach(groups, parts, ["condition_group_id"], "conditions", False)
-    grouped = _lists(whole, ["rule_id"], ["display_order", "condition_group_id"], ["condition_group_id", "conditions"], "condition_groups")
-    cited = sources.groupBy("rule_id").agg(F.array_sort(F.collect_list("passage_id")).alias("source_passage_ids"))
+    grouped = _short_lists(whole, "rule_id", ["display_order", "condition_group_id"], F.struct("condition_group_id", "conditions"), "condition_groups")
+    cited = _short_lists(sources, "rule_id", [], F.col("passage_id"), "source_passage_ids")
     full = _attach(_attach(rules, grouped, ["rule_id"], "condition_groups", True), cited, ["rule_id"], "source_passage_ids", False)
     item = ["rule_id", "outcome_value", "is_default", "label", "condition_groups", "source_passage_ids"]
-    out = _attach(sets, _lists(full, ["rule_set_id"], ["display_order", "rule_id"], item, "rules"), ["rule_set_id"], "rules", False)
+    out = _attach(sets, _lists(full.repartition("rule_set_id"), ["rule_set_id"], ["display_order", "rule_id"], item, "rules"), ["rule_set_id"], "rules", False)
     named = templates.select("template_version_id", F.struct(*templates.columns).alias("template"))
     return out.join(named, "template_version_id", "left")
 

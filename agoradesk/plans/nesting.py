@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agoradesk.operators import nested
+from agoradesk.session import staged
 from agoradesk.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -27,11 +28,14 @@ def lines(spark, sf):
 
 
 def templates(spark, sf):
-    line = lines(spark, sf)
     versions = read_table(spark, sf, "supplier").select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("template_version_id"), F.lit("days").alias("result_unit"))
+    # A template holds few kinds of lines, so lines are read once into one row per kind.
+    kinds = read_table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus").agg(F.min("l_quantity").alias("lowest"), F.max("l_quantity").alias("highest"))
+    line = staged(kinds, "kinds").withColumns({
+        "template_version_id": F.concat(F.lit("v"), F.col("l_suppkey").cast("string")), "fact_key": F.concat(F.lit("f"), F.col("l_linenumber").cast("string"))})
     facts = line.groupBy("template_version_id", "fact_key").agg(
         (-F.max("l_linenumber")).alias("display_order"), F.lit("number").alias("value_type"), F.lit("digits").alias("extractor_key"),
-        F.min("l_quantity").cast("long").alias("minimum_number"), F.max("l_quantity").cast("long").alias("maximum_number"), F.lit(True).alias("integer_only"))
+        F.min("lowest").cast("long").alias("minimum_number"), F.max("highest").cast("long").alias("maximum_number"), F.lit(True).alias("integer_only"))
     operators = line.where("l_linenumber <> 7").select("template_version_id", "fact_key", F.when(F.col("l_linestatus") == "O", ">=").otherwise("<").alias("comparator")).distinct()
     categories = line.where("l_linenumber <> 6").select("template_version_id", "fact_key", F.lit(0).alias("display_order"), F.col("l_returnflag").alias("value_key"), F.lower("l_returnflag").alias("label")).distinct()
     constraints = line.where("l_linenumber = 4").select("template_version_id", F.col("l_returnflag").alias("constraint_key"), F.lit("f1").alias("left_fact_key"),
@@ -67,15 +71,17 @@ TEMPLATE_SQL = """,
 def rule_set_documents(spark, sf):
     line = lines(spark, sf)
     sets = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("rule_set_id"), F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("template_version_id"))
-    rules = line.groupBy(F.col("l_suppkey").alias("rule_set_id"), "rule_id").agg(
+    # Rows are dealt by the key of the list they end in before they are made distinct: nearly every line is a rule of its own, so
+    # nothing is saved by counting lines together before they travel.
+    rules = line.select("rule_id", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag").repartition("rule_id").groupBy(F.col("l_suppkey").alias("rule_set_id"), "rule_id").agg(
         F.max("l_linenumber").alias("display_order"), F.sum("l_quantity").cast("long").alias("outcome_value"), (F.max("l_linenumber") == 1).alias("is_default"), F.min("l_returnflag").alias("label"))
-    groups = line.where("l_linenumber <> 1").select("rule_id", "condition_group_id", F.lit(0).alias("display_order")).distinct()
-    numbers = line.groupBy("condition_group_id", "fact_key").agg(F.max("l_quantity").cast("long").alias("number_value"))
-    numbers = numbers.withColumns({"fact_value_type": F.lit("number"), "comparator": F.lit(">="), "category_value": F.lit(None).cast("string")})
-    words = line.where("l_linenumber % 2 = 0").select("condition_group_id", "fact_key", F.lit(None).cast("long").alias("number_value"), F.lit("category").alias("fact_value_type"),
-                                                      F.lit(">=").alias("comparator"), F.col("l_returnflag").alias("category_value")).distinct()
-    sources = line.where("l_linenumber <> 5").select("rule_id", F.col("l_partkey").alias("passage_id")).distinct()
-    out = nested.rule_set_documents(sets, rules, groups, numbers.unionByName(words), sources, templates(spark, sf))
+    groups = line.where("l_linenumber <> 1").select("rule_id", "condition_group_id", F.lit(0).alias("display_order")).repartition("condition_group_id").distinct()
+    number = F.struct(F.lit("number").alias("fact_value_type"), F.col("l_quantity").alias("number_value"), F.lit(None).cast("string").alias("category_value"))
+    word = F.struct(F.lit("category").alias("fact_value_type"), F.lit(None).cast("double").alias("number_value"), F.col("l_returnflag").alias("category_value"))
+    conditions = line.select("condition_group_id", "fact_key", F.inline(F.when(F.col("l_linenumber") % 2 == 0, F.array(number, word)).otherwise(F.array(number))))
+    conditions = conditions.repartition("condition_group_id").groupBy("condition_group_id", "fact_key", "fact_value_type", "category_value").agg(F.max("number_value").cast("long").alias("number_value"))
+    sources = line.where("l_linenumber <> 5").select("rule_id", F.col("l_partkey").alias("passage_id")).repartition("rule_id").distinct()
+    out = nested.rule_set_documents(sets, rules, groups, conditions.withColumn("comparator", F.lit(">=")), sources, templates(spark, sf))
     whole = {"ignoreNullFields": "false"}
     return out.select("rule_set_id", F.sha2(F.to_json("rules", whole), 256).alias("rules_sha256"), F.to_json("template", whole).alias("template"))
 

@@ -1,5 +1,7 @@
 """Nested rule sets: order at every level, empty and missing lists."""
 
+from pyspark.sql import functions as F
+
 from agoradesk.operators import nested
 
 
@@ -32,6 +34,24 @@ def test_rule_sets_are_nested_in_order(spark):
     assert two["rules"] is None and two["template"] is None
 
 
+def test_short_lists_are_sorted_once_and_keep_copies_and_nulls(spark):
+    make = spark.createDataFrame
+    rows = make([("k", 2, "b"), ("k", None, "c"), ("k", 1, "a"), ("k", 1, "a"), (None, 1, "x"), ("m", None, None)], "k string, o int, v string")
+    out = nested._short_lists(rows, "k", ["o"], F.struct("v"), "held")
+    assert {r.k: [x.v for x in r.held] for r in out.collect()} == {"k": ["a", "a", "b", "c"], "m": [None]}
+    assert nested._short_lists(make([("k", None)], "k string, v long"), "k", [], F.col("v"), "held").first().held == []
+
+    condition = make([("g", "a", "number", ">=", 1, None)], "condition_group_id string, fact_key string, fact_value_type string, comparator string, number_value long, category_value string")
+    sets, templates = make([(1, "v")], "rule_set_id long, template_version_id string"), make([("v",)], "template_version_id string")
+    rules = make([("r", 1, 5, 2, False, "x")], "rule_id string, rule_set_id long, outcome_value long, display_order int, is_default boolean, label string")
+    groups = make([("r", "g", 1), ("r", "g", 1)], "rule_id string, condition_group_id string, display_order int")
+    out = nested.rule_set_documents(sets, rules, groups, condition, make([("r", 3)], "rule_id string, passage_id long"), templates)
+    (rule,) = out.first()["rules"]
+    assert [[c["number_value"] for c in g["conditions"]] for g in rule["condition_groups"]] == [[1], [1]] and rule["source_passage_ids"] == [3]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate(keys=[rule_set_id" in plan and not any(f"ObjectHashAggregate(keys=[{k}" in plan for k in ("rule_id", "condition_group_id"))
+
+
 def test_catalogue_orders_versions(spark):
     templates = spark.createDataFrame([("t", "T"), ("u", "U")], "template_key string, name string")
     versions = spark.createDataFrame(
