@@ -155,17 +155,22 @@ def discover(base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Only patterns that hold ``SUPPORT`` seeds and accepted instances of a kind and have a score of ``PATTERN_SCORE`` speak. A candidate's
     evidence is the scores of its speaking patterns combined as independent; it is accepted from ``INSTANCE_SCORE`` on if a context speaks
     and its shape or form does too, or if the contexts on both sides speak and its form is native to the kind (see :func:`_score`).
+    A round reads nothing but the instances accepted before it, so when these did not change, all later rounds would only repeat it.
     """
     each = base.select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.*")
     edges = each.select("instance", "kind", F.col("patterns")[1].alias("form"), F.explode("patterns").alias("pattern"))
     edges = write_stage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.min("form").alias("form")), "pattern_edges")
     held = write_stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("held")), "pattern_sizes")
     spots = write_stage(each.where("kind is null").select("instance", "patterns").distinct(), "spots")
-    accepted = base.sparkSession.createDataFrame([], "instance string, kind string")
+    accepted, n = base.sparkSession.createDataFrame([], "instance string, kind string"), 0
     for _ in range(rounds + 1):
         scored, forms = _score(edges, held, spots, accepted)
         taken = write_stage(_judge(spots, scored, forms), "taken")
-        accepted = taken.groupBy("instance").agg(F.max_by("kind", F.struct("evidence", "kind")).alias("kind"))
+        found = taken.groupBy("instance").agg(F.max_by("kind", F.struct("evidence", "kind")).alias("kind"))
+        before, accepted = (accepted, n), write_stage(found, "accepted")
+        n = accepted.count()
+        if n == before[1] and not (n and accepted.join(before[0], ["instance", "kind"], "left_anti").count()):
+            break
     best = taken.groupBy("instance", "patterns").agg(F.max_by("kind", F.struct("evidence", "kind")).alias("kind"))
     return each.where("kind is null").drop("kind").join(best, ["instance", "patterns"]).select("doc_id", "text_hash", "kind", "start", "end")
 
