@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from agoradesk.llm.components import components
 from agoradesk.llm.packing_bytes import pack, unpack
-from agoradesk.llm.shared import bucket_count, id_and_text, tidy, tidy_groups, tidy_keyed_groups, write_stage
+from agoradesk.llm.shared import BATCH_BYTES, bucket_count, id_and_text, tidy, tidy_groups, tidy_keyed_groups, write_stage
 from agoradesk.llm.vectors import join_roots
 from agoradesk.llm.words import Words, mix, ramps, slices, split_words, window_hashes
 
@@ -332,7 +332,7 @@ def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFram
     its own in ``n_links``; a row without an id gets the component of equal sets, or null if no document with an id has that set. It is
     nobody's partner, and its ``n_links`` is null.
     """
-    sets = write_stage(shared_sets(docs, size, percent), "sets")
+    sets = write_stage(shared_sets(docs, size, percent), "sets", BATCH_BYTES)
     some = sets.where("n_shingles > 0")
     key = ["n_shingles", "set_a", "set_b"]
     lead = some.groupBy(*key).agg(F.min("doc_id").alias("lead"), F.count("doc_id").alias("copies"))

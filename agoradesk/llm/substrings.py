@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoradesk.llm.packing_bytes import pack, unpack
-from agoradesk.llm.shared import boxed, bucket_count, id_and_text, join_by_document, tidy, tidy_groups, write_stage
+from agoradesk.llm.shared import BATCH_BYTES, boxed, bucket_count, id_and_text, join_by_document, tidy, tidy_groups, write_stage
 from agoradesk.llm.words import OTHER_BASE, slices, split_words, window_hashes
 
 #: Windows gathered in a task before they are sent: about 100 bytes of memory each while they are sorted.
-CHUNK_WINDOWS = 1_000_000
+CHUNK_WINDOWS = 500_000
 INTERVALS = "doc_id long, text_hash long, starts array<int>, ends array<int>"
 
 
@@ -82,13 +82,18 @@ class _Chunk:
     def rows(self, name: str, buckets: int) -> pa.RecordBatch:
         main = np.concatenate(self.main)
         bucket = (np.concatenate(self.other) & np.uint64(buckets - 1)).astype(np.int32)
+        self.main = self.other = []
         order = np.argsort(main, kind="stable")
-        same = main[order][1:] == main[order][:-1]
-        same &= bucket[order][1:] == bucket[order][:-1]
+        held = main[order]
+        same = held[1:] == held[:-1]
+        held = bucket[order]
+        same &= held[1:] == held[:-1]
+        del held
         twice = np.zeros(len(main), dtype=bool)
         twice[order[1:][same]] = True
         later = twice.copy()
         twice[order[:-1][same]] = True
+        del order, same
         deal = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[deal], np.arange(buckets + 1))
         keys, payloads = [], []
@@ -166,7 +171,7 @@ def _merger(width: int):
 
 def with_intervals(docs: DataFrame, width: int = 35) -> DataFrame:
     """Every row of ``docs`` as the struct ``row``, with ``starts`` and ``ends``: null where nothing repeats."""
-    found = write_stage(repeated_intervals(docs, width), "repeats")
+    found = write_stage(repeated_intervals(docs, width), "repeats", BATCH_BYTES)
     found = found.groupBy("doc_id", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     return join_by_document(boxed(docs), found)
 

@@ -86,6 +86,28 @@ def test_substring_texts_keep_columns_and_clean_texts(docs, texts):
     assert got[12]["text"] == "" and got[11]["text"] == " ".join(prose(2, 300))
 
 
+def test_substring_memory_is_bounded_by_batches_and_chunks(spark, monkeypatch):
+    seen, conf, limit = [], "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    write = substrings.write_stage
+
+    def noted(df, name, *bounds):
+        seen.append((name, *bounds))
+        return write(df, name, *bounds)
+
+    monkeypatch.setattr(substrings, "write_stage", noted)
+    docs = write(spark.createDataFrame([(k, " ".join([*prose(k, 60), f"{k}.", *prose(99, 40)])) for k in range(50)], "doc_id long, text string"), "bounded")
+    assert {r["n_removed"] for r in substrings.dedup_digest(docs).collect()} == {40}
+    assert seen == [("repeats", substrings.BATCH_BYTES)] and spark.conf.get(conf) == limit
+    rows = docs.mapInArrow(lambda batches: (pa.record_batch({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+    assert {r["n"] for r in write(rows, "one", 100).collect()} == {1} and max(r["n"] for r in write(rows, "many").collect()) > 1
+    many = pa.record_batch({
+        "doc_id": pa.array(range(3), pa.int64()), "text": [" ".join(f"{d}-{k}" for k in range(400_000)) for d in range(3)],
+        "text_hash": pa.array(range(3), pa.int64()), "part": pa.array([0] * 3, pa.int32()),
+    })
+    chunks = {name for out in substrings._sender(35, 4)([many]) for name in out["chunk"].to_pylist()}
+    assert len(chunks) == 2
+
+
 def linked(docs, size=5, percent=75):
     sets, ids = {}, []
     for i, t in rows_of(docs):
@@ -438,6 +460,20 @@ def test_patterns_discover_forms_that_no_base_pattern_matches(spark):
     assert all((r["spans"] != "") == (r["n_card"] > 0) for r in orders)
 
 
+def test_scoring_ends_when_a_round_accepts_nothing_new(spark, monkeypatch):
+    rows = [(k, f"account holder +1 (5{k:02d}) 555-01{k:02d} confirmed today") for k in range(20)]
+    late = [(k, f"account holder +1 (77) 55-{k:02d} confirmed today") for k in range(20, 30)]
+    calls, score = [], identifiers._score
+    monkeypatch.setattr(identifiers, "_score", lambda *a: calls.append(a) or score(*a))
+    held = {}
+    for name, part, rounds in (("none", rows, 3), ("some", rows + late, 5), ("fewer", rows + late, 1)):
+        base = identifiers.write_stage(identifiers.find_mentions(spark.createDataFrame(part, "doc_id long, text string")), "held")
+        calls.clear()
+        held[name] = sorted(tuple(r) for r in identifiers.discover(base, rounds).collect()), len(calls)
+    assert held["none"] == ([], 1)
+    assert len(held["some"][0]) == 10 and held["some"][1] < 6 and held["some"][0] == held["fewer"][0]
+
+
 def test_identifiers_of_odd_documents(docs, empty):
     assert identifiers.identifier_report(docs).count() == docs.count()
     assert identifiers.identifier_report(empty).count() == 0
