@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -74,24 +73,37 @@ _COMMON = [*range(0x300), *range(0x2000, 0x2070)]
 _APOSTROPHES = "’`´"
 
 
+#: Stands in translated text for a common character that becomes several. It is not a common one itself.
+_SEVERAL = "\uffff"
+
+
 @functools.cache
 def _folding() -> tuple[str, str]:
     """Common characters and their comparison form: base letter, straight apostrophe, plain space."""
     base = dict(zip(*_base_letters("NFKD")))
     last = dict.fromkeys(_APOSTROPHES, "'") | dict.fromkeys(SPACE_CHARS[1:], " ")
-    form = {c: last.get(base.get(c, c), base.get(c, c)) for c in map(chr, _COMMON)}
+    form = {c: last.get(base.get(c, c), base.get(c, c)) for c in map(chr, _COMMON)} | {c: _SEVERAL for c in EXPANSIONS if ord(c) in _COMMON}
     changed = [c for c in form if form[c] != c]
     return "".join(changed), "".join(form[c] for c in changed)
 
 
+def _folded(col: Column, common: Column) -> Column:
+    exact = collapse(F.translate(strip_marks(col), _APOSTROPHES, "'" * len(_APOSTROPHES)))
+    single = F.when(F.contains(common, F.lit("  ")), F.regexp_replace(common, " {2,}", " ")).otherwise(common)
+    # Neither the sign for several characters nor a far one is ASCII, and lengths are quicker to compare than patterns to find.
+    rare = (F.octet_length(common) != F.length(common)) & (F.contains(common, F.lit(_SEVERAL)) | col.rlike(_FAR))
+    return F.lower(F.when(rare, exact).otherwise(F.btrim(single)))
+
+
 def fold(col: Column) -> Column:
     """Comparison form of a question: no accents, straight apostrophes, single spaces, lower case."""
-    exact = collapse(F.translate(strip_marks(col), _APOSTROPHES, "'" * len(_APOSTROPHES)))
-    single = lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
-    common = F.btrim(let(F.translate(col, *_folding()), single))
-    # Literals are looked for one by one: as a class of many ranges they cost more than all of the folding.
-    rare = reduce(lambda a, b: a | b, [F.contains(col, F.lit(c)) for c in EXPANSIONS if ord(c) in _COMMON], col.rlike(_FAR))
-    return F.lower(F.when(rare, exact).otherwise(common))
+    return let(F.translate(col, *_folding()), lambda common: _folded(col, common))
+
+
+def with_folded(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``fold(text)`` as a column. It takes two projections, which are compiled; inside one expression ``let`` would be interpreted."""
+    common = df.withColumn("_common", F.translate(F.col(text), *_folding()))
+    return common.withColumn(name, _folded(F.col(text), F.col("_common"))).drop("_common")
 
 
 @F.pandas_udf(StringType())

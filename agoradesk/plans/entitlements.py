@@ -106,8 +106,9 @@ def rule_answers(spark, sf):
  cast(case when template_key = 'annual_leave_days' then (f_age is not null)::int + (f_service is not null)::int else 0 end as bigint) recognized_fact_count from texts""")
 def rule_what_if(spark, sf):
     rows = qs.read_questions(asked(spark, sf)).where("template_key is not null")
-    sims = rows.select("l_orderkey", "l_linenumber", "question", F.concat_ws("-", F.lit("annual"), F.col("institution_id").cast("string")).alias("rule_set_id"))
-    return rl.what_if(sims, rule_sets(spark, sf)).select("l_orderkey", "l_linenumber", "code", F.col("recognized_fact_count").cast("long").alias("recognized_fact_count"))
+    sims = rows.select("l_orderkey", "l_linenumber", "question", "template_key", "mentions",
+                       F.concat_ws("-", F.lit("annual"), F.col("institution_id").cast("string")).alias("rule_set_id"))
+    return rl.what_if(sims, rule_sets(spark, sf), intent="template_key").select("l_orderkey", "l_linenumber", "code", F.col("recognized_fact_count").cast("long").alias("recognized_fact_count"))
 
 
 @register("rule_set_problems", """with s as (select s_suppkey k, s_suppkey % 9 m from supplier)

@@ -125,7 +125,8 @@ def question_facts(spark, sf):
     from agoradesk.plans.entitlements import templates
 
     rows = qs.read_questions(asked(spark, sf))
-    out = qs.extract_facts(rows.join(templates(spark, sf), ["institution_id", "template_key"]))
+    own = templates(spark, sf).withColumn("_traits", qs.template_traits(F.col("template")))
+    out = qs.extract_facts(rows.join(own, ["institution_id", "template_key"]))
     f = F.col("facts")
     return out.select("l_orderkey", "l_linenumber", f["age_years"]["number_value"].alias("age_years"), f["service_years"]["number_value"].alias("service_years"),
                       f["leave_reason"]["category_value"].alias("leave_reason"), "facts_status", F.array_join("facts_errors", ",").alias("facts_errors"))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +167,50 @@ def test_sets_are_validated_before_questions_meet_them(spark, sets):
     plan = rl.what_if(sims, sets)._jdf.queryExecution().analyzed().toString()
     above, below = plan.split("Join", 1)
     assert "invalid_default_rule_count" in below and "invalid_default_rule_count" not in above
+
+
+def test_what_if_reads_a_question_once_and_in_compiled_steps(spark, sets):
+    rows = [(i, q, "set-annual_leave_days") for i, q in enumerate(["J'ai 30 ans, vacances ?", "Mon mariage ?", "Bonjour", None])]
+    asked = spark.createDataFrame(rows, "id long, question string, rule_set_id string")
+    read = qs.read_questions(asked).where("template_key is not null")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("employe?") == 1 and plan.count("vacances?(") == 1
+    out = rl.what_if(read, sets, intent="template_key")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("employe?") == 1
+    assert {(r.id, r.code, r.recognized_fact_count) for r in out.collect()} == {(0, "conditional", 1), (1, "question_outside_template", 0)}
+
+
+def test_all_comparators_in_judged_form(spark):
+    signs = ("=", "!=", "<", "<=", ">", ">=", "~", None)
+    values = (None, 1.0, 2.0, 3.0, float("nan"))
+    rows = [(s, v, n) for s in signs for v in values for n in values]
+    df = spark.createDataFrame(rows, "comparator string, said double, n double")
+    rule = lambda **v: F.array(F.struct(
+        F.lit("r").alias("rule_id"), F.lit(1.0).alias("outcome_value"), F.lit(False).alias("is_default"), F.lit("").alias("label"),
+        F.array(F.array(F.struct(*[c.alias(k) for k, c in v.items()]))).alias("groups"), F.array(F.lit("p")).alias("sources")))
+    number = rule(fact_key=F.lit("age_years"), fact_value_type=F.lit("number"), comparator=F.col("comparator"), number_value=F.col("n"), category_value=F.lit(None).cast("string"))
+    fact = F.create_map(F.lit("age_years"), F.struct(F.lit("ok").alias("status"), F.col("said").alias("number_value"), F.lit(None).cast("string").alias("category_value")))
+    out = df.withColumns({"f": fact, "t": rl.template_column(rl.ANNUAL_TEMPLATE)}).withColumn("r", rl.judged_form(number.cast(f"array<{rl.RULE}>"), F.col("t"))[0])
+    for r in out.select("comparator", "said", "n", rl.eval_rule(F.col("r"), F.col("f")).alias("holds"), rl.compare(F.col("said"), F.col("comparator"), F.col("n")).alias("plain")).collect():
+        assert r.holds == (None if r.said is None else bool(r.plain)), r
+    rows = [(s, v, n) for s in signs for v in (None, "a", "b") for n in (None, "a")]
+    df = spark.createDataFrame(rows, "comparator string, said string, n string")
+    named = rule(fact_key=F.lit("leave_reason"), fact_value_type=F.lit("category"), comparator=F.col("comparator"), number_value=F.lit(None).cast("double"), category_value=F.col("n"))
+    fact = F.create_map(F.lit("leave_reason"), F.struct(F.lit("ok").alias("status"), F.lit(None).cast("double").alias("number_value"), F.col("said").alias("category_value")))
+    out = df.withColumns({"f": fact, "t": rl.template_column(rl.EXCEPTIONAL_TEMPLATE)}).withColumn("r", rl.judged_form(named.cast(f"array<{rl.RULE}>"), F.col("t"))[0])
+    for r in out.select("comparator", "said", "n", rl.eval_rule(F.col("r"), F.col("f")).alias("holds")).collect():
+        want = r.n is not None and {"=": r.said == r.n, "!=": r.said != r.n}.get(r.comparator, False)
+        assert r.holds == (None if r.said is None else want), r
+
+
+def test_fixed_patterns_find_the_same_with_their_first_character_looked_for(spark):
+    fixed = [*qs.ANNUAL, qs.MARRIAGE, qs.OWN_MARRIAGE, qs.DEATH, qs.FIRST_DEGREE, qs.SECOND_DEGREE, qs.MOVING, qs.OWN_MOVING, *qs.AGE_PATTERNS, *qs.SERVICE_PATTERNS]
+    texts = [*CASES, "grand-pere mort", "ma belle-mere, pere", "xvacances", "vacance_", "-5 ans de service", "j'ai y travaille depuis 3,5 ans", "travaille depuis 12 annees",
+             "ca fait 3 ans que je travaille ici", "agee de 31 ans et 4.5 ans d'age", "a 3 ans d'anciennete", "12 ans d'age, employe de 40 ans", "nous demenageons", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fold(F.col("t")).alias("f"))
+    look = r"^\(\?=\[[^]]*\]\)"
+    assert all(re.match(look, qs.pattern(p)) for p in fixed)
+    for p in fixed:
+        with_look, without = qs.pattern(p), re.sub(look, "", qs.pattern(p))
+        found = rows.select("t", *[F.regexp_extract_all("f", F.lit(x), F.lit(0)).alias(n) for n, x in (("a", with_look), ("b", without))])
+        assert [r for r in found.collect() if r.a != r.b] == [], p

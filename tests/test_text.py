@@ -102,3 +102,12 @@ def test_folding_of_common_characters_is_one_translation(spark):
     assert folded.where("not new <=> old").collect() == []
     # One class of far characters decides; the expansions are looked for as literals.
     assert tx._FAR in folded.select("new")._jdf.queryExecution().analyzed().toString()
+
+
+def test_folding_in_two_steps_equals_fold(spark):
+    texts = ["  L’Été  à\tZürich ", "½ … №", "Œuvre « ß »", "Ａ ﬁ", "a\uffff  b", "x  y", "", None, "日本  é", "😀  É", "ĳ", "plain ascii"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = tx.with_folded(rows, "t", "a").select("*", tx.fold(F.col("t")).alias("b"), tx.fold_exact(F.col("t")).alias("c"))
+    for r in both.collect():
+        assert r.a == r.b == r.c, r
+    assert both.columns == ["t", "a", "b", "c"]
